@@ -40,7 +40,7 @@ class CalendarRules:
 
 def inline(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     """Small configuration table as a local relation, so its size is known to the planner."""
-    literal = lambda v: "NULL" if v is None else repr(v) if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else str(v)
+    literal = lambda v: "array(" + ", ".join(map(literal, v)) + ")" if isinstance(v, list) else "NULL" if v is None else repr(v) if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else str(v)
     values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({columns})")
 

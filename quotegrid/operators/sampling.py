@@ -43,12 +43,12 @@ def cells(book: DataFrame, interval_ns: int) -> DataFrame:
     """Last trusted message of every occupied cell plus the last completed one."""
     trusted = book.where(~_bad_clock()).withColumns({"_class": message_class(), "cell": chunk_of("recv_ns", interval_ns)})
     completed = F.when(F.col("_class") != OPEN, F.col("seq"))
+    # One struct per max_by keeps the aggregate to a handful of buffers; some thirty
+    # single-column ones exceed what generated code can hold and run interpreted.
     return trusted.groupBy(*SOURCE, "symbol", "cell").agg(
         F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
-        F.max_by("_class", "seq").alias("last_class"),
-        *[F.max_by(c, "seq").alias(c) for c in CARRIED],
-        F.max(completed).alias("done_seq"), F.max_by("_class", completed).alias("done_class"),
-        F.max_by("recv_ns", completed).alias("done_recv"),
+        F.max_by(F.struct("_class", *CARRIED), "seq").alias("last"),
+        F.max_by(F.struct("seq", "_class", "recv_ns"), completed).alias("done"),
         F.count(F.lit(1)).alias("records"),
         F.count_if(F.col("_class").isin(FLAGGED, INVALID)).alias("bad_books"))
 
@@ -60,10 +60,13 @@ def governed(book: DataFrame, interval_ns: int, max_age_ns: int, seq_chunk: int
     (NULL if none), ``skip_reason`` explains the points after it.
     """
     occupied = cells(book, interval_ns)
-    marks = occupied.withColumn("_mark", F.explode(F.array(
-        F.struct(F.col("first_seq").alias("at"), F.lit(0).alias("kind")),
-        F.struct(F.col("last_seq").alias("at"), F.lit(1).alias("kind")))))
-    marks = marks.select("*", "_mark.at", "_mark.kind").drop("_mark")
+    # A cell becomes two marks on the sequence axis; only the later one carries the book.
+    payload = ["last", "done", "records", "bad_books"]
+    none = [F.lit(None).cast(occupied.schema[c].dataType).alias(c) for c in payload]
+    mark = F.explode(F.array(
+        F.struct(F.col("first_seq").alias("at"), F.lit(0).alias("kind"), *none),
+        F.struct(F.col("last_seq").alias("at"), F.lit(1).alias("kind"), *payload)))
+    marks = occupied.select(*SOURCE, "symbol", "cell", mark.alias("_mark")).select(*SOURCE, "symbol", "cell", "_mark.*")
     # Bad-clock rows have no usable time: place them among the cells by sequence.
     # Of a run of them only the last can matter, so runs collapse inside fixed
     # sequence chunks before anything is windowed per day.
@@ -78,18 +81,18 @@ def governed(book: DataFrame, interval_ns: int, max_age_ns: int, seq_chunk: int
     last = events.withColumns({
         "_bad_seq": F.max(F.when(F.col("kind") == 2, F.col("at"))).over(so_far),
         "_then": F.lead("kind").over(day)}).where("kind = 1")
-    done = F.when(F.col("done_seq").isNotNull(), F.struct("done_seq", "done_class", "done_recv"))
     by_seq = Window.partitionBy(*SOURCE).orderBy("at")
     last = last.withColumns({
-        "_done": F.last(done, True).over(by_seq.rowsBetween(Window.unboundedPreceding, 0)),
+        "_done": F.last("done", True).over(by_seq.rowsBetween(Window.unboundedPreceding, 0)),
         "_next_cell": F.lead("cell").over(by_seq)})
+    last = last.select(*SOURCE, "symbol", "cell", "records", "bad_books", "last.*", "_done", "_next_cell", "_bad_seq", "_then")
 
-    lost = F.coalesce(F.col("_bad_seq") > F.coalesce(F.col("_done.done_seq"), F.lit(-1)), F.lit(False))
-    done_class = F.col("_done.done_class")
+    lost = F.coalesce(F.col("_bad_seq") > F.coalesce(F.col("_done.seq"), F.lit(-1)), F.lit(False))
+    done_class = F.col("_done._class")
     book_reason = lambda code: F.when(code == FLAGGED, BAD_FLAG).when(code == INVALID, BAD_BOOK)
     reason = (F.when(F.col("_then") == 2, UNRELIABLE_STATE)
-              .when(F.col("last_class") == GOOD, STALE)
-              .when(F.col("last_class") != OPEN, book_reason(F.col("last_class")))
+              .when(F.col("_class") == GOOD, STALE)
+              .when(F.col("_class") != OPEN, book_reason(F.col("_class")))
               .when(lost, UNRELIABLE_STATE)
               .otherwise(F.coalesce(book_reason(done_class), F.lit(INCOMPLETE))))
     out = last.withColumns({
@@ -100,11 +103,11 @@ def governed(book: DataFrame, interval_ns: int, max_age_ns: int, seq_chunk: int
     fresh = F.when(F.col("hi").isNotNull(), F.least(
         F.col("hi"), F.expr(f"(recv_ns + {max_age_ns}L) div {interval_ns}L * {interval_ns}L")))
     complete_recv = (F.when(F.col("skip_reason") == STALE, F.col("recv_ns"))
-                     .when((F.col("skip_reason") == INCOMPLETE) & (done_class == GOOD), F.col("_done.done_recv")))
+                     .when((F.col("skip_reason") == INCOMPLETE) & (done_class == GOOD), F.col("_done.recv_ns")))
     out = out.withColumns({
         "emit_hi": F.when((F.col("skip_reason") == STALE) & (fresh >= F.col("lo")), fresh),
         "complete_recv_ns": complete_recv})
-    return out.drop("at", "kind", "_bad_seq", "_then", "_done", "_next_cell", "done_seq", "done_class", "done_recv")
+    return out.drop("_class", "_bad_seq", "_then", "_done", "_next_cell")
 
 
 def grid_snapshots(book: DataFrame, interval_ns: int, max_age_ns: int, seq_chunk: int = SEQ_CHUNK) -> DataFrame:
