@@ -15,57 +15,76 @@ from pyspark.sql import functions as F
 from quotegrid.operators.calendar import asof_version
 from quotegrid.operators.features import bounded_sample
 from quotegrid.params import FEATURE_GROUPS
+from quotegrid.session import settle
 
-WIDTH = max(len(c) for c in FEATURE_GROUPS.values())
+MODEL_KEYS = ["update_session", "history_count", "feature_group"]
 
 
 def by_feature_group(samples: DataFrame, keep: list[str]) -> DataFrame:
-    """One row per sample and feature group with its vector ``x``, padded with NULL."""
-    pad = lambda columns: F.array(*[F.col(c) for c in columns], *[F.lit(None).cast("double")] * (WIDTH - len(columns)))
-    groups = F.array(*[F.struct(F.lit(n).alias("feature_group"), F.lit(len(c)).alias("width"), pad(c).alias("x"))
-                       for n, c in FEATURE_GROUPS.items()])
+    """One row per sample and feature group with its vector ``x``."""
+    groups = F.array(*[F.struct(F.lit(n).alias("feature_group"), F.array(*c).alias("x")) for n, c in FEATURE_GROUPS.items()])
     return samples.select(*keep, F.inline(groups))
 
 
-def session_moments(rows: DataFrame, by: list[str]) -> DataFrame:
-    """n, sums and second moments of (x, y) per session; ``rows`` has array x and y."""
-    x = [F.get("x", F.lit(i)) for i in range(WIDTH)]
-    sums = [F.sum(x[i]).alias(f"s_{i}") for i in range(WIDTH)]
-    cross = [F.sum(x[i] * x[j]).alias(f"q_{i}_{j}") for i in range(WIDTH) for j in range(i, WIDTH)]
-    label = [F.sum(x[i] * F.col("y")).alias(f"r_{i}") for i in range(WIDTH)]
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), *sums, *cross, *label)
+# Second index of a moment row: the sum of x, the product with y, else x_i * x_j.
+SUM, LABEL = -2, -1
+
+
+def session_moments(samples: DataFrame, by: list[str]) -> DataFrame:
+    """Long moments (feature_group, i, j, value) with n and sum of y, per session.
+
+    One pass over the plain feature columns; only the few resulting rows are
+    turned into the long layout.
+    """
+    groups = list(FEATURE_GROUPS.items())
+    names = [f for _, c in groups for f in c]
+    pairs = sorted({(a, b) for _, c in groups for i, a in enumerate(c) for b in c[i:]})
+    sums = samples.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"),
+        *[F.sum(f).alias(f"s|{f}") for f in names], *[F.sum(F.col(f) * F.col("y")).alias(f"r|{f}") for f in names],
+        *[F.sum(F.col(a) * F.col(b)).alias(f"q|{a}|{b}") for a, b in pairs])
+    entry = lambda g, i, j, column: F.struct(
+        F.lit(g).alias("feature_group"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(column).alias("value"))
+    entries = [entry(g, i, SUM, f"s|{a}") for g, c in groups for i, a in enumerate(c)]
+    entries += [entry(g, i, LABEL, f"r|{a}") for g, c in groups for i, a in enumerate(c)]
+    entries += [entry(g, i, j, f"q|{a}|{c[j]}") for g, c in groups for i, a in enumerate(c) for j in range(i, len(c))]
+    return sums.select(*by, "n", "sy", F.inline(F.array(*entries)))
 
 
 def version_moments(per_session: DataFrame, days: DataFrame) -> DataFrame:
-    """Moments of each (update, k) from its training sessions."""
-    names = [c for c in per_session.columns if c not in ("session_id", "feature_group", "width")]
+    """Moments of each (update, k): the sum over its training sessions."""
     tagged = days.select("update_session", "history_count", "session_id").join(per_session, "session_id")
-    return tagged.groupBy("update_session", "history_count", "feature_group", "width").agg(*[F.sum(c).alias(c) for c in names])
+    return tagged.groupBy(*MODEL_KEYS, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sy", "value")])
+
+
+def folded_moments(moments: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per model with mean and population deviation arrays next to its entries."""
+    rows = moments.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.max("sy").alias("sy"), F.array_sort(F.collect_list(F.struct("i", "j", "value"))).alias("entries"))
+    value = lambda e: e["value"]
+    rows = rows.withColumn("mean", F.transform(F.filter("entries", lambda e: e["j"] == SUM), lambda e: value(e) / F.col("n")))
+    square = F.transform(F.filter("entries", lambda e: e["j"] == e["i"]), lambda e: value(e) / F.col("n"))
+    # A deviation at rounding level is a constant feature and scales by one.
+    deviation = lambda q, m: F.when(q - m * m <= F.lit(1e-14) * q, 1.0).otherwise(F.sqrt(q - m * m))
+    return rows.withColumn("scale", F.zip_with(square, "mean", deviation))
 
 
 def scaler_stats(moments: DataFrame, keys: list[str]) -> DataFrame:
     """Mean and population deviation per feature position; zero deviation counts as one."""
-    n = F.col("n")
-    mean = lambda i: F.col(f"s_{i}") / n
-    var = lambda i: F.greatest(F.col(f"q_{i}_{i}") / n - mean(i) * mean(i), F.lit(0.0))
-    std = lambda i: F.when(var(i) <= F.lit(1e-14) * F.abs(F.col(f"q_{i}_{i}") / n), 1.0).otherwise(F.sqrt(var(i)))
-    stats = F.array(*[F.struct(F.lit(i).alias("i"), mean(i).alias("mean"), std(i).alias("scale")) for i in range(WIDTH)])
-    return moments.select(*keys, "n", "width", F.inline(stats)).where("i < width").drop("width")
+    pairs = folded_moments(moments, keys).select(*keys, "n", F.posexplode(F.arrays_zip("mean", "scale")).alias("i", "_s"))
+    return pairs.select(*keys, "n", "i", "_s.mean", "_s.scale")
 
 
 def gram(moments: DataFrame, keys: list[str]) -> DataFrame:
     """Standardized normal-equation entries in long form.
 
-    j = i..width-1 is z'z, j = -1 is z'y; sums of z itself vanish by construction.
+    j >= i is z'z, j = -1 is z'y; sums of z itself vanish by construction.
     """
-    n = F.col("n")
-    m = lambda i: F.col(f"s_{i}") / n
-    raw = lambda i: F.sqrt(F.greatest(F.col(f"q_{i}_{i}") / n - m(i) * m(i), F.lit(0.0)))
-    sd = lambda i: F.when(raw(i) * raw(i) <= F.lit(1e-14) * F.abs(F.col(f"q_{i}_{i}") / n), 1.0).otherwise(raw(i))
-    entry = lambda i, j, v: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), v.alias("value"))
-    zz = [entry(i, j, (F.col(f"q_{i}_{j}") - n * m(i) * m(j)) / (sd(i) * sd(j))) for i in range(WIDTH) for j in range(i, WIDTH)]
-    zy = [entry(i, -1, (F.col(f"r_{i}") - m(i) * F.col("sy")) / sd(i)) for i in range(WIDTH)]
-    return moments.select(*keys, "n", "sy", "width", F.inline(F.array(*zz, *zy))).where("i < width and j < width").drop("width")
+    rows = folded_moments(moments, keys).select(*keys, "n", "sy", "mean", "scale", F.inline("entries")).where(F.col("j") != SUM)
+    m, s = lambda at: F.get("mean", F.col(at)), lambda at: F.get("scale", F.col(at))
+    label = (F.col("value") - m("i") * F.col("sy")) / s("i")
+    cross = (F.col("value") - F.col("n") * m("i") * m("j")) / (s("i") * s("j"))
+    return rows.select(*keys, "n", "sy", "i", "j", F.when(F.col("j") == LABEL, label).otherwise(cross).alias("value"))
 
 
 RIDGE_SCHEMA = "coef array<double>, intercept double"
@@ -149,15 +168,11 @@ def tree(samples: DataFrame, keys: list[str], depth: int, min_leaf: int) -> Data
     return samples.groupBy(*keys).applyInPandas(grow, f"{kinds}, {TREE_SCHEMA}")
 
 
-MODEL_KEYS = ["update_session", "history_count", "feature_group"]
-
-
 def standardized(rows: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``z`` and drop the padding; ``stats`` is folded to one small row per key."""
-    folded = stats.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "mean", "scale"))).alias("_s"))
-    joined = rows.join(folded, keys)
-    z = F.zip_with(F.slice("x", F.lit(1), F.size("_s")), "_s", lambda v, s: (v - s["mean"]) / s["scale"])
-    return joined.withColumn("z", z).drop("_s")
+    """Add ``z``; ``stats`` has one row per key with mean and scale arrays."""
+    joined = rows.join(stats.select(*keys, "mean", "scale"), keys)
+    centered = F.zip_with("x", "mean", lambda v, m: v - m)
+    return joined.withColumn("z", F.zip_with(centered, "scale", lambda v, s: v / s)).drop("mean", "scale")
 
 
 def build_library(samples: DataFrame, days: DataFrame, *, alpha: float, depth: int, min_leaf: int, sample: int, seed: int) -> DataFrame:
@@ -166,27 +181,22 @@ def build_library(samples: DataFrame, days: DataFrame, *, alpha: float, depth: i
     ``samples`` carries session_id, ts_ns, y and the library features.  Fewer than
     two training rows give an ``insufficient_samples`` row.
     """
-    rows = by_feature_group(samples, ["session_id", "ts_ns", "y"])
-    moments = version_moments(session_moments(rows, ["session_id", "feature_group", "width"]), days)
+    # A few rows that five branches below read again.
+    moments = settle(version_moments(session_moments(samples, ["session_id"]), days))
     enough = moments.where("n >= 2")
-    stats = scaler_stats(enough, MODEL_KEYS)
+    stats = folded_moments(moments, MODEL_KEYS).select(*MODEL_KEYS, F.col("n").alias("training_rows"), "mean", "scale")
     linear = ridge(gram(enough, MODEL_KEYS), MODEL_KEYS, alpha).withColumn("family", F.lit("ridge"))
     tagged = days.select("update_session", "history_count", "session_id").join(samples, "session_id")
     drawn = bounded_sample(tagged, sample, seed, "ts_ns", ["update_session", "history_count"])
     drawn = by_feature_group(drawn, ["update_session", "history_count", "ts_ns", "y"])
-    trees = tree(standardized(drawn, stats, MODEL_KEYS), MODEL_KEYS, depth, min_leaf).withColumn("family", F.lit("tree"))
+    trees = tree(standardized(drawn, stats.where("training_rows >= 2"), MODEL_KEYS), MODEL_KEYS, depth, min_leaf).withColumn("family", F.lit("tree"))
     fitted = linear.unionByName(trees, allowMissingColumns=True)
-
-    scale = stats.groupBy(*MODEL_KEYS).agg(
-        F.array_sort(F.collect_list(F.struct("i", "mean", "scale"))).alias("_s")).select(
-        *MODEL_KEYS, F.transform("_s", lambda s: s["mean"]).alias("mean"), F.transform("_s", lambda s: s["scale"]).alias("scale"))
     kinds = F.array(F.lit("ridge"), F.lit("tree"))
     groups = F.array(*[F.lit(g) for g in FEATURE_GROUPS])
     wanted = days.groupBy("update_session", "history_count").agg(
         F.min("available_at_ns").alias("available_at_ns"), F.count("session_id").alias("training_sessions"))
     wanted = wanted.withColumn("feature_group", F.explode(groups)).withColumn("family", F.explode(kinds))
-    counts = moments.select(*MODEL_KEYS, F.col("n").alias("training_rows"))
-    models = wanted.join(counts, MODEL_KEYS, "left").join(scale, MODEL_KEYS, "left").join(fitted, [*MODEL_KEYS, "family"], "left")
+    models = wanted.join(stats, MODEL_KEYS, "left").join(fitted, [*MODEL_KEYS, "family"], "left")
     return models.withColumns({
         "version_id": F.col("update_session"),
         "model_id": F.concat_ws("-", "family", "feature_group", F.concat(F.lit("h"), F.col("history_count"))),

@@ -21,18 +21,14 @@ from quotegrid.sources.bindings import STUDY
 H1, PURGE = HORIZONS[0], STUDY.purge_ms
 
 
-def rounded(df, columns, keys=("ts_ns",)):
-    return df.select(*keys, *[r6(F.col(c)).alias(c) for c in columns])
-
-
 def sql_rounded(columns, source, keys=("ts_ns",)):
     return f"SELECT {', '.join(keys)}, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in columns)} FROM {source}"
 
 
-def feature_query(name, columns, source, build):
-    @query(name, sql_rounded(columns, source))
+def feature_query(name, columns, source, build, digits=6):
+    @query(name, sql_rounded(columns, source).replace(", 6)", f", {digits})"))
     def run(spark, sf):
-        return rounded(build(spark, sf), columns)
+        return build(spark, sf).select("ts_ns", *[(F.round(c, digits) + F.lit(0.0)).alias(c) for c in columns])
 
 
 feature_query("f01_mid_spread", ["mid_price", "spread", "rel_spread"], "scalar", study.blocked)
@@ -41,7 +37,7 @@ feature_query("f03_obi_multi", ["obi_multi"], "scalar", lambda s, d: fx.with_obi
 feature_query("f04_micro_dev", ["micro_dev"], "scalar", lambda s, d: fx.with_micro_dev(fx.with_mid_spread(study.in_session(s, d))))
 feature_query("f05_displayed_depth", ["displayed_depth"], "scalar", lambda s, d: fx.with_displayed_depth(study.in_session(s, d)))
 feature_query("f06_price_depth", ["price_diff_1_x_depth", "price_diff_1_div_depth"], "ret",
-              lambda s, d: ft.with_price_volume(fx.with_displayed_depth(study.blocked(s, d))))
+              lambda s, d: ft.with_price_volume(fx.with_displayed_depth(study.blocked(s, d))), digits=10)
 feature_query("w02_lagged_returns", ["ret_lag_1", "ret_lag_5", "ret_lag_10", "ret_lag_30"], "ret", lambda s, d: ft.with_returns(study.blocked(s, d)))
 feature_query("w03_volatility", ["vol_10", "vol_30"], "feat0", lambda s, d: ft.with_volatility(ft.with_returns(study.blocked(s, d))))
 feature_query("w04_mid_ma_rel", ["mid_ma_rel_10"], "feat0", lambda s, d: ft.with_mid_rolling(study.blocked(s, d)))
@@ -166,12 +162,12 @@ def l09(spark, sf):
 
 
 def tdays(spark, sf):
-    return training_days(schedule(spark, sf), seen_sessions(spark, sf), STUDY.history_counts, "2024-01-02")
+    seen = seen_sessions(spark, sf)
+    return training_days(schedule(spark, sf, seen), seen, STUDY.history_counts, "2024-01-02")
 
 
 def moments(spark, sf):
-    rows = md.by_feature_group(samples(spark, sf), ["session_id", "y"])
-    return md.version_moments(md.session_moments(rows, ["session_id", "feature_group", "width"]), tdays(spark, sf))
+    return md.version_moments(md.session_moments(samples(spark, sf), ["session_id"]), tdays(spark, sf))
 
 
 cte("vtrain", "SELECT d.update_session, d.history_count, t.* FROM tdays d JOIN train t USING (session_id)")

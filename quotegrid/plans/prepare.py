@@ -15,7 +15,7 @@ from quotegrid.params import BOOK_COLUMNS, MESSAGE_COLUMNS
 from quotegrid.plans import study
 from quotegrid.plans.registry import cte, query
 from quotegrid.plans.study import A, HORIZONS, I, RULES, SPLITS
-from quotegrid.session import shared_folder
+from quotegrid.session import settle, shared_folder
 from quotegrid.sources import tables as src
 from quotegrid.sources.bindings import STUDY, messages, table
 
@@ -174,8 +174,8 @@ cte("seen_sess", "SELECT * FROM sess WHERE session_id IN (SELECT session_id FROM
 
 
 def seen_sessions(spark, sf):
-    """Sessions the data has at least one snapshot in."""
-    return study.in_session(spark, sf).select("session_id", "open_ns", "close_ns").distinct()
+    """Sessions the data has at least one snapshot in: a small table that schedules read several times."""
+    return settle(study.in_session(spark, sf).select("session_id", "open_ns", "close_ns").distinct())
 
 
 @query("c05_required_partitions", "SELECT session_id, file_date FROM reqparts WHERE session_id IN (SELECT session_id FROM seen_sess)")
@@ -225,8 +225,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY iso_year, iso_week ORDER BY sess
 WHERE session_id = '2024-01-05' OR (rn = 1 AND session_id > '2024-01-05' AND session_id <= '2024-01-30')""")
 
 
-def schedule(spark, sf):
-    return cal.weekly_schedule(seen_sessions(spark, sf), "2024-01-05", "2024-01-30")
+def schedule(spark, sf, seen=None):
+    return cal.weekly_schedule(seen or seen_sessions(spark, sf), "2024-01-05", "2024-01-30")
 
 
 @query("c08_weekly_schedule", "SELECT * FROM sched")
@@ -244,7 +244,8 @@ WHERE rn <= history_count""")
 
 @query("c09_training_days", "SELECT * FROM tdays")
 def c09(spark, sf):
-    return cal.training_days(schedule(spark, sf), seen_sessions(spark, sf), STUDY.history_counts, "2024-01-02")
+    seen = seen_sessions(spark, sf)
+    return cal.training_days(schedule(spark, sf, seen), seen, STUDY.history_counts, "2024-01-02")
 
 
 @query("c10_session_periods", """
