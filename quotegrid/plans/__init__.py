@@ -3,4 +3,5 @@
 from quotegrid.plans import study  # noqa: F401
 from quotegrid.plans import prepare  # noqa: F401
 from quotegrid.plans import learning  # noqa: F401
+from quotegrid.plans import trading  # noqa: F401
 from quotegrid.plans.registry import ORACLES, QUERIES  # noqa: F401
