@@ -16,6 +16,7 @@ from quotegrid.plans.prepare import UNTIL, schedule, seen_sessions
 from quotegrid.plans.registry import cte, query
 from quotegrid.plans.study import HORIZONS, I, SPLITS
 from quotegrid.operators.calendar import training_days
+from quotegrid.session import settle
 from quotegrid.sources.bindings import STUDY
 
 H1, PURGE = HORIZONS[0], STUDY.purge_ms
@@ -82,7 +83,7 @@ FROM blk WINDOW w AS (ORDER BY ts_ns)""")
 
 @query("w08_change_reason", "SELECT ts_ns, change_reason FROM reasons")
 def w08(spark, sf):
-    return ft.with_change_reason(study.blocked(spark, sf), I).select("ts_ns", "change_reason")
+    return ft.with_change_reason(settle(study.blocked(spark, sf)), I).select("ts_ns", "change_reason")
 
 
 LABEL_COLUMNS = "session_id, ts_ns, horizon_ms, label_end_ns, label_valid, label_reason"
@@ -210,7 +211,7 @@ def m03(spark, sf):
 
 
 def _library(spark, sf, min_leaf=20):
-    return md.build_library(samples(spark, sf), tdays(spark, sf), alpha=STUDY.ridge_alpha, depth=STUDY.tree_depth, min_leaf=min_leaf,
+    return md.build_library(settle(samples(spark, sf), "samples"), tdays(spark, sf), alpha=STUDY.ridge_alpha, depth=STUDY.tree_depth, min_leaf=min_leaf,
                             sample=STUDY.tree_sample, seed=STUDY.seed)
 
 

@@ -278,7 +278,7 @@ def _purchases(spark, sf):
 
 
 def _quotes(spark, sf):
-    return with_mid_spread(study.snapshots(spark, sf)).select("instrument_id", "file_date", "ts_ns", "mid_price")
+    return settle(with_mid_spread(study.snapshots(spark, sf)).select("instrument_id", "file_date", "ts_ns", "mid_price"), "quotes")
 
 
 @query("c13_asof_backward", """

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quotegrid.functions.book import r6
 from quotegrid.operators import features as ft
 from quotegrid.operators import ledger as lg
 from quotegrid.operators import models as md
@@ -18,6 +19,7 @@ from quotegrid.plans.learning import VERSION_TIMES, inline
 from quotegrid.plans.prepare import UNTIL
 from quotegrid.plans.registry import cte, query
 from quotegrid.plans.study import HORIZONS, I
+from quotegrid.session import settle
 from quotegrid.sources.bindings import STUDY, messages
 
 CONTRACT = Contract()
@@ -32,54 +34,92 @@ def day_start():
     return F.expr("unix_date(CAST(file_date AS DATE))").cast("bigint") * DAY
 
 
-def rounded_all(df):
-    """Doubles to six digits, everything else as is."""
-    return df.select(*[r6(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in df.schema.fields])
-
-
-def day_quotes(spark, sf):
-    """Quotes of each source day with exact targets; gaps alone split the blocks."""
-    rows = study.snapshots(spark, sf).select(
-        "instrument_id", "file_date", "ts_ns", F.col("bid_px_00").alias("bid"), F.col("ask_px_00").alias("ask"),
-        ((F.col("bid_px_00") + F.col("ask_px_00")) / 2).alias("mid"))
-    return rw.quotes_with_targets(rows, HORIZONS, I)
-
-
-def orders(spark, sf):
-    """Purchases play fills: alternating open and close per strategy and day, priced at the next quote."""
-    bought = messages(spark, sf).where("event_type = 'purchase'").select(
-        F.concat(F.lit("S"), F.col("user_id") % 4).alias("strategy"), "instrument_id", "file_date", "seq", "k",
-        (F.col("user_id") % ARMS).cast("int").alias("owner"), F.col("recv_ns").alias("ts_ns"))
-    bought = ordinal(bought, ACCOUNT, "seq", lg.SEQ_CHUNK).withColumn("opening", F.col("rn") % 2 == 1)
-    quotes = day_quotes(spark, sf)
-    values = ["bid", "ask", "mid", "continuous_block", "targets", "last_ns"]
-    found = asof(bought, quotes, "ts_ns", rw.DAY_KEYS, values, forward=True).where("matched_ts_ns is not null")
-    found = found.withColumn("ts_ns", F.col("matched_ts_ns")).drop("matched_ts_ns")
-    week = F.concat(F.lit("w"), F.weekofyear(F.to_date("file_date")))
-    numbered = lg.with_trade_number(found.withColumn("version_id", week), ACCOUNT)
-    trade = Window.partitionBy(*ACCOUNT, "trade_number")
-    first = F.max(F.when(F.col("opening"), F.when(F.col("k") % 2 == 0, 1).otherwise(-1))).over(trade)
-    return numbered.withColumn("side", F.when(F.col("opening"), first).otherwise(-first))
+RATIOS = ("drawdown", "max_drawdown", "net_return")
 
 
-def fills(spark, sf):
-    return lg.attribute(lg.price_fills(orders(spark, sf), CONTRACT), ACCOUNT, CONTRACT)
-
-
-def scored(spark, sf):
-    return rw.score_net(rw.markout(fills(spark, sf), HORIZONS), WEIGHTS, CONTRACT)
-
-
-def selections(spark, sf):
-    """One selection per strategy, day and half hour that has a quote."""
-    rows = study.snapshots(spark, sf).withColumns({"_open": day_start(), "_close": day_start() + DAY})
-    rows = period_of(rows, "ts_ns", "_open", "_close", PERIOD)
-    first = rows.groupBy("instrument_id", "file_date", "period_index").agg(F.min("ts_ns").alias("selected_at_ns"))
-    first = first.withColumn("strategy", F.explode(F.array(*[F.lit(f"S{i}") for i in range(4)])))
-    day = F.dayofmonth(F.to_date("file_date"))
-    return first.withColumns({
-        "owner": ((F.col("period_index") + day) % ARMS).cast("int"),
-        "version_id": F.concat(F.lit("w"), F.weekofyear(F.to_date("file_date")))})
+def rounded_all(df):
+    """Doubles to six digits (ratios of money to capital to ten), everything else as is."""
+    digits = lambda name: 10 if name in RATIOS else 6
+    return df.select(*[(F.round(f.name, digits(f.name)) + F.lit(0.0)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name)
+                       for f in df.schema.fields])
+
+
+class Day:
+    """The trading tables of one query run.  Tables with several readers are written once."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf = spark, sf
+
+    @cached_property
+    def quotes(self):
+        """Quotes of each source day with exact targets; gaps alone split the blocks."""
+        rows = study.snapshots(self.spark, self.sf).select(
+            "instrument_id", "file_date", "ts_ns", F.col("bid_px_00").alias("bid"), F.col("ask_px_00").alias("ask"),
+            ((F.col("bid_px_00") + F.col("ask_px_00")) / 2).alias("mid"))
+        return settle(rw.quotes_with_targets(rows, HORIZONS, I), "quotes")
+
+    @cached_property
+    def orders(self):
+        """Purchases play fills: alternating open and close per strategy and day, priced at the next quote."""
+        bought = messages(self.spark, self.sf).where("event_type = 'purchase'").select(
+            F.concat(F.lit("S"), F.col("user_id") % 4).alias("strategy"), "instrument_id", "file_date", "seq", "k",
+            (F.col("user_id") % ARMS).cast("int").alias("owner"), F.col("recv_ns").alias("ts_ns"))
+        bought = ordinal(bought, ACCOUNT, "seq", lg.SEQ_CHUNK).withColumn("opening", F.col("rn") % 2 == 1)
+        values = ["bid", "ask", "mid", "continuous_block", "targets", "last_ns"]
+        found = asof(bought, self.quotes, "ts_ns", rw.DAY_KEYS, values, forward=True).where("matched_ts_ns is not null")
+        found = found.withColumn("ts_ns", F.col("matched_ts_ns")).drop("matched_ts_ns")
+        week = F.concat(F.lit("w"), F.weekofyear(F.to_date("file_date")))
+        found = settle(found.withColumn("version_id", week), "orders")
+        numbered = lg.with_trade_number(found, ACCOUNT)
+        trade = Window.partitionBy(*ACCOUNT, "trade_number")
+        first = F.max(F.when(F.col("opening"), F.when(F.col("k") % 2 == 0, 1).otherwise(-1))).over(trade)
+        return numbered.withColumn("side", F.when(F.col("opening"), first).otherwise(-first))
+
+    @cached_property
+    def fills(self):
+        return settle(lg.attribute(lg.price_fills(self.orders, CONTRACT), ACCOUNT, CONTRACT), "fills")
+
+    @cached_property
+    def marked(self):
+        return rw.markout(self.fills, HORIZONS)
+
+    @cached_property
+    def scored(self):
+        return rw.score_net(self.marked, WEIGHTS, CONTRACT)
+
+    @cached_property
+    def curve(self):
+        return lg.equity(self.quotes, self.fills, ACCOUNT, CONTRACT)
+
+    @cached_property
+    def summaries(self):
+        return lg.day_summary(self.curve, self.fills, lg.pair_trades(self.fills, ACCOUNT), ACCOUNT, CONTRACT.initial_capital)
+
+    @cached_property
+    def selections(self):
+        """One selection per strategy, day and half hour that has a quote."""
+        rows = self.quotes.select("instrument_id", "file_date", "ts_ns").withColumns({"_open": day_start(), "_close": day_start() + DAY})
+        rows = period_of(rows, "ts_ns", "_open", "_close", PERIOD)
+        first = rows.groupBy("instrument_id", "file_date", "period_index").agg(F.min("ts_ns").alias("selected_at_ns"))
+        first = first.withColumn("strategy", F.explode(F.array(*[F.lit(f"S{i}") for i in range(4)])))
+        day = F.dayofmonth(F.to_date("file_date"))
+        return first.withColumns({
+            "owner": ((F.col("period_index") + day) % ARMS).cast("int"),
+            "version_id": F.concat(F.lit("w"), F.weekofyear(F.to_date("file_date")))})
+
+    @cached_property
+    def buckets(self):
+        placed = self.scored.withColumns({"_open": day_start(), "_close": day_start() + DAY})
+        return rw.period_buckets(self.selections, period_of(placed, "ts_ns", "_open", "_close", PERIOD))
+
+    @cached_property
+    def feedback(self):
+        rows = settle(self.buckets, "buckets")
+        return rw.period_feedback(rows, self.quotes, day_start(), PERIOD, day_start() + DAY, LONGEST)
+
+    @cached_property
+    def arms(self):
+        return rw.arm_stats(self.selections, self.feedback, ARMS)
 
 
 cte("fq", f"""
@@ -101,7 +141,6 @@ FROM fill0 f JOIN fill0 o ON o.strategy = f.strategy AND o.file_date = f.file_da
 cte("fill2", "SELECT *, CASE WHEN side > 0 THEN ask ELSE bid END + side * 0.125 AS price FROM fill1")
 cte("fl", """
 SELECT *, side * (price - mid) * 50.0 + 1.25 AS cost_usd, CASE WHEN NOT opening THEN direction * (mid - entry_mid) * 50.0 END AS realised_usd FROM fill2""")
-cte("sq", f"SELECT * FROM reasons")
 cte("tf", f"""
 SELECT r.*, ts_ns < end_ns AS tradable, ts_ns < end_ns AND ts_ns + {I} >= end_ns AS scheduled_exit, v.version_id
 FROM reasons r ASOF LEFT JOIN handver v ON v.available_at_ns <= r.ts_ns""")
@@ -113,10 +152,12 @@ FROM tf""")
 
 
 def flagged(spark, sf):
-    rows = lg.trade_flags(ft.with_change_reason(study.blocked(spark, sf), I), I)
+    quotes = settle(study.blocked(spark, sf), "quotes")
+    rows = lg.trade_flags(ft.with_change_reason(quotes, I), I)
     versions = inline(spark, "version_id, available_at_ns", list(VERSION_TIMES.items()))
-    rows = lg.with_version_change(asof_version(rows, versions, UNTIL), ["instrument_id"])
-    return lg.reset_reason(rows, ["instrument_id"])
+    rows = settle(asof_version(rows, versions, UNTIL), "versioned")
+    rows = lg.with_version_change(rows, ["instrument_id"])
+    return settle(lg.reset_reason(rows, ["instrument_id"]), "flags")
 
 
 @query("k01_trade_flags", "SELECT ts_ns, tradable, scheduled_exit FROM tf")
@@ -172,7 +213,7 @@ def k09(spark, sf):
 SELECT strategy, seq, side, ts_ns, round(price, 6) + 0.0 AS price, round(cost_usd, 6) + 0.0 AS cost_usd,
        round(cost_usd / (mid * 50.0), 6) + 0.0 AS cost_ratio, round(abs(price * 50.0), 6) + 0.0 AS turnover_usd FROM fl""")
 def k05(spark, sf):
-    rows = lg.price_fills(orders(spark, sf), CONTRACT)
+    rows = lg.price_fills(Day(spark, sf).orders, CONTRACT)
     return rounded_all(rows.select("strategy", "seq", "side", "ts_ns", "price", "cost_usd", "cost_ratio", "turnover_usd"))
 
 
@@ -189,7 +230,7 @@ FROM fl GROUP BY 1, 2, 3 HAVING count(*) = 2""")
 SELECT * REPLACE (CAST(owner AS INT) AS owner, round(entry_price, 6) + 0.0 AS entry_price, round(exit_price, 6) + 0.0 AS exit_price, round(gross_pnl_usd, 6) + 0.0 AS gross_pnl_usd,
   round(friction_usd, 6) + 0.0 AS friction_usd, round(net_pnl_usd, 6) + 0.0 AS net_pnl_usd, round(holding_ms, 6) + 0.0 AS holding_ms) FROM trade""")
 def k06(spark, sf):
-    return rounded_all(lg.pair_trades(fills(spark, sf), ACCOUNT).drop("instrument_id"))
+    return rounded_all(lg.pair_trades(Day(spark, sf).fills, ACCOUNT).drop("instrument_id"))
 
 
 cte("acct_quote", """
@@ -206,16 +247,12 @@ FROM (SELECT strategy, file_date, ts_ns, mid, coalesce(sum(realised) OVER w, 0.0
       FROM acct_quote WINDOW w AS (PARTITION BY strategy, file_date ORDER BY ts_ns ROWS UNBOUNDED PRECEDING))""")
 
 
-def curve(spark, sf, filled=None):
-    return lg.equity(day_quotes(spark, sf), filled or fills(spark, sf), ACCOUNT, CONTRACT)
-
-
 EQ = "strategy, file_date, ts_ns, position, round(realised_usd, 6) + 0.0 AS realised_usd, round(cost_usd, 6) + 0.0 AS cost_usd, round(gross_usd, 6) + 0.0 AS gross_usd, round(net_usd, 6) + 0.0 AS net_usd"
 
 
 @query("k07_mark_to_market", f"SELECT {EQ} FROM eq")
 def k07(spark, sf):
-    return rounded_all(curve(spark, sf).drop("instrument_id"))
+    return rounded_all(Day(spark, sf).curve.drop("instrument_id"))
 
 
 cte("dd", """
@@ -224,9 +261,9 @@ SELECT *, greatest(100000.0, max(100000.0 + net_usd) OVER (PARTITION BY strategy
 
 @query("w09_drawdown", """
 SELECT strategy, file_date, ts_ns, round(peak_usd, 6) + 0.0 AS peak_usd, round(peak_usd - (100000.0 + net_usd), 6) + 0.0 AS drawdown_usd,
-       round((peak_usd - (100000.0 + net_usd)) / peak_usd, 6) + 0.0 AS drawdown FROM dd""")
+       round((peak_usd - (100000.0 + net_usd)) / peak_usd, 10) + 0.0 AS drawdown FROM dd""")
 def w09(spark, sf):
-    rows = lg.drawdown(curve(spark, sf), ACCOUNT, CONTRACT.initial_capital)
+    rows = lg.drawdown(Day(spark, sf).curve, ACCOUNT, CONTRACT.initial_capital)
     return rounded_all(rows.select("strategy", "file_date", "ts_ns", "peak_usd", "drawdown_usd", "drawdown"))
 
 
@@ -235,7 +272,7 @@ SELECT strategy, file_date, ts_ns, round(net_usd, 6) + 0.0 AS net_usd
 FROM (SELECT *, row_number() OVER (PARTITION BY strategy, file_date ORDER BY ts_ns) - 1 AS i, count(*) OVER (PARTITION BY strategy, file_date) AS n FROM eq)
 WHERE i = n - 1 OR i % greatest(1, n // 300) = 0""")
 def w10(spark, sf):
-    return rounded_all(lg.thin_curve(curve(spark, sf), ACCOUNT).select("strategy", "file_date", "ts_ns", "net_usd"))
+    return rounded_all(lg.thin_curve(Day(spark, sf).curve, ACCOUNT).select("strategy", "file_date", "ts_ns", "net_usd"))
 
 
 cte("daysum", """
@@ -246,25 +283,20 @@ FROM (SELECT strategy, file_date, arg_max(gross_usd, ts_ns) AS gross_pnl_usd, ar
       FROM dd GROUP BY 1, 2) e
 JOIN (SELECT strategy, file_date, count(*) AS total_fills FROM fl GROUP BY 1, 2) f USING (strategy, file_date)
 LEFT JOIN (SELECT strategy, file_date, count(*) AS n, avg(holding_ms) AS holding_ms_mean FROM trade GROUP BY 1, 2) t USING (strategy, file_date)""")
-DAYSUM = ("* REPLACE (" + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in
+DAYSUM = ("* REPLACE (" + ", ".join(f"round({c}, {10 if c in RATIOS else 6}) + 0.0 AS {c}" for c in
           ["gross_pnl_usd", "friction_usd", "net_pnl_usd", "net_return", "max_drawdown", "max_drawdown_usd", "holding_ms_mean"]) + ")")
 
 
-def day_summaries(spark, sf):
-    filled = fills(spark, sf)
-    return lg.day_summary(curve(spark, sf, filled), filled, lg.pair_trades(filled, ACCOUNT), ACCOUNT, CONTRACT.initial_capital)
-
-
 @query("k08_day_summary", f"SELECT {DAYSUM} FROM daysum")
 def k08(spark, sf):
-    return rounded_all(day_summaries(spark, sf).drop("instrument_id"))
+    return rounded_all(Day(spark, sf).summaries.drop("instrument_id"))
 
 
 @query("k10_attribution", """
 SELECT f.strategy, f.seq, f.opening, CAST(f.owner AS INT) AS owner, f.direction, round(f.entry_mid, 6) + 0.0 AS entry_mid, o.version_id, f.version_id AS trigger_version
 FROM fl f JOIN fl o ON o.strategy = f.strategy AND o.file_date = f.file_date AND o.trade_number = f.trade_number AND o.opening""")
 def k10(spark, sf):
-    return rounded_all(fills(spark, sf).select("strategy", "seq", "opening", "owner", "direction", "entry_mid", "version_id", "trigger_version"))
+    return rounded_all(Day(spark, sf).fills.select("strategy", "seq", "opening", "owner", "direction", "entry_mid", "version_id", "trigger_version"))
 
 
 cte("mk", """
@@ -290,7 +322,7 @@ U = "round(u1, 6) + 0.0 AS u1, round(u2, 6) + 0.0 AS u2, round(u3, 6) + 0.0 AS u
 
 @query("r01_fill_markout", f"SELECT strategy, seq, status, {U} FROM sc")
 def r01(spark, sf):
-    return u_columns(rw.markout(fills(spark, sf), HORIZONS), "strategy", "seq", "status")
+    return u_columns(Day(spark, sf).marked, "strategy", "seq", "status")
 
 
 @query("r02_signal_markout", """
@@ -307,24 +339,24 @@ FROM (SELECT p.*, f.mid, t1.mid AS m1, t2.mid AS m2, t3.mid AS m3,
 def r02(spark, sf):
     signals = learning.predictions(spark, sf).where("yhat is not null").select(
         "instrument_id", "file_date", "ts_ns", "model_id", md.direction(F.col("yhat"), STUDY.threshold).alias("side"))
-    rows = signals.join(day_quotes(spark, sf), ["instrument_id", "file_date", "ts_ns"])
+    rows = signals.join(Day(spark, sf).quotes, ["instrument_id", "file_date", "ts_ns"])
     return u_columns(rw.markout(rows, HORIZONS), "model_id", "ts_ns", "side", "status")
 
 
 @query("r03_maturity", "SELECT strategy, status, count(*) AS fills FROM mk GROUP BY ALL")
 def r03(spark, sf):
-    rows = orders(spark, sf).withColumn("status", rw.maturity(HORIZONS))
+    rows = Day(spark, sf).orders.withColumn("status", rw.maturity(HORIZONS))
     return rows.groupBy("strategy", "status").agg(F.count(F.lit(1)).alias("fills"))
 
 
 @query("r04_weighted_score", "SELECT strategy, seq, round(raw_score, 6) + 0.0 AS raw_score FROM sc")
 def r04(spark, sf):
-    return rounded_all(rw.score(rw.markout(fills(spark, sf), HORIZONS), WEIGHTS).select("strategy", "seq", "raw_score"))
+    return rounded_all(rw.score(Day(spark, sf).marked, WEIGHTS).select("strategy", "seq", "raw_score"))
 
 
 @query("r05_friction_score", "SELECT strategy, seq, round(raw_score, 6) + 0.0 AS raw_score, round(cost_price, 6) + 0.0 AS cost_price, round(score, 6) + 0.0 AS score FROM sc")
 def r05(spark, sf):
-    return rounded_all(scored(spark, sf).select("strategy", "seq", "raw_score", "cost_price", "score"))
+    return rounded_all(Day(spark, sf).scored.select("strategy", "seq", "raw_score", "cost_price", "score"))
 
 
 cte("wts", """
@@ -338,7 +370,7 @@ SELECT strategy, CASE WHEN count(*) <> 3 THEN 'wrong_length' ELSE 'sum_not_one'
 FROM wts GROUP BY 1 HAVING count(*) <> 3 OR abs(sum(weight) - 1) > 1e-8""")
 def r06(spark, sf):
     # Weights from each strategy's absolute markouts; one set loses a horizon, one is scaled.
-    size = rw.markout(fills(spark, sf), HORIZONS).groupBy("strategy").agg(
+    size = Day(spark, sf).marked.groupBy("strategy").agg(
         *[F.sum(F.abs(F.get("u", F.lit(i)))).alias(f"a{i}") for i in range(3)])
     whole = F.col("a0") + F.col("a1") + F.col("a2")
     sets = F.array(*[F.struct(F.lit(h).cast("bigint").alias("horizon_ms"), (F.col(f"a{i}") / whole).alias("weight")) for i, h in enumerate(HORIZONS)])
@@ -352,10 +384,6 @@ SELECT strategy, file_date, count(*) FILTER (WHERE status = 'matured') AS mature
        coalesce(avg(u1), 0.0) AS mu1, coalesce(avg(u2), 0.0) AS mu2, coalesce(avg(u3), 0.0) AS mu3 FROM sc GROUP BY 1, 2""")
 
 
-def expectations(spark, sf):
-    return rw.expectation(rw.markout(fills(spark, sf), HORIZONS), ACCOUNT, HORIZONS)
-
-
 def mu_columns(df, *keep):
     return rounded_all(df.select(*keep, *[F.get("mu", F.lit(i)).alias(f"mu{i + 1}") for i in range(3)]))
 
@@ -365,7 +393,7 @@ MU = "round(mu1, 6) + 0.0 AS mu1, round(mu2, 6) + 0.0 AS mu2, round(mu3, 6) + 0.
 
 @query("r07_expectation", f"SELECT strategy, file_date, matured, defined, {MU} FROM expect")
 def r07(spark, sf):
-    return mu_columns(expectations(spark, sf), "strategy", "file_date", "matured", "defined")
+    return mu_columns(rw.expectation(Day(spark, sf).marked, ACCOUNT, HORIZONS), "strategy", "file_date", "matured", "defined")
 
 
 AUDIT = ["raw_sum", "cost_sum", "cost_usd_sum", "adjusted_sum", "raw_mean", "cost_mean", "adjusted_mean"]
@@ -378,7 +406,7 @@ FROM (SELECT strategy, file_date, count(*) AS matured_fills, sum(raw_score) AS r
              avg(raw_score) AS raw_mean, avg(cost_price) AS cost_mean, avg(score) AS adjusted_mean FROM sc WHERE status = 'matured' GROUP BY 1, 2)
 UNION ALL SELECT strategy, file_date, 0, 0.0, 0.0, 0.0, 0.0, NULL, NULL, NULL, true FROM expect WHERE NOT defined""")
 def r08(spark, sf):
-    return rounded_all(rw.friction_audit(scored(spark, sf), ACCOUNT, CONTRACT).drop("instrument_id"))
+    return rounded_all(rw.friction_audit(Day(spark, sf).scored, ACCOUNT, CONTRACT).drop("instrument_id"))
 
 
 cte("sel", """
@@ -394,15 +422,9 @@ FULL JOIN (SELECT strategy, file_date, version_id, (ts_ns % 86400000000000) // 1
 USING (strategy, file_date, version_id, period_index, owner)""")
 
 
-def buckets(spark, sf):
-    placed = scored(spark, sf).withColumns({"_open": day_start(), "_close": day_start() + DAY})
-    placed = period_of(placed, "ts_ns", "_open", "_close", PERIOD)
-    return rw.period_buckets(selections(spark, sf), placed)
-
-
 @query("r09_period_buckets", "SELECT * REPLACE (round(reward_sum, 6) + 0.0 AS reward_sum) FROM bucket")
 def r09(spark, sf):
-    return rounded_all(buckets(spark, sf).drop("instrument_id"))
+    return rounded_all(Day(spark, sf).buckets.drop("instrument_id"))
 
 
 cte("fb", """
@@ -416,14 +438,9 @@ JOIN (SELECT DISTINCT file_date, last_ns FROM fq) l ON l.file_date = b.file_date
 cte("fbr", "SELECT *, CASE WHEN status = 'matured' THEN reward_sum / orders END AS reward FROM fb")
 
 
-def feedback(spark, sf):
-    quotes = study.snapshots(spark, sf).select("instrument_id", "file_date", "ts_ns")
-    return rw.period_feedback(buckets(spark, sf), quotes, day_start(), PERIOD, day_start() + DAY, LONGEST)
-
-
 @query("r10_period_feedback", "SELECT strategy, file_date, version_id, period_index, owner, observed_at_ns, status, round(reward, 6) + 0.0 AS reward FROM fbr")
 def r10(spark, sf):
-    return rounded_all(feedback(spark, sf).select("strategy", "file_date", "version_id", "period_index", "owner", "observed_at_ns", "status", "reward"))
+    return rounded_all(Day(spark, sf).feedback.select("strategy", "file_date", "version_id", "period_index", "owner", "observed_at_ns", "status", "reward"))
 
 
 cte("arms", """
@@ -434,13 +451,9 @@ SELECT s.strategy, s.file_date, s.version_id, s.period_index, s.selected_at_ns,
 FROM sel s CROSS JOIN (SELECT CAST(range AS INT) AS arm FROM range(3)) a""")
 
 
-def arms(spark, sf):
-    return rw.arm_stats(selections(spark, sf), feedback(spark, sf), ARMS)
-
-
 @query("r11_arm_stats", "SELECT * REPLACE (round(reward_sum, 6) + 0.0 AS reward_sum) FROM arms")
 def r11(spark, sf):
-    return rounded_all(arms(spark, sf).drop("instrument_id"))
+    return rounded_all(Day(spark, sf).arms.drop("instrument_id"))
 
 
 @query("r12_ucb_scores", """
@@ -451,14 +464,14 @@ FROM (SELECT *, min(CASE WHEN key = top THEN arm END) OVER (PARTITION BY strateg
                   FROM (SELECT *, CASE WHEN visits > 0 THEN reward_sum / greatest(feedback, 1) + sqrt(2 * ln(greatest(total, 1)) / visits) END AS score
                         FROM (SELECT *, sum(visits) OVER (PARTITION BY strategy, file_date, selected_at_ns) AS total FROM arms)))))""")
 def r12(spark, sf):
-    rows = rw.ucb_scores(arms(spark, sf), STUDY.exploration)
+    rows = rw.ucb_scores(Day(spark, sf).arms, STUDY.exploration)
     return rounded_all(rows.select("strategy", "file_date", "period_index", "arm", "visits", "score", "best_arm", "is_best", "agrees"))
 
 
 @query("r13_round_robin", """
 SELECT strategy, file_date, period_index, CAST((row_number() OVER (PARTITION BY strategy, file_date ORDER BY selected_at_ns) - 1) % 3 AS INT) AS rotation_arm FROM sel""")
 def r13(spark, sf):
-    return rw.round_robin(selections(spark, sf), ARMS).select("strategy", "file_date", "period_index", F.col("rotation_arm").cast("int").alias("rotation_arm"))
+    return rw.round_robin(Day(spark, sf).selections, ARMS).select("strategy", "file_date", "period_index", F.col("rotation_arm").cast("int").alias("rotation_arm"))
 
 
 @query("r14_arm_summary", """
@@ -467,7 +480,8 @@ FROM (SELECT DISTINCT version_id FROM sel) v CROSS JOIN (SELECT CAST(range AS IN
 LEFT JOIN (SELECT version_id, owner, count(*) AS visits FROM sel GROUP BY 1, 2) s ON s.version_id = v.version_id AND s.owner = a.owner
 LEFT JOIN (SELECT version_id, owner, count(*) AS feedback, avg(reward) AS mean_reward FROM fbr WHERE reward IS NOT NULL GROUP BY 1, 2) f ON f.version_id = v.version_id AND f.owner = a.owner""")
 def r14(spark, sf):
-    return rounded_all(rw.arm_summary(selections(spark, sf), feedback(spark, sf), ARMS))
+    day = Day(spark, sf)
+    return rounded_all(rw.arm_summary(day.selections, settle(day.feedback), ARMS))
 
 
 @query("k11_version_audit", """
@@ -476,7 +490,8 @@ SELECT version_id, (SELECT count(*) FROM sel x WHERE x.version_id = v.version_id
        count(*) FILTER (WHERE status = 'unmatured_at_end') AS oe_unmatured_at_end
 FROM (SELECT DISTINCT version_id FROM sel) v LEFT JOIN mk USING (version_id) GROUP BY 1""")
 def k11(spark, sf):
-    return lg.version_audit(selections(spark, sf), rw.markout(fills(spark, sf), HORIZONS))
+    day = Day(spark, sf)
+    return lg.version_audit(day.selections, day.marked)
 
 
 @query("k12_selection_distribution", """
@@ -484,4 +499,4 @@ SELECT owner, count(s.owner2) AS decisions, round(count(s.owner2) / CAST((SELECT
 FROM (SELECT CAST(range AS INT) AS owner FROM range(4)) m LEFT JOIN (SELECT owner AS owner2 FROM sel) s ON s.owner2 = m.owner GROUP BY 1""")
 def k12(spark, sf):
     models = inline(spark, "owner", [(i,) for i in range(4)])
-    return rounded_all(lg.selection_distribution(selections(spark, sf), models))
+    return rounded_all(lg.selection_distribution(Day(spark, sf).selections, models))

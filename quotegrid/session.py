@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,10 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Materialize once in the shared folder, so later uses neither recompute nor
-    depend on the executors that computed it."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write an intermediate once as a table in the shared folder and read it back.
+
+    Later uses neither recompute it nor depend on the executors that computed it,
+    read only the columns they need, and the planner knows its size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
