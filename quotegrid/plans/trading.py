@@ -63,7 +63,7 @@ class Day:
         """Purchases play fills: alternating open and close per strategy and day, priced at the next quote."""
         bought = messages(self.spark, self.sf).where("event_type = 'purchase'").select(
             F.concat(F.lit("S"), F.col("user_id") % 4).alias("strategy"), "instrument_id", "file_date", "seq", "k",
-            (F.col("user_id") % ARMS).cast("int").alias("owner"), F.col("recv_ns").alias("ts_ns"))
+            (F.col("user_id") % ARMS).cast("int").alias("owner"), "recv_ns", F.col("recv_ns").alias("ts_ns"))
         bought = ordinal(bought, ACCOUNT, "seq", lg.SEQ_CHUNK).withColumn("opening", F.col("rn") % 2 == 1)
         values = ["bid", "ask", "mid", "continuous_block", "targets", "last_ns"]
         found = asof(bought, self.quotes, "ts_ns", rw.DAY_KEYS, values, forward=True).where("matched_ts_ns is not null")
