@@ -28,7 +28,16 @@ def epoch_ns(column: str):
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Book messages with all columns of a ten-level file that sampling reads."""
-    events = table(spark, sf_dir, "events")
+    return as_messages(table(spark, sf_dir, "events"))
+
+
+def message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same messages as a file stream."""
+    schema = table(spark, sf_dir, "events").schema
+    return as_messages(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
+
+
+def as_messages(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     keyed = events.select(
         F.col("event_id").alias("seq"), F.col("event_id").alias("sequence"), F.lit(1).cast("bigint").alias("instrument_id"),
