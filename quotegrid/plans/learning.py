@@ -12,7 +12,7 @@ from quotegrid.operators import models as md
 from quotegrid.operators.calendar import inline
 from quotegrid.params import BASE_FEATURES, FEATURE_GROUPS, LIBRARY_FEATURES
 from quotegrid.plans import study
-from quotegrid.plans.prepare import UNTIL, schedule, seen_sessions
+from quotegrid.plans.prepare import UNTIL, schedule
 from quotegrid.plans.registry import cte, query
 from quotegrid.plans.study import HORIZONS, I, SPLITS
 from quotegrid.operators.calendar import training_days
@@ -162,13 +162,20 @@ def l09(spark, sf):
     return ft.bounded_sample(samples(spark, sf), 300, 42, "ts_ns").select("session_id", "ts_ns")
 
 
-def tdays(spark, sf):
-    seen = seen_sessions(spark, sf)
-    return training_days(schedule(spark, sf, seen), seen, STUDY.history_counts, "2024-01-02")
+TRAINING_COLUMNS = ["instrument_id", "session_id", "ts_ns", "open_ns", "close_ns", "mid_price", "continuous_block", "feature_valid", *LIBRARY_FEATURES]
+
+
+def training_inputs(spark, sf):
+    """Training rows and schedule of a prepared dataset that is written once and read by both."""
+    rows = settle(study.library(spark, sf).select(*TRAINING_COLUMNS), "prepared")
+    seen = settle(rows.select("session_id", "open_ns", "close_ns").distinct(), "sessions")
+    days = training_days(schedule(spark, sf, seen), seen, STUDY.history_counts, "2024-01-02")
+    return ft.training_samples(rows, H1, PURGE, ["instrument_id", "session_id", "ts_ns", *LIBRARY_FEATURES]), days
 
 
 def moments(spark, sf):
-    return md.version_moments(md.session_moments(samples(spark, sf), ["session_id"]), tdays(spark, sf))
+    rows, days = training_inputs(spark, sf)
+    return md.version_moments(md.session_moments(rows, ["session_id"]), days)
 
 
 cte("vtrain", "SELECT d.update_session, d.history_count, t.* FROM tdays d JOIN train t USING (session_id)")
@@ -211,7 +218,8 @@ def m03(spark, sf):
 
 
 def _library(spark, sf, min_leaf=20):
-    return md.build_library(settle(samples(spark, sf), "samples"), tdays(spark, sf), alpha=STUDY.ridge_alpha, depth=STUDY.tree_depth, min_leaf=min_leaf,
+    rows, days = training_inputs(spark, sf)
+    return md.build_library(settle(rows, "samples"), days, alpha=STUDY.ridge_alpha, depth=STUDY.tree_depth, min_leaf=min_leaf,
                             sample=STUDY.tree_sample, seed=STUDY.seed)
 
 
