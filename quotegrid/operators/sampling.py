@@ -171,8 +171,15 @@ def age_ladder(snapshots: DataFrame, ages_ms: list[int]) -> DataFrame:
 
 
 def prefix(book: DataFrame, count: int, seq_chunk: int = SEQ_CHUNK) -> DataFrame:
-    """First ``count`` records of every source file, tagged as a partial input."""
-    from quotegrid.operators.ordered import ordinal
+    """First ``count`` records of every source file, tagged as a partial input.
 
-    return (ordinal(book, SOURCE, "seq", seq_chunk, "record").where(F.col("record") <= count)
-            .withColumn("partial_prefix", F.lit(True)))
+    Chunk sizes (a key-only aggregate) tell which chunks can hold them; other
+    chunks are dropped by a join on small rows before anything is shuffled.
+    """
+    keyed = book.withColumn("_chunk", chunk_of("seq", seq_chunk))
+    sizes = keyed.groupBy(*SOURCE, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*SOURCE).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    head = sizes.select(*SOURCE, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")).where(F.col("_before") < count)
+    local = Window.partitionBy(*SOURCE, "_chunk").orderBy("seq")
+    rows = keyed.join(head, [*SOURCE, "_chunk"]).withColumn("record", F.row_number().over(local) + F.col("_before"))
+    return rows.where(F.col("record") <= count).select(*book.columns, "record", F.lit(True).alias("partial_prefix"))

@@ -96,6 +96,18 @@ def l01(spark, sf):
         *LABEL_COLUMNS.split(", "), r6(F.col("future_price_diff")).alias("future_price_diff"), r6(F.col("future_return")).alias("future_return"))
 
 
+_wide = ", ".join(
+    f"max(label_end_ns) FILTER (WHERE horizon_ms = {h}) AS label_end_{h}ms, bool_or(label_valid) FILTER (WHERE horizon_ms = {h}) AS label_valid_{h}ms, "
+    f"max(label_reason) FILTER (WHERE horizon_ms = {h}) AS label_reason_{h}ms, round(max(future_price_diff) FILTER (WHERE horizon_ms = {h}), 6) + 0.0 AS future_price_diff_{h}ms, "
+    f"round(max(future_return) FILTER (WHERE horizon_ms = {h}), 6) + 0.0 AS future_return_{h}ms" for h in HORIZONS)
+
+
+@query("l01_labels_wide", f"SELECT session_id, ts_ns, {_wide} FROM lbl GROUP BY 1, 2")
+def l01_wide(spark, sf):
+    rows = ft.wide_labels(study.long_labels(spark, sf), HORIZONS).drop("instrument_id")
+    return rows.select(*[r6(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in rows.schema.fields])
+
+
 @query("l02_label_reasons", "SELECT horizon_ms, label_reason, count(*) AS rows FROM lbl GROUP BY ALL")
 def l02(spark, sf):
     return study.long_labels(spark, sf).groupBy("horizon_ms", "label_reason").agg(F.count(F.lit(1)).alias("rows"))

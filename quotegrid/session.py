@@ -30,9 +30,10 @@ def local_session(cores: int = 8, name: str = "quotegrid", **conf: str) -> Spark
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the cluster.  Only a local session without one gets
     a temporary folder: a machine-local folder would not survive a lost executor."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", folder)

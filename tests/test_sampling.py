@@ -90,3 +90,11 @@ def test_replayed_batch_is_written_once(spark):
     write(spark.range(5), 0)
     write(spark.range(2), 1)
     assert spark.read.parquet(path).count() == 5
+
+
+@pytest.mark.parametrize("chunk", [3, 1 << 18])
+def test_prefix_takes_the_first_records_of_each_file(spark, chunk):
+    rows = random_files(11, files=8)
+    got = sm.prefix(spark.createDataFrame(rows, BOOK_SCHEMA), 7, chunk).collect()
+    expected = {(d, r[0], n + 1) for d in {r[4] for r in rows} for n, r in enumerate([r for r in rows if r[4] == d][:7])}
+    assert {(r.file_date, r.seq, r.record) for r in got} == expected
