@@ -205,12 +205,14 @@ def m01(spark, sf):
 
 
 def _gram_sql():
+    # As in m01: a constant feature has deviation zero and is scaled by one.
+    sd = lambda c: f"coalesce(nullif(stddev_pop({c}), 0), 1)"
     parts = []
     for g, cs in FEATURE_GROUPS.items():
         for i, a in enumerate(cs):
             for j, b in enumerate(cs[i:], i):
-                parts.append((g, i, j, f"count(*) * covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b}))"))
-            parts.append((g, i, -1, f"count(*) * covar_pop({a}, y) / stddev_pop({a})"))
+                parts.append((g, i, j, f"count(*) * covar_pop({a}, {b}) / ({sd(a)} * {sd(b)})"))
+            parts.append((g, i, -1, f"count(*) * covar_pop({a}, y) / {sd(a)}"))
     fields = ", ".join(f"{{'feature_group': '{g}', 'i': {i}, 'j': {j}, 'value': {v}}}" for g, i, j, v in parts)
     return f"""
 SELECT update_session, history_count, n, e.feature_group, e.i, e.j, round(e.value, 4) + 0.0 AS value
