@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quotegrid.llm import language_spans, quality_rules, squares_packing
+from quotegrid.llm import language_spans, prefix_join, quality_rules, sentence_spans, squares_packing
 from quotegrid.session import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,11 +31,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return same_rows(docs, quality_rules.judge_quality(docs, labels), F.col("kept"))
 
 
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each group of near copies; documents without an id stay."""
+    classes = prefix_join.similar_components(docs, shingle=5, percent=80)
+    dropped = classes.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated passages out of the texts; ``n_chars`` is the new length."""
+    cut = sentence_spans.drop_repeats(docs)
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return squares_packing.pack(docs)
 
 
-STAGES = [("language", language_stage), ("quality", quality_stage), ("packing", packing_stage)]
+STAGES = [("language", language_stage), ("quality", quality_stage), ("jaccard", jaccard_stage), ("substring", substring_stage), ("packing", packing_stage)]
 ORACLE_SQL = None
 
 
