@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quotegrid.llm import bpe_tree, language_spans, multi_index, prefix_join, quality_rules, resync_counts, sentence_spans, squares_packing, warc_dictionary
+from quotegrid.llm import bpe_tree, cover_dedup, language_spans, multi_index, prefix_join, quality_rules, resync_counts, sentence_spans, squares_packing, warc_dictionary
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_multi_index": multi_index.op6_query,
     "op7_prefix_join": prefix_join.op7_query,
     "op8_resync_counts": resync_counts.op8_query,
+    "op9_cover_dedup": cover_dedup.op9_query,
     "op10_squares_packing": squares_packing.op10_query,
 }
 ORACLES = {"op2_warc_dictionary": warc_dictionary.OP2_SQL}
