@@ -9,7 +9,7 @@ of two emits for both.
 
 Counts come from a sketch over all rows, of fixed size; it decides the order only, so it can't change a result.
 Documents with equal sets are one node from the start.  In each signature's bucket every member is verified against
-the bucket's first one; further pairs are verified only where these links leave members in different components and
+the bucket's first one (token counts by hash class rule out most pairs before their sets are moved); further pairs are verified only where these links leave members in different components and
 the triangle inequality of Jaccard distance doesn't rule them out.  No bucket is brought into one task.
 
 Defined results: null text, and text without words, is an empty set: linked with nothing, its own component.  A text
@@ -119,6 +119,16 @@ def signatures(tokens: np.ndarray, order: Order, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+CLASSES = 128
+
+
+def profile(tokens: np.ndarray) -> bytes | None:
+    """Tokens per hash class; what two profiles have in common bounds what their sets have.  None
+    (no bound) for sets too large for its 16-bit counts."""
+    counts = np.bincount((tokens & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+    return counts.astype(np.uint16).tobytes() if counts.max() < 1 << 16 else None
+
+
 def digest(tokens: np.ndarray) -> tuple[int, int]:
     """128 bits of a set."""
     import hashlib
@@ -127,7 +137,7 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def sketch_rows(docs: DataFrame, order: Order, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, signatures) per row."""
+    """(doc_id, n_shingles, d1, d2, profile, signatures) per row."""
     shared = docs.sparkSession.sparkContext.broadcast(order)  # WIDTH counts
 
     def run(batches):
@@ -137,11 +147,11 @@ def sketch_rows(docs: DataFrame, order: Order, shingle: int, percent: int) -> Da
             marks = [digest(s) if len(s) else (0, 0) for s in sets]
             sigs = [signatures(s, order, percent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             cut = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([profile(s) for s in sets], pa.binary()),
                                               pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))],
-                                             names=["doc_id", "n_shingles", "d1", "d2", "signatures"])
+                                             names=["doc_id", "n_shingles", "d1", "d2", "profile", "signatures"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, signatures array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, profile binary, signatures array<long>")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -157,6 +167,24 @@ def node_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     return sets.join(nodes.select("node", "d1", "d2"), ["d1", "d2"]).select("node", "tokens")
 
 
+def screen(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, low, open) of each pair: the least distance their profiles allow, and whether the pair can be similar."""
+    def run(batches):
+        for batch in batches:
+            m, n = (batch.column(c).to_numpy() for c in ("m", "n"))
+            common = np.minimum(m, n).astype(np.int64)
+            known = np.array([x.is_valid and y.is_valid for x, y in zip(batch.column("p"), batch.column("q"))], bool)
+            if known.any():
+                p, q = (np.frombuffer(b"".join(v for v, k in zip(batch.column(c).to_pylist(), known) if k), np.uint16).reshape(-1, CLASSES) for c in "pq")
+                common[known] = np.minimum(p, q).sum(axis=1, dtype=np.int64)
+            joint = m + n - common
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(1 - common / joint), pa.array(common * 100 >= joint * percent)], names=["a", "b", "low", "open"])
+
+    both = (pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("profile").alias("p")), "a")
+            .join(nodes.select(F.col("node").alias("b"), "n", F.col("profile").alias("q")), "b"))
+    return both.select("a", "b", "m", "n", "p", "q").mapInArrow(run, "a long, b long, low double, open boolean")
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, common, joint) of each pair, from the whole sets."""
     def run(batches):
@@ -174,35 +202,46 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common long, joint long")
 
 
+def ends_of(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    return nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "doc_id", "d1", "d2")
+
+
 def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: the least doc_id reachable over pairs with
     100 * common >= percent * joint."""
     order = token_order(docs, shingle)
     rows = settle(sketch_rows(docs, order, shingle, percent), "sets")
-    one = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    one = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
     nodes = settle(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    first = rows.select("doc_id", "d1", "d2", "signatures").join(nodes, ["d1", "d2", "doc_id"]).dropDuplicates(["node"])
-    tokens = first.select("node", "n", F.explode("signatures").alias("sig"))
+    first = rows.join(nodes, ["d1", "d2", "doc_id"])
+    tokens = first.select("node", F.col("n_shingles").alias("n"), F.explode("signatures").alias("sig"))
     buckets = tokens.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").select("sig", "center")
     members = settle(tokens.join(buckets, "sig").select("sig", "node", "n", "center"), "members")
 
-    needed = members.select("node").distinct().join(nodes, "node")
-    sets = settle(node_sets(docs, needed, shingle), "token-sets")
-    stars = settle(verify(members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), sets), "stars")
+    needed = members.select("node").distinct()
+    profiles = settle(first.join(needed, "node", "left_semi").select("node", F.col("n_shingles").alias("n"), "profile", "doc_id", "d1", "d2").dropDuplicates(["node"]), "profiles")
+    pairs = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    stars = settle(screen(pairs, profiles, percent), "stars")
+    able = stars.where("open").select("a", "b")
     close = F.col("common") * 100 >= F.col("joint") * percent
-    links = stars.where(close).select("a", "b")
+    checked = settle(verify(able, node_sets(docs, ends_of(able, profiles), shingle)), "checked")
+    links = checked.where(close).select("a", "b")
     parts = settle(components(links), "parts")
 
-    label = (members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-             .join(stars.select(F.col("a").alias("center"), F.col("b").alias("node"), (1 - F.col("common") / F.col("joint")).alias("far")), ["center", "node"], "left")
-             .select("sig", "node", "n", "part", F.coalesce("far", F.lit(0.0)).alias("far")))
+    # distances to the bucket's first member: exact where verified, else between what the profiles allow and 1
+    exact = 1 - F.col("common") / F.col("joint")
+    known = stars.join(checked, ["a", "b"], "left").select(F.col("a").alias("center"), F.col("b").alias("node"), F.coalesce(exact, "low").alias("near"), F.coalesce(exact, F.lit(1.0)).alias("far"))
+    label = (members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).join(known, ["center", "node"], "left")
+             .select("sig", "node", "n", "part", F.coalesce("near", F.lit(0.0)).alias("near"), F.coalesce("far", F.lit(0.0)).alias("far")))
+    label = settle(label, "labelled")
     split = label.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sig")
     left = settle(label.join(split, "sig"), "unsettled")
     reach = 1 - percent / 100 + 1e-9
     x, y = left.alias("x"), left.alias("y")
-    more = (x.join(y, F.expr(f"x.sig = y.sig AND x.node < y.node AND x.part <> y.part AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} AND abs(x.far - y.far) <= {reach}"))
+    more = (x.join(y, F.expr(f"x.sig = y.sig AND x.node < y.node AND x.part <> y.part AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} AND x.near - y.far <= {reach} AND y.near - x.far <= {reach}"))
             .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"))
-    extra = verify(more, sets).where(close).select("a", "b")
+    able = settle(screen(more, profiles, percent).where("open").select("a", "b"), "further")
+    extra = verify(able, node_sets(docs, ends_of(able, profiles), shingle)).where(close).select("a", "b")
     joined = components(links.select("a", "b").unionByName(extra))
     named = nodes.select("node", "d1", "d2", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
