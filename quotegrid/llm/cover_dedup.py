@@ -40,12 +40,14 @@ FILTER_BITS = 1 << 28
 DISTANCE = np.array([[next(d for d in range(MODULUS) if (i + d) % MODULUS in COVER and (j + d) % MODULUS in COVER) for j in range(MODULUS)] for i in range(MODULUS)])
 
 
+def every_word(data: np.ndarray, order: str) -> np.ndarray:
+    """View of the 64-bit word at each byte position but the last seven."""
+    return np.ndarray((max(0, len(data) - 7),), dtype=f"{order}u8", buffer=data, strides=(1,))
+
+
 def words_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Big-endian 64-bit words at byte positions; ``data`` has 8 spare bytes."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | data[at + k].astype(np.uint64)
-    return out
+    return every_word(data, ">")[at].astype(np.uint64)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -53,16 +55,14 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     n = len(data) - GRAM + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    one = np.zeros(len(data), np.uint64)
-    for k in range(8):
-        one = (one << np.uint64(8)) | padded[k:k + len(data)].astype(np.uint64)
-    value = mix(one[:n])
-    for at in range(8, GRAM - 7, 8):
-        value = mix(value + one[at:at + n])
-    if GRAM % 8:
-        value = mix(value + one[GRAM - 8:GRAM - 8 + n])
-    return value
+    one = every_word(np.ascontiguousarray(data), "<").astype(np.uint64)
+    factors = mix(np.arange(1, 5, dtype=np.uint64)) | np.uint64(1)
+    value = one[:n] * factors[0]
+    for f, at in zip(factors[1:], (*range(8, GRAM - 7, 8), GRAM - 8)):
+        word = one[at:at + n] * f
+        word ^= word >> np.uint64(32)
+        value += word * f
+    return mix(value)
 
 
 def anchors(data: np.ndarray, borders: np.ndarray):
@@ -99,13 +99,10 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
             hashes, row, _, _ = anchors(*text_bytes(batch.column("text")))
             if not len(hashes):
                 continue
-            order = np.argsort(hashes, kind="stable")
-            hashes, doc = hashes[order], ids[row[order]]
-            opens = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[opens].view(np.int64)), pa.array(np.minimum.reduceat(doc, opens)), pa.array(np.maximum.reduceat(doc, opens))], names=["anchor", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[row])], names=["anchor", "doc_id"])
 
-    thin = known_rows(docs).mapInArrow(run, "anchor long, low long, high long")
-    return thin.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("anchor")
+    thin = known_rows(docs).mapInArrow(run, "anchor long, doc_id long")
+    return thin.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
 
 
 def filter_slots(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
