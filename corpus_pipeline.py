@@ -12,23 +12,16 @@ from quotegrid.session import shared_folder
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def same_rows(docs: DataFrame, decided: DataFrame, keep) -> DataFrame:
-    """Documents whose decision meets ``keep``; repeated ids share one decision."""
-    chosen = decided.where(keep).select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi").select(*docs.columns)
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language holds at least half of their letters."""
     model = language_spans.learn_languages(docs)
-    labelled = language_spans.label_languages(docs, model)
-    return same_rows(docs, labelled, (F.col("lang_pred") != "und") & (F.col("score") >= 0.5))
+    boxed = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return language_spans.label_languages(boxed, model).where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select("row.*")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that pass the base rules and the learned list."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return same_rows(docs, quality_rules.judge_quality(docs, labels), F.col("kept"))
+    return quality_rules.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     base = np.uint64(0x9E3779B97F4A7C15)
     inverse = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
     out = np.empty(len(starts), np.uint64)
-    step = 1 << 20  # words at a time, so that the work arrays stay small
+    step = 1 << 18  # words at a time, so that the work arrays stay small
     for a in range(0, len(starts), step):
         s, e = starts[a:a + step], ends[a:a + step]
         lo, hi = int(s[0]), int(e[-1])
@@ -100,7 +100,7 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
-def rows_by(batches, most_bytes: int = 16 << 20):
+def rows_by(batches, most_bytes: int = 4 << 20):
     """Cut Arrow batches so that the strings of one piece stay under ``most_bytes`` (one row at least)."""
     for batch in batches:
         if batch.num_rows <= 1 or batch.nbytes <= most_bytes:

@@ -94,7 +94,7 @@ def known_rows(docs: DataFrame) -> DataFrame:
 def shared_anchors(docs: DataFrame) -> DataFrame:
     """Anchor hashes that stand in two documents and more."""
     def run(batches):
-        for batch in rows_by(batches, 8 << 20):
+        for batch in rows_by(batches, 3 << 20):
             ids = batch.column("doc_id").to_numpy()
             hashes, row, _, _ = anchors(*text_bytes(batch.column("text")))
             if not len(hashes):
@@ -130,11 +130,11 @@ def shared_filter(table: DataFrame) -> np.ndarray:
 
     n = table.rdd.getNumPartitions()
     parts = table.mapInArrow(fill, "bits binary")
-    while n > 4:
+    while n > 1:
         n = -(-n // 8)
         parts = parts.repartition(n).mapInArrow(join, "bits binary")
     out = np.zeros(bits // 8, np.uint8)
-    for r in parts.collect():  # four filters of fixed size at most
+    for r in parts.collect():  # one filter of fixed size
         out |= np.frombuffer(r["bits"], np.uint8)
     return out
 
@@ -149,7 +149,7 @@ def window_pieces(docs: DataFrame, bits: np.ndarray) -> DataFrame:
 
     def run(batches):
         bits = shared.value
-        for batch in rows_by(batches, 8 << 20):
+        for batch in rows_by(batches, 3 << 20):
             ids = batch.column("doc_id").to_numpy()
             data, borders = text_bytes(batch.column("text"))
             hashes, row, first, windows = anchors(data, borders)

@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from quotegrid.llm.arrays import mix, one_array, rows_by, text_bytes
 
@@ -158,15 +158,16 @@ SPAN = "array<struct<lang:string,first_word:int,n_words:int>>"
 
 
 def label_languages(docs: DataFrame, model: Model | None, penalty: float = 12.0) -> DataFrame:
-    """(doc_id, lang_pred, score, spans) per row; score is the predicted language's share of letters."""
+    """Every row with lang_pred, score and spans; score is the predicted language's share of letters.
+    Columns of the same names are replaced."""
     if model is None:
-        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.array().cast(SPAN).alias("spans"))
+        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0), "spans": F.array().cast(SPAN)})
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS floats
 
     def label(batches):
         model = shared.value
         names = pa.array([*model.langs, "und"])
-        for batch in rows_by(batches, 24 << 20):
+        for batch in rows_by(batches, 6 << 20):
             borders, codes, words = split_words(batch.column("text"))
             n, k = len(borders) - 1, len(model.langs)
             states = viterbi(model.scores(words), codes, borders, penalty)
@@ -182,9 +183,11 @@ def label_languages(docs: DataFrame, model: Model | None, penalty: float = 12.0)
             ends = np.minimum(np.concatenate([at[1:], [len(codes)]])[:len(at)], borders[1:][row[at]])
             spans = pa.StructArray.from_arrays([names.take(pa.array(states[at])), pa.array(at - borders[row[at]], pa.int32()), pa.array(ends - at, pa.int32())], names=["lang", "first_word", "n_words"])
             cut = np.concatenate([[0], np.cumsum(np.bincount(row[at], minlength=n))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), names.take(pa.array(best)), pa.array(score), pa.ListArray.from_arrays(pa.array(cut), spans)], names=["doc_id", "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, names.take(pa.array(best)), pa.array(score), pa.ListArray.from_arrays(pa.array(cut), spans)], names=[*batch.schema.names, "lang_pred", "score", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(label, f"doc_id long, lang_pred string, score double, spans {SPAN}")
+    docs = docs.drop("lang_pred", "score", "spans")
+    fields = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(f"lang_pred string, score double, spans {SPAN}").fields])
+    return docs.mapInArrow(label, fields)
 
 
 def held_out():
@@ -195,4 +198,4 @@ def held_out():
 def op3_query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = learn_languages(docs.where(~held_out()))
-    return label_languages(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return label_languages(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -75,12 +75,12 @@ def token_order(docs: DataFrame, shingle: int) -> Order:
 
     parts = docs.select("text").mapInArrow(count, "counts binary")
     n = docs.rdd.getNumPartitions()
-    while n > 8:
+    while n > 1:
         n = -(-n // 8)
         parts = _sum_rows(parts.repartition(n))
-    got = [np.frombuffer(r["counts"], np.uint32) for r in parts.collect()]  # eight arrays of fixed size at most
+    got = [np.frombuffer(r["counts"], np.uint32) for r in parts.collect()]  # one array of fixed size
     total = np.sum(got, axis=0, dtype=np.uint64) if got else np.zeros(WIDTH + 1, np.uint64)
-    return Order(total[:WIDTH].astype(np.int64), int(total[WIDTH]))
+    return Order(total[:WIDTH].astype(np.uint32), int(total[WIDTH]))
 
 
 def losses(n: int, percent: int) -> int:

@@ -69,16 +69,19 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) > window, counted).otherwise(F.lit(0)).cast("long")
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """One row of counts per document; the text is read once."""
+COUNTS = [*BASE, "n_lines", "n_shouts", "n_upper"]
+
+
+def text_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and the counts of each document; the text is read once."""
     body = F.coalesce(F.col("text"), F.lit(""))
     inner = F.btrim(body, F.lit(SPACE))
     words = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACES))
     lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     gone = lambda pattern: (F.length("body") - F.length(F.regexp_replace("body", pattern, ""))).cast("long")
-    parts = docs.select("doc_id", body.alias("body"), words.alias("words"), lines.alias("lines"))
+    parts = docs.select(*keep, body.alias("body"), words.alias("words"), lines.alias("lines"))
     return parts.select(
-        "doc_id",
+        *keep,
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         gone(SYMBOLS).alias("n_symbols"),
@@ -208,6 +211,15 @@ def judge_quality(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
     return counts.withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
+    """The rows that are kept, all columns as they were.  Texts are judged where they are read, so none is shuffled."""
+    counts = settle(text_statistics(docs).withColumn("base_failed", base_failed()), "statistics")
+    known = labels.where(F.col("quality").isNotNull()).select("doc_id", "quality")
+    rules = learn_rules(counts.where(~F.col("base_failed")).join(known, "doc_id"), **fit)
+    boxed = docs.select(F.struct(*docs.columns).alias("row"), "text")  # so that no column clashes with a count
+    return text_statistics(boxed, ("row",)).where(~base_failed() & verdict(rules)).select("row.*")
+
+
 def op1_query(spark, sf_dir: str) -> DataFrame:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     return judge_quality(read("documents"), read("labels")).select("doc_id", *BASE, "base_failed", "kept")

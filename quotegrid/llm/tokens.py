@@ -11,7 +11,7 @@ import os
 import re
 import unicodedata
 
-CACHE = 400_000
+CACHE = 200_000
 # Characters that are certainly letters, or certainly neither letter, number, apostrophe nor white space.
 LOWER, UPPER = "a-zß-öø-ÿ", "A-ZÀ-ÖØ-Þ"
 MARKS = r'!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~'
