@@ -15,8 +15,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language holds at least half of their letters."""
     model = language_spans.learn_languages(docs)
-    boxed = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return language_spans.label_languages(boxed, model).where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select("row.*")
+    boxed = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), "text")  # no column clashes with a result
+    kept = language_spans.label_languages(boxed, model).where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5))
+    return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
