@@ -103,9 +103,7 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
 def rows_by(batches, most_bytes: int = 4 << 20):
     """Cut Arrow batches so that the strings of one piece stay under ``most_bytes`` (one row at least)."""
     for batch in batches:
-        if batch.num_rows <= 1 or batch.nbytes <= most_bytes:
-            yield batch
-            continue
-        rows = max(1, batch.num_rows * most_bytes // batch.nbytes)
+        rows = max(1, batch.num_rows if batch.nbytes <= most_bytes else batch.num_rows * most_bytes // batch.nbytes)
         for a in range(0, batch.num_rows, rows):
             yield batch.slice(a, rows)
+        pa.default_memory_pool().release_unused()  # workers live on

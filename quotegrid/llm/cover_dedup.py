@@ -12,7 +12,7 @@ strings are found without an index of the whole corpus:
    ``SPAN`` bytes is equal.  Memory is bounded by the block: distinct pieces of text of its buckets.
 4. The least ``doc_id`` of each run of equal suffixes decides.
 
-A filter of at most ``FILTER_BITS`` bits keeps pieces of unshared anchors from being shuffled; where it lets some
+A bit filter of bounded size keeps pieces of unshared anchors from being shuffled; where it lets some
 through, sorting finds nothing equal.
 
 Defined results: null text is empty.  Texts under ``SPAN`` bytes lose nothing.  Rows with a null id lose nothing and
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quotegrid.llm import bit_filter
 from quotegrid.llm.arrays import mix, rows_by, text_bytes
 from quotegrid.session import settle
 
@@ -35,7 +36,6 @@ REACH = SPAN - GRAM + 1  # grams in a window
 # A perfect difference cover.
 MODULUS, COVER = 13, (0, 1, 3, 9)
 BLOCK = 2 << 20  # bytes of text sorted at once
-FILTER_BITS = 1 << 28
 #: DISTANCE[i, j]: a distance at which suffixes at residues i and j both meet the cover.
 DISTANCE = np.array([[next(d for d in range(MODULUS) if (i + d) % MODULUS in COVER and (j + d) % MODULUS in COVER) for j in range(MODULUS)] for i in range(MODULUS)])
 
@@ -105,40 +105,6 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
     return thin.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
 
 
-def filter_slots(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-    x = hashes.view(np.uint64)
-    return [((mix(x + np.uint64(k)) & np.uint64(bits - 1)).astype(np.int64)) for k in (1, 2, 3)]
-
-
-def shared_filter(table: DataFrame) -> np.ndarray:
-    """Bit filter of the shared anchors, 16 bits for each up to ``FILTER_BITS``; combined in a tree."""
-    bits = min(FILTER_BITS, 1 << max(16, (16 * table.count()).bit_length()))
-
-    def fill(batches):
-        out = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            for slots in filter_slots(batch.column("anchor").to_numpy(), bits):
-                np.bitwise_or.at(out, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["bits"])
-
-    def join(batches):
-        out = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            for x in batch.column("bits"):
-                out |= np.frombuffer(x.as_buffer(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["bits"])
-
-    n = table.rdd.getNumPartitions()
-    parts = table.mapInArrow(fill, "bits binary")
-    while n > 1:
-        n = -(-n // 8)
-        parts = parts.repartition(n).mapInArrow(join, "bits binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for r in parts.collect():  # one filter of fixed size
-        out |= np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
 PIECES = "anchor long, doc_id long, first int, windows int, bytes binary"
 
 
@@ -153,9 +119,7 @@ def window_pieces(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             ids = batch.column("doc_id").to_numpy()
             data, borders = text_bytes(batch.column("text"))
             hashes, row, first, windows = anchors(data, borders)
-            hit = np.ones(len(hashes), bool)
-            for slots in filter_slots(hashes, len(bits) * 8):
-                hit &= (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
+            hit = bit_filter.contains(bits, hashes)
             hashes, row, first, windows = hashes[hit], row[hit], first[hit], windows[hit]
             if not len(hashes):
                 continue
@@ -349,7 +313,7 @@ def cut_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def drop_substrings(docs: DataFrame) -> DataFrame:
     shared = settle(shared_anchors(docs), "shared-anchors")
-    pieces = window_pieces(docs, shared_filter(shared))
+    pieces = window_pieces(docs, bit_filter.build(shared, "anchor"))
     return cut_ranges(docs, repeated_ranges(pieces))
 
 

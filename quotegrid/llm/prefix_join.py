@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quotegrid.llm import bit_filter
 from quotegrid.llm.arrays import mix, rows_by, shingle_sets
 from quotegrid.llm.graph import components
 from quotegrid.session import settle
@@ -202,6 +203,24 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common long, joint long")
 
 
+def meeting(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """The rows that have signatures in the filter, with these only."""
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("signatures")
+            values = column.flatten().to_numpy()
+            hit = bit_filter.contains(held.value, values)
+            owner = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+            n = np.bincount(owner[hit], minlength=len(column))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(values[hit]))
+            at = batch.schema.get_field_index("signatures")
+            yield batch.set_column(at, "signatures", lists).filter(pa.array(n > 0))
+
+    return rows.where("n_shingles > 0 AND doc_id IS NOT NULL").mapInArrow(run, rows.schema)
+
+
 def ends_of(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "doc_id", "d1", "d2")
 
@@ -213,7 +232,10 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     rows = settle(sketch_rows(docs, order, shingle, percent), "sets")
     one = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"))
     nodes = settle(one.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    first = rows.join(nodes, ["d1", "d2", "doc_id"])
+    # signatures of one row only can't meet another; the rest are few, and only they are moved with their rows
+    lone = rows.where("doc_id IS NOT NULL").select("doc_id", F.explode("signatures").alias("sig")).groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    shared = settle(lone.where("low < high").select("sig"), "shared-signatures")
+    first = meeting(rows, bit_filter.build(shared, "sig")).join(nodes, ["d1", "d2", "doc_id"])
     tokens = first.select("node", F.col("n_shingles").alias("n"), F.explode("signatures").alias("sig"))
     buckets = tokens.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").select("sig", "center")
     members = settle(tokens.join(buckets, "sig").select("sig", "node", "n", "center"), "members")
