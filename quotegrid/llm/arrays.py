@@ -85,7 +85,7 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     factors = mix(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     total = np.zeros(len(words), np.uint64)
     for j in range(width):
-        total[:len(words) - j] += words[j:] * factors[j]
+        total[:max(0, len(words) - j)] += words[j:] * factors[j]
     total = mix(total)
     out = []
     for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):

@@ -61,7 +61,7 @@ def gram_buckets(words: pa.Array):
     owner = np.repeat(np.arange(len(words)), np.diff(borders))
     ends = borders[1:][owner] if len(words) else np.zeros(0, np.int64)
     rolling = np.zeros(len(data), np.uint64)
-    for n in range(1, max(ORDERS) + 1):
+    for n in range(1, min(max(ORDERS), len(data)) + 1):
         rolling[:len(data) - n + 1] = rolling[:len(data) - n + 1] * np.uint64(0x100000001B3) + data[n - 1:].astype(np.uint64) + np.uint64(1)
         whole = np.flatnonzero(np.arange(len(data)) + n <= ends)
         if n in ORDERS:
