@@ -205,23 +205,25 @@ def sample_counts(samples: DataFrame, session_table: DataFrame) -> DataFrame:
         "session_id", F.coalesce("_n", F.lit(0)).alias("samples"), "first_ns", "last_ns")
 
 
-def bounded_sample(df: DataFrame, size: int, seed: int, key: str, by: list[str] | None = None, digits: int = 5) -> DataFrame:
+def bounded_sample(df: DataFrame, size: int, seed: int, key: str | list[str], by: list[str] | None = None, digits: int = 5) -> DataFrame:
     """The ``size`` rows of smallest hash priority (a uniform draw blind to labels).
 
     Ungrouped it is a distributed top-k.  Grouped, a histogram of the leading hex
     digits of the priority (map-side combined, at most 16^digits rows per group)
     tells below which value the first ``size`` rows must lie; only those rows are
     ranked.  However large a group is, its final ranking sees little more than
-    ``size`` rows, and the result is exact.
+    ``size`` rows, and the result is exact.  ``key`` must name all columns that
+    identify a row: rows alike in it would be drawn together.
     """
-    ranked = df.withColumn("priority", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))))
+    key = [key] if isinstance(key, str) else key
+    ranked = df.withColumn("priority", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))))
     if not by:
-        return ranked.orderBy("priority", key).limit(size)
+        return ranked.orderBy("priority", *key).limit(size)
     ranked = ranked.withColumn("_bin", F.substring("priority", 1, digits))
     bins = ranked.groupBy(*by, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     needed = bins.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < size)
     cut = needed.groupBy(*by).agg(F.max("_bin").alias("_cut"))
     few = ranked.join(cut, by).where("_bin <= _cut").drop("_bin", "_cut")
-    group = Window.partitionBy(*by).orderBy("priority", key)
+    group = Window.partitionBy(*by).orderBy("priority", *key)
     return few.withColumn("_r", F.row_number().over(group)).where(F.col("_r") <= size).drop("_r")

@@ -89,9 +89,10 @@ def qualify(stats: DataFrame, expert: DataFrame, horizons: int, tolerance: float
     ``stats`` comes from ``eligibility`` with pooled ``mu``; ``expert`` from ``best_policy``.
     """
     pool = _vectors(stats, horizons)
-    spread = [F.max(F.get("mu", F.lit(i))) - F.min(F.get("mu", F.lit(i))) for i in range(horizons)]
-    facts = pool.agg(
-        F.count_if(~F.col("cash")).alias("trading"), F.greatest(*spread).alias("spread"),
+    away = F.array_max(F.zip_with("mu", "_first", lambda x, y: F.abs(x - y)))
+    # distance from the first eligible vector, a one-row aggregate
+    facts = pool.crossJoin(pool.agg(F.min_by("mu", "idx").alias("_first"))).agg(
+        F.count_if(~F.col("cash")).alias("trading"), F.max(away).alias("spread"),
         F.collect_set("policy_id").alias("ids"))
     one = facts.withColumn("_j", F.lit(1)).join(expert.select("selected").withColumn("_j", F.lit(1)), "_j", "left")
     status = (F.when(F.col("selected").isNull(), "blocked_no_settled_expert")

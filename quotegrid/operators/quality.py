@@ -142,9 +142,11 @@ def dataset_diff(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     if a.schema.simpleString() != b.schema.simpleString():
         raise ValueError("datasets differ in schema")
     columns = [c for c in a.columns if c not in key]
-    left = a.select(*key, F.struct(*columns).alias("_a"))
-    right = b.select(*key, F.struct(*columns).alias("_b"))
-    rows = left.join(right, key, "full")
+    # copies of a key are told apart by their place among them, so equal tables have no difference
+    order = Window.partitionBy(*key).orderBy(*columns)
+    left = a.select(*key, F.row_number().over(order).alias("_copy"), F.struct(*columns).alias("_a"))
+    right = b.select(*key, F.row_number().over(order).alias("_copy"), F.struct(*columns).alias("_b"))
+    rows = left.join(right, [*key, "_copy"], "full")
     wrong = F.array_compact(F.array(*[F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), c) for c in columns]))
     kind = F.when(F.col("_a").isNull(), "only_right").when(F.col("_b").isNull(), "only_left").when(F.size(wrong) > 0, "changed")
     return rows.select(*key, kind.alias("kind"), F.when(kind == "changed", F.array_join(wrong, ",")).alias("columns")).where("kind is not null")
@@ -160,9 +162,11 @@ def diff_except(a: DataFrame, b: DataFrame, key: list[str], drop: list[str]) ->
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """Row count and an order-free sum of row hashes (NULL and empty text stay apart)."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
+    # values carry their length, so that no two rows have the same text
+    sized = [F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")) for c in columns]
+    text = F.concat(*[F.coalesce(x, F.lit("-1:")) for x in sized])
     return df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")).alias("fingerprint"))
+                  F.sum(F.conv(F.substring(F.md5(text), 1, 16), 16, 10).cast("decimal(20,0)")).cast("string").alias("fingerprint"))
 
 
 def coverage_matrix(runs: DataFrame, dates: DataFrame, ages_ms: list[int]) -> DataFrame:

@@ -39,8 +39,15 @@ def _bad_clock() -> Column:
     return has_bit(F.col("flags"), FLAG_BAD_CLOCK)
 
 
+def flagged(book: DataFrame) -> DataFrame:
+    """The messages, refusing any without flags: it would be neither trusted nor a bad clock."""
+    missing = F.raise_error(F.lit("a message has no flags")).cast(book.schema["flags"].dataType)
+    return book.withColumn("flags", F.coalesce("flags", missing))
+
+
 def cells(book: DataFrame, interval_ns: int) -> DataFrame:
     """Last trusted message of every occupied cell plus the last completed one."""
+    book = flagged(book)
     trusted = book.where(~_bad_clock()).withColumns({"_class": message_class(), "cell": chunk_of("recv_ns", interval_ns)})
     completed = F.when(F.col("_class") != OPEN, F.col("seq"))
     # One struct per max_by keeps the aggregate to a handful of buffers; some thirty
@@ -60,6 +67,7 @@ def governed(book: DataFrame, interval_ns: int, max_age_ns: int, seq_chunk: int
     (NULL if none), ``skip_reason`` explains the points after it.
     """
     occupied = cells(book, interval_ns)
+    book = flagged(book)
     # A cell becomes two marks on the sequence axis; only the later one carries the book.
     payload = ["last", "done", "records", "bad_books"]
     none = [F.lit(None).cast(occupied.schema[c].dataType).alias(c) for c in payload]

@@ -175,7 +175,9 @@ def v12(spark, sf):
 
 
 @query("v13_fingerprint", """
-SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', o_orderkey, o_custkey, coalesce(o_orderstatus, '\\N'), coalesce(o_orderpriority, '\\N'))), 1, 8) AS BIGINT)) AS BIGINT) AS fingerprint FROM orders""")
+SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(concat(
+  coalesce(length(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey, '-1:'), coalesce(length(CAST(o_custkey AS VARCHAR)) || ':' || o_custkey, '-1:'),
+  coalesce(length(o_orderstatus) || ':' || o_orderstatus, '-1:'), coalesce(length(o_orderpriority) || ':' || o_orderpriority, '-1:'))), 1, 16) AS UBIGINT)) AS VARCHAR) AS fingerprint FROM orders""")
 def v13(spark, sf):
     return ql.fingerprint(table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 

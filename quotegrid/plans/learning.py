@@ -169,9 +169,9 @@ def l08(spark, sf):
     return ft.sample_counts(samples(spark, sf), study.cal.sessions(study.segments(spark)))
 
 
-@query("l09_bounded_sample", "SELECT session_id, ts_ns FROM train ORDER BY md5(ts_ns || '|42'), ts_ns LIMIT 300")
+@query("l09_bounded_sample", "SELECT session_id, ts_ns FROM train ORDER BY md5('1|' || session_id || '|' || ts_ns || '|42'), session_id, ts_ns LIMIT 300")
 def l09(spark, sf):
-    return ft.bounded_sample(samples(spark, sf), 300, 42, "ts_ns").select("session_id", "ts_ns")
+    return ft.bounded_sample(samples(spark, sf), 300, 42, ["instrument_id", "session_id", "ts_ns"]).select("session_id", "ts_ns")
 
 
 TRAINING_COLUMNS = ["instrument_id", "session_id", "ts_ns", "open_ns", "close_ns", "mid_price", "continuous_block", "feature_valid", *LIBRARY_FEATURES]
@@ -325,17 +325,15 @@ def m08(spark, sf):
 
 cte("signal_rows", """
 SELECT file_date, ts_ns, sequence, (bid_px_00 + ask_px_00) / 2 AS mid_price
-FROM (SELECT *, row_number() OVER (PARTITION BY file_date ORDER BY ts_ns) AS rn FROM snapshot) WHERE rn % 5 = 1""")
+FROM snapshot""")
 cte("pred", """
 SELECT file_date, ts_ns, mid_price, m AS model_id, CASE WHEN (sequence + m) % 17 = 0 THEN NULL ELSE ((sequence * (7 + m)) % 201 - 100) / 1e5 END AS yhat
 FROM signal_rows CROSS JOIN (VALUES (0), (1), (2), (3)) models(m)""")
 
 
 def predictions(spark, sf):
-    """Four made-up forecasts for every fifth snapshot of a source day (grid-bounded window)."""
+    """Four made-up forecasts for every snapshot."""
     rows = fx.with_mid_spread(study.snapshots(spark, sf))
-    day = Window.partitionBy("instrument_id", "file_date").orderBy("ts_ns")
-    rows = rows.withColumn("_rn", F.row_number().over(day)).where("_rn % 5 = 1")
     rows = rows.withColumn("model_id", F.explode(F.array(*[F.lit(m) for m in range(4)])))
     raw = ((F.col("sequence") * (7 + F.col("model_id"))) % 201 - 100) / F.lit(1e5)
     yhat = F.when((F.col("sequence") + F.col("model_id")) % 17 != 0, raw)

@@ -145,7 +145,8 @@ SELECT CASE WHEN expert IS NULL THEN 'blocked_no_settled_expert' WHEN trading =
             WHEN expert NOT IN (SELECT policy_id FROM epool) THEN 'blocked_expert_reward_unobserved' WHEN spread <= 1e-8 THEN 'blocked_uninformative_expectations' ELSE 'qualified' END AS status,
        expert, eligible, trading
 FROM (SELECT (SELECT selected FROM expert) AS expert, count(*) AS eligible, count(*) FILTER (WHERE NOT cash) AS trading,
-             greatest(max(v1) - min(v1), max(v2) - min(v2), max(v3) - min(v3)) AS spread FROM epool)""")
+             greatest(max(abs(v1 - f1)), max(abs(v2 - f2)), max(abs(v3 - f3))) AS spread
+      FROM epool CROSS JOIN (SELECT arg_min(v1, idx) AS f1, arg_min(v2, idx) AS f2, arg_min(v3, idx) AS f3 FROM epool))""")
 
 
 def qualified(spark, stats):

@@ -42,7 +42,9 @@ def read_book(spark: SparkSession, path: str, unit: str = "ns") -> DataFrame:
 
     columns = [clock(source).alias(name) if name in CLOCKS else F.col(source).alias(name) for name, source in needed.items()]
     date = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})", 1)
-    return raw.select(*columns, F.col("_metadata.row_index").alias("seq"), date.alias("file_date"))
+    # without a date all such files would be sampled as one
+    dated = F.when(date != "", date).otherwise(F.raise_error(F.concat(F.lit("no date in the path of "), F.col("_metadata.file_path"))).cast("string"))
+    return raw.select(*columns, F.col("_metadata.row_index").alias("seq"), dated.alias("file_date"))
 
 
 def null_audit(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
