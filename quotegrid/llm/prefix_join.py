@@ -120,16 +120,23 @@ def signatures(tokens: np.ndarray, order: Order, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-CLASSES = 128
-
-
 def profile(tokens: np.ndarray) -> bytes | None:
-    """Tokens per hash class; what two profiles have in common bounds what their sets have.  None
-    (no bound) for sets too large for its 16-bit counts."""
-    counts = np.bincount((tokens & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES)
+    """Tokens per hash class, about eight to a class; what two profiles have in common bounds what their
+    sets have.  None (no bound) where a class exceeds its 16-bit count."""
+    classes = 1 << max(4, (len(tokens) >> 3).bit_length())
+    counts = np.bincount((tokens & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
     return counts.astype(np.uint16).tobytes() if counts.max() < 1 << 16 else None
 
 
+def most_common(p: bytes | None, q: bytes | None, least: int) -> int:
+    """Most tokens two sets can share: classes are low bits, so the finer profile folds into the coarser."""
+    if p is None or q is None:
+        return least
+    x, y = (np.frombuffer(v, np.uint16).astype(np.int64) for v in (p, q))
+    n = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, n).sum(axis=0), y.reshape(-1, n).sum(axis=0)).sum())
+
+
 def digest(tokens: np.ndarray) -> tuple[int, int]:
     """128 bits of a set."""
     import hashlib
@@ -173,11 +180,7 @@ def screen(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             m, n = (batch.column(c).to_numpy() for c in ("m", "n"))
-            common = np.minimum(m, n).astype(np.int64)
-            known = np.array([x.is_valid and y.is_valid for x, y in zip(batch.column("p"), batch.column("q"))], bool)
-            if known.any():
-                p, q = (np.frombuffer(b"".join(v for v, k in zip(batch.column(c).to_pylist(), known) if k), np.uint16).reshape(-1, CLASSES) for c in "pq")
-                common[known] = np.minimum(p, q).sum(axis=1, dtype=np.int64)
+            common = np.array([most_common(p, q, k) for p, q, k in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist(), np.minimum(m, n).tolist())], np.int64)
             joint = m + n - common
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(1 - common / joint), pa.array(common * 100 >= joint * percent)], names=["a", "b", "low", "open"])
 
