@@ -187,7 +187,7 @@ def build_library(samples: DataFrame, days: DataFrame, *, alpha: float, depth: i
     stats = folded_moments(moments, MODEL_KEYS).select(*MODEL_KEYS, F.col("n").alias("training_rows"), "mean", "scale")
     linear = ridge(gram(enough, MODEL_KEYS), MODEL_KEYS, alpha).withColumn("family", F.lit("ridge"))
     tagged = days.select("update_session", "history_count", "session_id").join(samples, "session_id")
-    drawn = bounded_sample(tagged, sample, seed, ["instrument_id", "session_id", "ts_ns"], ["update_session", "history_count"])
+    drawn = bounded_sample(tagged, sample, seed, [c for c in ("instrument_id", "session_id", "ts_ns") if c in tagged.columns], ["update_session", "history_count"])
     drawn = by_feature_group(drawn, ["update_session", "history_count", "ts_ns", "y"])
     trees = tree(standardized(drawn, stats.where("training_rows >= 2"), MODEL_KEYS), MODEL_KEYS, depth, min_leaf).withColumn("family", F.lit("tree"))
     fitted = linear.unionByName(trees, allowMissingColumns=True)
