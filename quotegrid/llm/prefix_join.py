@@ -9,8 +9,10 @@ of two emits for both.
 
 Counts come from a sketch over all rows, of fixed size; it decides the order only, so it can't change a result.
 Documents with equal sets are one node from the start.  In each signature's bucket every member is verified against
-the bucket's first one (token counts by hash class rule out most pairs before their sets are moved); further pairs are verified only where these links leave members in different components and
-the triangle inequality of Jaccard distance doesn't rule them out.  No bucket is brought into one task.
+the bucket's first one (token counts by hash class rule out most pairs before their sets are moved).  Further pairs are
+verified only where these links leave members in different components: members near the first one meet by a prefix of
+their differences from it, so that many variants of one text don't all meet each other, the rest unless the triangle
+inequality of Jaccard distance rules them out.  No bucket is brought into one task.
 
 Defined results: null text, and text without words, is an empty set: linked with nothing, its own component.  A text
 with fewer words than a shingle has its whole sequence as one.  Rows with equal text are linked, so a repeated row adds
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quotegrid.llm import bit_filter
 from quotegrid.llm.arrays import mix, rows_by, shingle_sets
@@ -206,6 +208,47 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common long, joint long")
 
 
+def deltas(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(center, node, distance, most, linked, delta) of each pair (center, node): the delta is their symmetric
+    difference, ``most`` how many tokens a set similar to the node can differ from it in."""
+    def run(batches):
+        for batch in rows_by(batches):
+            rows = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                c, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                delta = np.setxor1d(c, t, assume_unique=True).view(np.int64)
+                joint = (len(c) + len(t) + len(delta)) // 2
+                common = joint - len(delta)
+                rows.append((1 - common / joint, len(t) * (100 - percent) // percent, common * 100 >= joint * percent, delta))
+            kinds = [pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]],
+                                             names=["center", "node", "distance", "most", "linked", "delta"])
+
+    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b"))
+    return both.select("a", "b", "x", "y").mapInArrow(run, "center long, node long, distance double, most long, linked boolean, delta array<long>")
+
+
+def around(zone: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes around one center, in different parts, whose deltas leave them able to be similar.
+
+    Two nodes differ in what their deltas differ in, so similar ones whose deltas together hold more than ``most`` have
+    tokens in common; the first of them, tokens that are rare around the center first, is among the first most + 1 of
+    the larger delta and the first most / 2 + 1 of the smaller."""
+    zone = zone.withColumn("size", F.size("delta"))
+    tokens = zone.select("center", "node", "part", "size", "most", F.explode("delta").alias("token"))
+    seen = tokens.groupBy("center", "token").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("center", "node").orderBy("n", "token"))
+    prefix = settle(tokens.join(seen, ["center", "token"]).withColumn("place", place).where(F.col("place") <= F.col("most") + 1), "delta-prefixes")
+    apart = "x.node <> y.node AND x.part <> y.part"
+    few, many = prefix.where(F.col("place") <= F.floor(F.col("most") / 2) + 1).alias("x"), prefix.alias("y")
+    met = few.join(many, F.expr(f"x.center = y.center AND x.token = y.token AND {apart} AND x.size <= y.size"))
+    small = zone.where("size <= most")
+    rest = small.alias("x").join(small.where("NOT linked").alias("y"), F.expr(f"x.center = y.center AND {apart}"))
+    both = [p.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")) for p in (met, rest)]
+    return both[0].unionByName(both[1])
+
+
 def meeting(rows: DataFrame, bits: np.ndarray) -> DataFrame:
     """The rows that have signatures in the filter, with these only."""
     held = rows.sparkSession.sparkContext.broadcast(bits)
@@ -257,14 +300,21 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     exact = 1 - F.col("common") / F.col("joint")
     known = stars.join(checked, ["a", "b"], "left").select(F.col("a").alias("center"), F.col("b").alias("node"), F.coalesce(exact, "low").alias("near"), F.coalesce(exact, F.lit(1.0)).alias("far"))
     label = (members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).join(known, ["center", "node"], "left")
-             .select("sig", "node", "n", "part", F.coalesce("near", F.lit(0.0)).alias("near"), F.coalesce("far", F.lit(0.0)).alias("far")))
+             .select("sig", "center", "node", "n", "part", F.coalesce("near", F.lit(0.0)).alias("near"), F.coalesce("far", F.lit(0.0)).alias("far")))
     label = settle(label, "labelled")
     split = label.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sig")
-    left = settle(label.join(split, "sig"), "unsettled")
+    left = settle(label.where("node <> center").join(split, "sig"), "unsettled")  # pairs with the center are known
     reach = 1 - percent / 100 + 1e-9
-    x, y = left.alias("x"), left.alias("y")
-    more = (x.join(y, F.expr(f"x.sig = y.sig AND x.node < y.node AND x.part <> y.part AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} AND x.near - y.far <= {reach} AND y.near - x.far <= {reach}"))
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"))
+    # members that can be near their center are told apart by what they have besides it, others by their distances
+    by = left.where(F.col("near") <= 2.5 * reach).select(F.col("center").alias("a"), F.col("node").alias("b"), "part").distinct()
+    zone = deltas(by.select("a", "b"), node_sets(docs, ends_of(by.select("a", "b"), profiles), shingle), percent)
+    zone = settle(zone.join(by.select(F.col("a").alias("center"), F.col("b").alias("node"), "part"), ["center", "node"]), "deltas")
+    sharp = (left.join(zone.select("center", "node", "distance"), ["center", "node"], "left").withColumn("zoned", F.col("distance").isNotNull())
+             .withColumn("near", F.coalesce("distance", "near")).withColumn("far", F.coalesce("distance", "far")))
+    x, y = sharp.alias("x"), sharp.alias("y")
+    more = (x.join(y, F.expr(f"x.sig = y.sig AND x.node < y.node AND x.part <> y.part AND NOT (x.zoned AND y.zoned) AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} AND x.near - y.far <= {reach} AND y.near - x.far <= {reach}"))
+            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).unionByName(around(zone)).distinct()
+            .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     able = settle(screen(more, profiles, percent).where("open").select("a", "b"), "further")
     extra = verify(able, node_sets(docs, ends_of(able, profiles), shingle)).where(close).select("a", "b")
     joined = components(links.select("a", "b").unionByName(extra))
