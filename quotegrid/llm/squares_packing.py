@@ -14,6 +14,7 @@ another partitioning of the input.
 from __future__ import annotations
 
 import functools
+import struct
 import zlib
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from quotegrid.llm.arrays import rows_by
-from quotegrid.llm.tokens import Cache, library, spaced_units, vocabulary
+from quotegrid.llm.tokens import Cache, library, spaced_units, unit_ids, vocabulary
 
 MOST_OPEN = 4096
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -31,8 +32,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 @functools.lru_cache(maxsize=2)
 def bytes_of_units(path: str) -> Cache:
     """unit -> little-endian unsigned 32-bit ids."""
-    tokenizer = library(path)
-    return Cache(lambda units: [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)])
+    return Cache(lambda units: [struct.pack(f"<{len(ids)}I", *ids) for ids in unit_ids(path, units)])
 
 
 class Packer:

@@ -244,6 +244,14 @@ def test_suffixes_are_sorted():
     assert [i == 0 or text[i] != text[i - 1] for i in range(len(text))] == opens.tolist()
 
 
+def test_unit_ids_are_those_of_the_tokenizers_library():
+    path = tokens.vocabulary("byte_bpe_50k.json")
+    units = [" don't", "'ll", "it's3", " x" * 9, "\n\n  a", "  ", "\t", "\n", "ab<|endoftext|>c", " é漢字🙂", "e\u0301", "\x00\x7f\xad", "a" * 5000, "<|", " 12345", "--==", "naïve—word", "\u200b\ufeff", ""]
+    assert tokens.rank_encoder(path) is not None
+    assert tokens.unit_ids(path, units) == [tokens.library(path).encode(u, add_special_tokens=False).ids for u in units]
+    assert tokens.rank_encoder(tokens.vocabulary("word_bpe_49k.json")) is None
+
+
 def test_packing(docs):
     _, want = encoded(docs, "byte_bpe_50k.json")
     ids = collections.defaultdict(list)
