@@ -87,6 +87,17 @@ def price_fills(orders: DataFrame, contract: Contract) -> DataFrame:
         "cost_ratio": F.col("cost_usd") / (F.col("mid") * mult), "turnover_usd": F.abs(F.col("price") * mult)})
 
 
+def order_status() -> Column:
+    """Whether an order met a quote (``ts_ns``) before the end; prices and costs of the others are NULL."""
+    return F.when(F.col("ts_ns").isNull(), "unexecuted_at_end").otherwise("executed")
+
+
+def order_outcomes(orders: DataFrame, by: list[str]) -> DataFrame:
+    """Orders, executed orders and unexecuted ones of each account; expects order_status."""
+    met = F.col("order_status") == "executed"
+    return orders.groupBy(*by).agg(F.count(F.lit(1)).alias("orders"), F.count_if(met).alias("executed"), F.count_if(~met).alias("unexecuted_at_end"))
+
+
 def with_trade_number(fills: DataFrame, by: list[str], seq_chunk: int = SEQ_CHUNK) -> DataFrame:
     """Number trades by counting openings in fill order."""
     return running_total(fills, by, "seq", seq_chunk, trade_number=F.col("opening").cast("bigint"))

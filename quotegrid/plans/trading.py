@@ -59,21 +59,27 @@ class Day:
         return settle(rw.quotes_with_targets(rows, HORIZONS, I), "quotes")
 
     @cached_property
-    def orders(self):
-        """Purchases play fills: alternating open and close per strategy and day, priced at the next quote."""
+    def routed(self):
+        """Purchases play orders: alternating open and close per strategy and day, each with the next quote;
+        no later quote leaves ``ts_ns`` and all that is quoted NULL, and the order ``unexecuted_at_end``."""
         bought = messages(self.spark, self.sf).where("event_type = 'purchase'").select(
             F.concat(F.lit("S"), F.col("user_id") % 4).alias("strategy"), "instrument_id", "file_date", "seq", "k",
             (F.col("user_id") % ARMS).cast("int").alias("owner"), "recv_ns", F.col("recv_ns").alias("ts_ns"))
         bought = ordinal(bought, ACCOUNT, "seq", lg.SEQ_CHUNK).withColumn("opening", F.col("rn") % 2 == 1)
         values = ["bid", "ask", "mid", "continuous_block", "targets", "last_ns"]
-        found = asof(bought, self.quotes, "ts_ns", rw.DAY_KEYS, values, forward=True).where("matched_ts_ns is not null")
+        found = asof(bought, self.quotes, "ts_ns", rw.DAY_KEYS, values, forward=True)
         found = found.withColumn("ts_ns", F.col("matched_ts_ns")).drop("matched_ts_ns")
         week = F.concat(F.lit("w"), F.weekofyear(F.to_date("file_date")))
         found = settle(found.withColumn("version_id", week), "orders")
         numbered = lg.with_trade_number(found, ACCOUNT)
         trade = Window.partitionBy(*ACCOUNT, "trade_number")
         first = F.max(F.when(F.col("opening"), F.when(F.col("k") % 2 == 0, 1).otherwise(-1))).over(trade)
-        return numbered.withColumn("side", F.when(F.col("opening"), first).otherwise(-first))
+        return numbered.withColumns({"side": F.when(F.col("opening"), first).otherwise(-first), "order_status": lg.order_status()})
+
+    @cached_property
+    def orders(self):
+        """The orders that met a quote; the others have no price and are counted by ``k13_order_outcomes``."""
+        return self.routed.where(F.col("order_status") == "executed")
 
     @cached_property
     def fills(self):
@@ -133,14 +139,16 @@ SELECT 'S' || (user_id % 4) AS strategy, file_date, seq, k, user_id % 3 AS raw_o
 cte("fill0", """
 SELECT b.*, q.ts_ns, bid, ask, mid, block, last_ns, rn % 2 = 1 AS opening, (rn + 1) // 2 AS trade_number,
        'w' || weekofyear(CAST(b.file_date AS DATE)) AS version_id
-FROM buy b ASOF JOIN fq q ON q.file_date = b.file_date AND q.ts_ns >= b.recv_ns""")
+FROM buy b ASOF LEFT JOIN fq q ON q.file_date = b.file_date AND q.ts_ns >= b.recv_ns""")
 cte("fill1", """
 SELECT f.*, o.raw_owner AS owner, o.mid AS entry_mid, CASE WHEN o.k % 2 = 0 THEN 1 ELSE -1 END AS direction,
        CASE WHEN (o.k % 2 = 0) = f.opening THEN 1 ELSE -1 END AS side
 FROM fill0 f JOIN fill0 o ON o.strategy = f.strategy AND o.file_date = f.file_date AND o.trade_number = f.trade_number AND o.opening""")
 cte("fill2", "SELECT *, CASE WHEN side > 0 THEN ask ELSE bid END + side * 0.125 AS price FROM fill1")
-cte("fl", """
-SELECT *, side * (price - mid) * 50.0 + 1.25 AS cost_usd, CASE WHEN NOT opening THEN direction * (mid - entry_mid) * 50.0 END AS realised_usd FROM fill2""")
+cte("ord", """
+SELECT *, side * (price - mid) * 50.0 + 1.25 AS cost_usd, CASE WHEN NOT opening THEN direction * (mid - entry_mid) * 50.0 END AS realised_usd,
+       CASE WHEN ts_ns IS NULL THEN 'unexecuted_at_end' ELSE 'executed' END AS order_status FROM fill2""")
+cte("fl", "SELECT * FROM ord WHERE order_status = 'executed'")
 cte("tf", f"""
 SELECT r.*, ts_ns < end_ns AS tradable, ts_ns < end_ns AND ts_ns + {I} >= end_ns AS scheduled_exit, v.version_id
 FROM reasons r ASOF LEFT JOIN handver v ON v.available_at_ns <= r.ts_ns""")
@@ -210,11 +218,18 @@ def k09(spark, sf):
 
 
 @query("k05_price_fills", """
-SELECT strategy, seq, side, ts_ns, round(price, 6) + 0.0 AS price, round(cost_usd, 6) + 0.0 AS cost_usd,
-       round(cost_usd / (mid * 50.0), 6) + 0.0 AS cost_ratio, round(abs(price * 50.0), 6) + 0.0 AS turnover_usd FROM fl""")
+SELECT strategy, seq, side, order_status, ts_ns, round(price, 6) + 0.0 AS price, round(cost_usd, 6) + 0.0 AS cost_usd,
+       round(cost_usd / (mid * 50.0), 6) + 0.0 AS cost_ratio, round(abs(price * 50.0), 6) + 0.0 AS turnover_usd FROM ord""")
 def k05(spark, sf):
-    rows = lg.price_fills(Day(spark, sf).orders, CONTRACT)
-    return rounded_all(rows.select("strategy", "seq", "side", "ts_ns", "price", "cost_usd", "cost_ratio", "turnover_usd"))
+    rows = lg.price_fills(Day(spark, sf).routed, CONTRACT)
+    return rounded_all(rows.select("strategy", "seq", "side", "order_status", "ts_ns", "price", "cost_usd", "cost_ratio", "turnover_usd"))
+
+
+@query("k13_order_outcomes", """
+SELECT strategy, file_date, count(*) AS orders, count(*) FILTER (WHERE order_status = 'executed') AS executed,
+       count(*) FILTER (WHERE order_status <> 'executed') AS unexecuted_at_end FROM ord GROUP BY 1, 2""")
+def k13(spark, sf):
+    return lg.order_outcomes(Day(spark, sf).routed, ACCOUNT).drop("instrument_id")
 
 
 cte("trade", """
