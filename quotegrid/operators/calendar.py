@@ -107,11 +107,6 @@ def out_of_coverage(df: DataFrame, segments: DataFrame) -> DataFrame:
         "cover_start is null").drop("cover_start", "cover_end")
 
 
-def within_coverage(df: DataFrame, segments: DataFrame) -> DataFrame:
-    return interval_join(df, coverage_span(segments), "ts_ns", "cover_start", "cover_end", how="inner").drop(
-        "cover_start", "cover_end")
-
-
 def assign_session(df: DataFrame, segments: DataFrame) -> DataFrame:
     """Attach the segment with start < ts <= end; ``session_class`` tells assigned,
     outside (no open segment) or preopen (quote received before the segment opened)."""
@@ -121,6 +116,13 @@ def assign_session(df: DataFrame, segments: DataFrame) -> DataFrame:
     return joined.withColumn("session_class", kind)
 
 
+def classify(df: DataFrame, segments: DataFrame) -> DataFrame:
+    """assign_session for all rows: those the calendar doesn't cover are ``uncovered``, never left out."""
+    spanned = interval_join(df, coverage_span(segments), "ts_ns", "cover_start", "cover_end")
+    kind = F.when(F.col("cover_start").isNull(), "uncovered").otherwise(F.col("session_class"))
+    return assign_session(spanned, segments).withColumn("session_class", kind).drop("cover_start", "cover_end")
+
+
 def assigned(df: DataFrame, segments: DataFrame) -> DataFrame:
     """Snapshots of open segments only, with segment and session bounds."""
     rows = assign_session(df, segments).where("session_class = 'assigned'").drop("session_class")

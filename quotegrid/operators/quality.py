@@ -134,7 +134,8 @@ def unobserved(df: DataFrame, segments: DataFrame, interval_ns: int) -> DataFram
 
 def exclusions(classed: DataFrame) -> DataFrame:
     return classed.agg(F.count_if(F.col("session_class") == "outside").alias("outside_trading"),
-                       F.count_if(F.col("session_class") == "preopen").alias("preopen_source"))
+                       F.count_if(F.col("session_class") == "preopen").alias("preopen_source"),
+                       F.count_if(F.col("session_class") == "uncovered").alias("uncovered_calendar"), F.count(F.lit(1)).alias("snapshots"))
 
 
 def dataset_diff(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:

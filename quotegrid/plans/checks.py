@@ -131,9 +131,11 @@ def v08(spark, sf):
     return ql.unobserved(rows, study.segments(spark), I)
 
 
-@query("v09_exclusions", "SELECT count(*) FILTER (WHERE session_class = 'outside') AS outside_trading, count(*) FILTER (WHERE session_class = 'preopen') AS preopen_source FROM classed")
+@query("v09_exclusions", """
+SELECT count(*) FILTER (WHERE session_class = 'outside') AS outside_trading, count(*) FILTER (WHERE session_class = 'preopen') AS preopen_source,
+       count(*) FILTER (WHERE session_class = 'uncovered') AS uncovered_calendar, count(*) AS snapshots FROM classed""")
 def v09(spark, sf):
-    return ql.exclusions(cal.assign_session(study.covered(spark, sf), study.segments(spark)))
+    return ql.exclusions(study.classified(spark, sf))
 
 
 @query("v10_quote_sanity", f"""

@@ -162,7 +162,7 @@ def c02(spark, sf):
 
 @query("c03_session_assignment", "SELECT ts_ns, session_class, session_id, segment_id FROM classed")
 def c03(spark, sf):
-    return cal.assign_session(study.covered(spark, sf), study.segments(spark)).select("ts_ns", "session_class", "session_id", "segment_id")
+    return study.classified(spark, sf).select("ts_ns", "session_class", "session_id", "segment_id")
 
 
 @query("c04_out_of_coverage", "SELECT ts_ns, file_date FROM snapshot WHERE ts_ns < (SELECT min(start_ns) FROM seg) OR ts_ns > (SELECT max(end_ns) FROM seg)")

@@ -35,8 +35,8 @@ def segments(spark: SparkSession) -> DataFrame:
     return cal.expand_calendar(spark, RULES)
 
 
-def covered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cal.within_coverage(snapshots(spark, sf_dir), segments(spark))
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cal.classify(snapshots(spark, sf_dir), segments(spark))
 
 
 def in_session(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,11 +115,11 @@ cte("seg", """
 SELECT *, min(start_ns) OVER (PARTITION BY session_id) AS open_ns, max(end_ns) OVER (PARTITION BY session_id) AS close_ns FROM seg0
 """)
 cte("sess", "SELECT DISTINCT session_id, open_ns, close_ns FROM seg")
-cte("cov", "SELECT s.* FROM snapshot s, (SELECT min(start_ns) a, max(end_ns) b FROM seg) WHERE ts_ns BETWEEN a AND b")
+cte("span", "SELECT min(start_ns) AS cover_a, max(end_ns) AS cover_b FROM seg")
 cte("classed", """
 SELECT c.*, session_id, segment_id, start_ns, end_ns, open_ns, close_ns,
-       CASE WHEN start_ns IS NULL THEN 'outside' WHEN source_recv_ns < start_ns THEN 'preopen' ELSE 'assigned' END AS session_class
-FROM cov c LEFT JOIN seg ON ts_ns > start_ns AND ts_ns <= end_ns
+       CASE WHEN NOT (ts_ns BETWEEN cover_a AND cover_b) THEN 'uncovered' WHEN start_ns IS NULL THEN 'outside' WHEN source_recv_ns < start_ns THEN 'preopen' ELSE 'assigned' END AS session_class
+FROM snapshot c CROSS JOIN span LEFT JOIN seg ON ts_ns > start_ns AND ts_ns <= end_ns
 """)
 cte("asg", "SELECT * FROM classed WHERE session_class = 'assigned'")
 cte("blk", f"""
