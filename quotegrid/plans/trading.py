@@ -78,7 +78,7 @@ class Day:
 
     @cached_property
     def orders(self):
-        """The orders that met a quote; the others have no price and are counted by ``k13_order_outcomes``."""
+        """The orders that met a quote; the others have no price and are counted by ``k05_order_outcomes``."""
         return self.routed.where(F.col("order_status") == "executed")
 
     @cached_property
@@ -225,10 +225,10 @@ def k05(spark, sf):
     return rounded_all(rows.select("strategy", "seq", "side", "order_status", "ts_ns", "price", "cost_usd", "cost_ratio", "turnover_usd"))
 
 
-@query("k13_order_outcomes", """
+@query("k05_order_outcomes", """
 SELECT strategy, file_date, count(*) AS orders, count(*) FILTER (WHERE order_status = 'executed') AS executed,
        count(*) FILTER (WHERE order_status <> 'executed') AS unexecuted_at_end FROM ord GROUP BY 1, 2""")
-def k13(spark, sf):
+def k05_outcomes(spark, sf):
     return lg.order_outcomes(Day(spark, sf).routed, ACCOUNT).drop("instrument_id")
 
 

@@ -142,3 +142,9 @@ def test_book_scan(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/other")
     with pytest.raises(ValueError, match="lack columns"):
         src.read_book(spark, f"{tmp_path}/other")
+
+
+def test_orders_without_a_quote_are_counted(spark):
+    rows = spark.createDataFrame([("S", 1, 10), ("S", 2, None), ("T", 3, None)], "strategy string, seq long, ts_ns long").withColumn("order_status", lg.order_status())
+    got = {r["strategy"]: (r["orders"], r["executed"], r["unexecuted_at_end"]) for r in lg.order_outcomes(rows, ["strategy"]).collect()}
+    assert got == {"S": (2, 1, 1), "T": (1, 0, 1)}
