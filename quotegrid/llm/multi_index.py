@@ -2,14 +2,14 @@
 
 Each half of the unit vectors has a codebook of its own; pairs of codes are the cells of a product grid.  A vector
 lives in its nearest cell and visits the nearest cells in order of summed distance (multi-sequence traversal), as many
-as a measured sample of queries needs for the target recall.  Visitors are verified against the members by cosine in
+as a measured sample of queries that have links needs for the target recall; with too few of them, all cells.  Visitors are verified against the members by cosine in
 double precision, so no link under the threshold is ever reported.
 
 Equal vectors are one node with a multiplicity.  Cells are compared in blocks of bounded size, however many vectors
 they hold; a block returns a count per node and a spanning forest of its links, never the pairs.
 
-The codebooks are fitted on ``SAMPLE`` vectors and the number of visits on ``QUERIES`` of them, each against all rows;
-every row is indexed and every row is a query.
+The codebooks are fitted on ``SAMPLE`` vectors and the number of visits on ``QUERIES`` queries with links, each against
+all rows; every row is indexed and every row is a query.
 
 Defined results: null, zero and non-finite vectors have no links and are their own component; vectors of different
 length never link.  Rows with a null id have no links and a null component.  Rows that repeat an id are vectors of
@@ -29,7 +29,7 @@ from quotegrid.llm.arrays import one_array
 from quotegrid.llm.graph import components
 from quotegrid.session import settle
 
-SAMPLE, QUERIES = 20000, 256
+SAMPLE, QUERIES, MOST_QUERIES = 20000, 256, 1 << 15
 CELL, MOST_CODES = 128, 256  # rows a cell should have; codes of a half, so cells are 65,536 at most
 MEMBERS, VISITORS = 1024, 4096  # of one block
 
@@ -119,35 +119,64 @@ def fit_grid(nodes: DataFrame, total: int) -> Grid:
     return Grid(codebook(x[:, :h], k), codebook(x[:, h:], k))
 
 
-def visits_needed(nodes: DataFrame, total: int, grid: Grid, threshold: float, target: float) -> int:
-    """Cells in traversal order that hold ``target`` of the links of a sample of queries, by brute force."""
-    spark = nodes.sparkSession
-    drawn = nodes.where(F.pmod(F.xxhash64("node", F.lit("q")), F.lit(1 << 30)) < int((1 << 30) * min(1, QUERIES / total))).select("unit").toArrow()
-    if not drawn.num_rows:
-        return len(grid.first) * len(grid.second)
-    shared = spark.sparkContext.broadcast((grid, matrix(drawn.column("unit"))))
+def link_ranks(nodes: DataFrame, drawn: pa.Table, grid: Grid, threshold: float) -> DataFrame:
+    """(query, rank, n): links of each query, its own node left out, by the place of their cell in its traversal."""
+    shared = nodes.sparkSession.sparkContext.broadcast((grid, drawn.column("node").to_numpy(), matrix(drawn.column("unit"))))
 
     def run(batches):
-        grid, queries = shared.value
-        a, b = grid.halves(queries)
+        grid, names, queries = shared.value
+        cells = len(grid.first) * len(grid.second)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column("unit"))
+            x, node = matrix(batch.column("unit")), batch.column("node").to_numpy()
             home = grid.home(x)
-            q, m = np.nonzero(queries @ x.T >= threshold)
-            pairs, n = np.unique(q * len(grid.first) * len(grid.second) + home[m], return_counts=True)
-            q, cell = np.divmod(pairs, len(grid.first) * len(grid.second))
-            ranks = [int(((a[i][:, None] + b[i][None, :]) < a[i][c // len(grid.second)] + b[i][c % len(grid.second)]).sum()) for i, c in zip(q, cell)]
-            yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int32()), pa.array(n, pa.int64())], names=["rank", "n"])
+            for at in range(0, len(queries), 512):
+                q, m = np.nonzero(queries[at:at + 512] @ x.T >= threshold)
+                other = names[at + q] != node[m]
+                q, m = q[other], m[other]
+                if not len(q):
+                    continue
+                a, b = grid.halves(queries[at:at + 512])
+                pairs, n = np.unique(q * cells + home[m], return_counts=True)
+                q, cell = np.divmod(pairs, cells)
+                ranks = [int(((a[i][:, None] + b[i][None, :]) < a[i][c // len(grid.second)] + b[i][c % len(grid.second)]).sum()) for i, c in zip(q, cell)]
+                yield pa.RecordBatch.from_arrays([pa.array(names[at + q]), pa.array(ranks, pa.int32()), pa.array(n, pa.int64())], names=["query", "rank", "n"])
+
+    return nodes.select("node", "unit").mapInArrow(run, "query long, rank int, n long").groupBy("query", "rank").agg(F.sum("n").alias("n"))
+
 
-    found = sorted((r["rank"], r["n"]) for r in nodes.select("unit").mapInArrow(run, "rank int, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect())
-    all_links, seen = sum(n for _, n in found), 0
-    for rank, n in found:
-        seen += n
-        if seen >= target * all_links:
-            return rank + 1
-    return 1
+def visits_needed(nodes: DataFrame, total: int, grid: Grid, threshold: float, target: float) -> int:
+    """Cells in traversal order that hold ``target`` of the links of sampled queries, by brute force.
+
+    Recall is the mean over queries that have links, once with equal weights and once with 1 / (links + 1), so that
+    a group counts once however large it is; both must reach the target.  Queries are drawn until ``QUERIES`` of them
+    count (the weights' effective number) or none is left.  Where ``MOST_QUERIES`` are not enough: all cells."""
+    cells = len(grid.first) * len(grid.second)
+    sums: dict[int, np.ndarray] = {}  # rank: shares of the queries' links there, by power of the weight
+    drawn, low, effective = QUERIES, 0, 0.0
+    while True:
+        high = min(1 << 30, max(low + 1, (1 << 30) * drawn // total))
+        place = F.pmod(F.xxhash64("node", F.lit("q")), F.lit(1 << 30))
+        queries = nodes.where((place >= low) & (place < high)).select("node", "unit").toArrow()
+        if queries.num_rows:
+            each = link_ranks(nodes, queries, grid, threshold).groupBy("query").agg(F.sum("n").alias("links"), F.collect_list(F.struct("rank", "n")).alias("at"))
+            share = each.select("links", F.explode("at").alias("at")).select("at.rank", (F.col("at.n") / F.col("links")).alias("share"), (1 / (F.col("links") + 1)).alias("w"))
+            for r in share.groupBy("rank").agg(*[F.sum(F.col("share") * F.pow("w", F.lit(p))).alias(f"w{p}") for p in range(3)]).collect():
+                sums[r["rank"]] = sums.get(r["rank"], np.zeros(3)) + [r["w0"], r["w1"], r["w2"]]
+        ranks = sorted(sums)
+        held = np.array([sums[r] for r in ranks]).reshape(len(ranks), 3)
+        count, weight, squares = held.sum(0)
+        effective = weight * weight / squares if count else 0.0
+        if high == 1 << 30 or effective >= QUERIES:
+            break
+        if drawn >= MOST_QUERIES:
+            return cells
+        drawn, low = min(4 * drawn, MOST_QUERIES), high
+    if not ranks:
+        return 1  # every node was a query: there are no links
+    enough = (held.cumsum(0)[:, :2] >= target * held.sum(0)[:2] * (1 - 1e-12)).all(1)
+    return ranks[int(np.argmax(enough))] + 1
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -202,6 +231,8 @@ def link_nodes(nodes: DataFrame, threshold: float, target: float) -> DataFrame:
     total = nodes.count()
     grid = fit_grid(nodes, total)
     visits = visits_needed(nodes, total, grid, threshold, target)
+    if 2 * visits > len(grid.first) * len(grid.second):  # one cell of all rows is cut into fewer blocks
+        grid, visits = Grid(grid.first[:1], grid.second[:1]), 1
     shared = nodes.sparkSession.sparkContext.broadcast(grid)
 
     def place(batches):

@@ -172,6 +172,25 @@ def test_multi_index(spark):
     assert multi_index.near_duplicates(table.where("vec_id = 2001")).count() == 1
 
 
+@pytest.mark.parametrize("queries,most,hot", [(256, 1 << 15, 0), (16, 1 << 15, 300), (64, 64, 0)])
+def test_multi_index_finds_rare_links(spark, monkeypatch, queries, most, hot):
+    """About 1 % of the vectors are linked; a hot cluster does not outvote them."""
+    monkeypatch.setattr(multi_index, "QUERIES", queries)
+    monkeypatch.setattr(multi_index, "MOST_QUERIES", most)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 64))
+    x[30:60] = x[:30] + 0.29 * rng.normal(size=(30, 64))
+    x[5000:5000 + hot] = x[4999] + 0.02 * rng.normal(size=(hot, 64))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in multi_index.near_duplicates(table).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = near[:60].sum()
+    assert want > 40 and sum(got[i] for i in range(60)) >= (0.95 * want if hot else 0.99 * want)
+    assert all(got[i] <= n for i, n in enumerate(near.sum(1)))
+
+
 @pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
 def test_prefix_join(docs, width, percent):
     sets = collections.defaultdict(list)
