@@ -154,6 +154,32 @@ def test_sentence_spans(docs):
     assert sentence_spans.drop_repeats(empty(docs)).count() == 0
 
 
+def test_repeated_passages_inside_sentences(spark):
+    """Passages of 51 to 60 words in mid-sentence, without marks, go whole but for a few words at their ends."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    sign = lambda: chr(rng.randint(0x4E00, 0x9000))
+    rows, planted = [], []
+    for k in range(60):
+        words = [word() for _ in range(51 + k % 10)]
+        if k % 3 == 1:
+            words = [w + rng.choice(["", "", "", "", ".", "?", ","]) for w in words]
+        passage, glue = " ".join(words), " "
+        if k % 3 == 2:
+            passage, glue = "".join(sign() + ("。" if rng.random() < 0.03 else "") for _ in range(120)), ""
+        own = [glue.join((word if glue else sign)() for _ in range(rng.randint(1, 40))) for _ in range(4)]
+        planted.append((passage, own[2], own[3] + rng.choice(["", " ", "\n"])))
+        rows += [(2 * k, own[0] + glue + passage + glue + own[1]), (2 * k + 1, own[2] + glue + passage + glue + planted[-1][2])]
+    got = {r["doc_id"]: r["text"] for r in sentence_spans.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = []
+    for k, (passage, before, after) in enumerate(planted):
+        assert got[2 * k] == rows[2 * k][1]
+        text = got[2 * k + 1]
+        assert text.startswith(before) and text.endswith(after)
+        left.append((len(text) - len(before) - len(after)) / len(passage))
+    assert max(left) < 0.5 and sum(left) / len(left) < 0.25, (max(left), sum(left) / len(left))
+
+
 def test_multi_index(spark):
     rng = np.random.default_rng(3)
     centers = rng.normal(size=(30, 16))
