@@ -36,6 +36,7 @@ REACH = SPAN - GRAM + 1  # grams in a window
 # A perfect difference cover.
 MODULUS, COVER = 13, (0, 1, 3, 9)
 BLOCK = 2 << 20  # bytes of text sorted at once
+PLACE = 22  # bits of a place beside an anchor's hash
 #: DISTANCE[i, j]: a distance at which suffixes at residues i and j both meet the cover.
 DISTANCE = np.array([[next(d for d in range(MODULUS) if (i + d) % MODULUS in COVER and (j + d) % MODULUS in COVER) for j in range(MODULUS)] for i in range(MODULUS)])
 
@@ -66,25 +67,36 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, borders: np.ndarray):
-    """(hash, row, first window, windows) of every anchor; positions within the row."""
-    none = np.zeros(0, np.int64)
-    if len(data) < SPAN:
+    """(hash, row, first window, windows) of every anchor; positions within the row.
+
+    Windows are taken 2^``PLACE`` bytes of text at a time, so that places fit beside the hash."""
+    place = (1 << PLACE) - 1
+    step = place - SPAN
+    parts = []
+    for a in range(0, max(0, len(data) - SPAN + 1), step):
+        hashes = gram_hashes(data[a:a + step + SPAN - 1])
+        low = (hashes & ~np.uint64(place)) | np.arange(len(hashes), dtype=np.uint64)
+        windows = len(hashes) - REACH + 1
+        width = 1
+        while 2 * width <= REACH:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        low = np.minimum(low[:windows], low[REACH - width:REACH - width + windows])
+        row = np.searchsorted(borders, np.arange(a, a + windows), "right") - 1
+        starts = np.flatnonzero(np.arange(a, a + windows) + SPAN <= borders[1:][row])
+        if not len(starts):
+            continue
+        at, row = (low[starts] & np.uint64(place)).astype(np.int64), row[starts]
+        opens = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])]))
+        counts = np.diff(np.concatenate([opens, [len(at)]]))
+        parts.append((hashes[at[opens]], row[opens], a + starts[opens] - borders[row[opens]], counts, a + at[opens]))
+    if not parts:
+        none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
-    hashes = gram_hashes(data)
-    key = (hashes & ~np.uint64((1 << 25) - 1)) | np.arange(len(hashes), dtype=np.uint64)
-    low = key.copy()
-    width = 1
-    while 2 * width <= REACH:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    low = np.minimum(low[:len(data) - SPAN + 1], low[REACH - width:REACH - width + len(data) - SPAN + 1])
-    row = np.repeat(np.arange(len(borders) - 1), np.diff(borders))[:len(low)]
-    starts = np.flatnonzero(np.arange(len(low)) + SPAN <= borders[1:][row])
-    at = (low[starts] & np.uint64((1 << 25) - 1)).astype(np.int64)
-    row = row[starts]
-    opens = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])])) if len(at) else none
-    counts = np.diff(np.concatenate([opens, [len(at)]]))
-    return hashes[at[opens]], row[opens], starts[opens] - borders[row[opens]], counts
+    hashes, row, first, counts, at = map(np.concatenate, zip(*parts))
+    # an anchor may go on in the next part
+    opens = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])]))
+    return hashes[opens], row[opens], first[opens], np.add.reduceat(counts, opens)
 
 
 def known_rows(docs: DataFrame) -> DataFrame:

@@ -276,6 +276,23 @@ def test_cover_dedup(docs, monkeypatch, block):
     assert cover_dedup.drop_substrings(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("place", [7, 9])
+def test_cover_dedup_of_texts_longer_than_a_place(docs, monkeypatch, place):
+    """Equal windows have equal anchors also where a text is longer than a place's bits reach."""
+    data = np.random.default_rng(4).integers(97, 123, 4000).astype(np.uint8)
+    data[3000:3600] = data[100:700]
+    borders = np.array([0, 0, 1900, 1920, 4000])
+    spread = lambda parts: [(h, r, f + k) for h, r, f, n in zip(*(p.tolist() for p in parts)) for k in range(n)]
+    whole = spread(cover_dedup.anchors(data, borders))
+    monkeypatch.setattr(cover_dedup, "PLACE", place)
+    parts = spread(cover_dedup.anchors(data, borders))
+    assert [x[1:] for x in parts] == [x[1:] for x in whole] == [(r, f) for r, n in ((1, 1900), (3, 2080)) for f in range(n - 49)]
+    anchor = {x[1:]: x[0] for x in parts}
+    assert all(anchor[1, 100 + k] == anchor[3, 1080 + k] for k in range(551))
+    rows = [(r["doc_id"], (r["text"] or "").encode()) for r in rows_of(docs)]
+    assert collections.Counter(tuple(r) for r in cover_dedup.drop_substrings(docs).drop("kept").collect()) == removed(rows)
+
+
 def test_suffixes_are_sorted():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
