@@ -9,7 +9,8 @@ strings are found without an index of the whole corpus:
 3. Buckets are sorted one block at a time.  Suffixes are ordered by their first 16 bytes; longer ties are resolved by
    the ranks of a difference cover sample: positions modulo 13 in {0, 1, 3, 9}, sorted before, such that any two
    suffixes have a sampled position at one distance under 13.  The ranks' common prefixes tell whether the rest up to
-   ``SPAN`` bytes is equal.  Memory is bounded by the block: distinct pieces of text of its buckets.
+   ``SPAN`` bytes is equal.  Memory is bounded by the block: distinct pieces of text of its buckets.  An anchor whose
+   pieces could fill a block alone is no bucket: its windows go by the hash of all their bytes, one piece each.
 4. The least ``doc_id`` of each run of equal suffixes decides.
 
 A bit filter of bounded size keeps pieces of unshared anchors from being shuffled; where it lets some
@@ -99,12 +100,21 @@ def anchors(data: np.ndarray, borders: np.ndarray):
     return hashes[opens], row[opens], first[opens], np.add.reduceat(counts, opens)
 
 
+def window_hashes(data: np.ndarray) -> np.ndarray:
+    """Hash of the ``SPAN`` bytes from each position on."""
+    grams, n = gram_hashes(data), len(data) - SPAN + 1
+    value = mix(grams[:n])
+    for at in (*range(GRAM, SPAN - GRAM, GRAM), SPAN - GRAM):
+        value = mix(value + grams[at:at + n])
+    return value
+
+
 def known_rows(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def shared_anchors(docs: DataFrame) -> DataFrame:
-    """Anchor hashes that stand in two documents and more."""
+    """(anchor, n): anchor hashes that stand in two documents and more, and how often."""
     def run(batches):
         for batch in rows_by(batches, 3 << 20):
             ids = batch.column("doc_id").to_numpy()
@@ -114,19 +124,25 @@ def shared_anchors(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(ids[row])], names=["anchor", "doc_id"])
 
     thin = known_rows(docs).mapInArrow(run, "anchor long, doc_id long")
-    return thin.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    return thin.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("anchor", "n")
 
 
 PIECES = "anchor long, doc_id long, first int, windows int, bytes binary"
 
 
-def window_pieces(docs: DataFrame, bits: np.ndarray) -> DataFrame:
+def crowded_anchors(shared: DataFrame) -> np.ndarray:
+    """Anchors whose pieces could hold more than a block; there is at most one to a block of text."""
+    return np.sort(shared.where(F.col("n") > BLOCK // (SPAN + REACH - 1)).select("anchor").toArrow().column("anchor").to_numpy())
+
+
+def window_pieces(docs: DataFrame, bits: np.ndarray, crowded: np.ndarray) -> DataFrame:
     """Bytes of the windows of shared anchors.  Of equal pieces in a batch only the least document's goes on to
     be sorted; the others are already decided (no bytes: all windows repeat)."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast((bits, crowded))
+    names = [f.split()[0] for f in PIECES.split(", ")]
 
     def run(batches):
-        bits = shared.value
+        bits, crowded = shared.value
         for batch in rows_by(batches, 3 << 20):
             ids = batch.column("doc_id").to_numpy()
             data, borders = text_bytes(batch.column("text"))
@@ -138,14 +154,27 @@ def window_pieces(docs: DataFrame, bits: np.ndarray) -> DataFrame:
             doc, raw = ids[row], data.tobytes()
             least: dict[bytes, int] = {}
             pieces = []
-            for d, at, n in zip(doc.tolist(), (borders[row] + first).tolist(), windows.tolist()):
+            begin = borders[row] + first
+            for d, at, n in zip(doc.tolist(), begin.tolist(), windows.tolist()):
                 piece = raw[at:at + n + SPAN - 1]
                 pieces.append(piece)
                 if least.setdefault(piece, d) > d:
                     least[piece] = d
             own = np.fromiter((least[p] == d for p, d in zip(pieces, doc.tolist())), bool, len(pieces))
-            yield pa.RecordBatch.from_arrays([pa.array(np.where(own, hashes.view(np.int64), mix(doc.view(np.uint64)).view(np.int64))), pa.array(doc), pa.array(first, pa.int32()), pa.array(windows, pa.int32()),
-                                              pa.array([p if o else None for p, o in zip(pieces, own)], pa.binary())], names=[f.split()[0] for f in PIECES.split(", ")])
+            split = own & np.isin(hashes.view(np.int64), crowded)
+            keep = np.flatnonzero(~split)
+            key = np.where(own, hashes.view(np.int64), mix(doc.view(np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(doc[keep]), pa.array(first[keep], pa.int32()), pa.array(windows[keep], pa.int32()),
+                                              pa.array([pieces[i] if own[i] else None for i in keep.tolist()], pa.binary())], names=names)
+            if split.any():
+                of = np.repeat(np.flatnonzero(split), windows[split])
+                step = np.arange(len(of)) - np.repeat(np.cumsum(windows[split]) - windows[split], windows[split])
+                every = window_hashes(data).view(np.int64)
+                for a in range(0, len(of), 1 << 16):
+                    o, k = of[a:a + (1 << 16)], step[a:a + (1 << 16)]
+                    at = begin[o] + k
+                    yield pa.RecordBatch.from_arrays([pa.array(every[at]), pa.array(doc[o]), pa.array(first[o] + k, pa.int32()), pa.array(np.ones(len(o)), pa.int32()),
+                                                      pa.array([raw[x:x + SPAN] for x in at.tolist()], pa.binary())], names=names)
 
     return known_rows(docs).mapInArrow(run, PIECES)
 
@@ -325,7 +354,7 @@ def cut_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def drop_substrings(docs: DataFrame) -> DataFrame:
     shared = settle(shared_anchors(docs), "shared-anchors")
-    pieces = window_pieces(docs, bit_filter.build(shared, "anchor"))
+    pieces = window_pieces(docs, bit_filter.build(shared, "anchor"), crowded_anchors(shared))
     return cut_ranges(docs, repeated_ranges(pieces))
 
 

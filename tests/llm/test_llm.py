@@ -293,6 +293,25 @@ def test_cover_dedup_of_texts_longer_than_a_place(docs, monkeypatch, place):
     assert collections.Counter(tuple(r) for r in cover_dedup.drop_substrings(docs).drop("kept").collect()) == removed(rows)
 
 
+def test_cover_dedup_bounds_buckets(spark, monkeypatch):
+    """A short phrase with a low hash, each time in other surroundings, is not one bucket."""
+    monkeypatch.setattr(cover_dedup, "BLOCK", 4000)
+    rng = np.random.default_rng(6)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    pool = letters(60000)
+    at = int(cover_dedup.gram_hashes(np.frombuffer(pool.encode(), np.uint8)).argmin())
+    phrase = pool[at:at + 20]
+    rows = [(i, letters(80) + phrase + letters(80)) for i in range(300)]
+    rows += [(300 + i, letters(10) + rows[i][1][20:160] + letters(10)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces, seen = cover_dedup.window_pieces, []
+    monkeypatch.setattr(cover_dedup, "window_pieces", lambda *a: seen.append(pieces(*a)) or seen[-1])
+    got = cover_dedup.drop_substrings(docs).drop("kept").collect()
+    assert collections.Counter(tuple(r) for r in got) == removed([(i, t.encode()) for i, t in rows])
+    sizes = seen[0].where("bytes is not null").select("anchor", "bytes").distinct().groupBy("anchor").agg(F.sum(F.length("bytes")).alias("size"))
+    assert sizes.agg(F.max("size")).first()[0] <= cover_dedup.BLOCK
+
+
 def test_suffixes_are_sorted():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
