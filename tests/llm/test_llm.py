@@ -369,3 +369,29 @@ def test_pipeline_stages(spark, docs):
         assert corpus_pipeline.STAGES[-1][1](spark, here, folder).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] >= here.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "quality", "jaccard", "substring", "packing"]
     assert shingle_sets is not None
+
+
+def test_pipeline_substring_rows(spark):
+    """The rows of the stage against plain Python runs over the same pieces."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) + rng.choice(["", "", "", "", "", ".", "?"])
+    passages = [" ".join(word() for _ in range(n)) for n in (15, 20, 30, 55, 80)]
+    texts = [" ".join(rng.choice(passages) if rng.random() < 0.2 else word() for _ in range(rng.randint(1, 40))) for _ in range(80)]
+    rows = [(i, t, "en", "s", -1) for i, t in enumerate(texts)]
+    first, want = {}, collections.Counter()
+    for i, t in enumerate(texts):
+        parts = sentence_spans.sentences(t)
+        words = [p.split() for p in parts]
+        enough = lambda a, b: b - a >= 3 and sum(map(len, words[a:b])) >= 12
+        spans = [(a, b) for a in range(len(parts)) for b in range(a + 1, len(parts) + 1) if enough(a, b) and not (enough(a + 1, b) and enough(a, b - 1))]
+        gone = set()
+        for a, b in spans:
+            key = tuple(w for p in words[a:b] for w in p)
+            doc, end = first.setdefault(key, (i, b))
+            if doc < i or a >= end:
+                gone.update(range(a, b))
+        left = "".join(p for k, p in enumerate(parts) if k not in gone)
+        want[(i, left, "en", "s", len(left) if gone else -1)] += 1
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter(tuple(r) for r in corpus_pipeline.substring_stage(spark, table, "").collect())
+    assert got == want and sum(r[4] >= 0 for r in want) > 20
