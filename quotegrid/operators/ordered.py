@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quotegrid.params import SECOND
+from quotegrid.session import settle
 
 BEFORE = Window.unboundedPreceding
 
@@ -46,6 +47,24 @@ def ordinal(df: DataFrame, by: list[str], on: str, width: int, name: str = "rn")
     return running_total(df, by, on, width, **{name: F.lit(1)})
 
 
+def row_numbers(df: DataFrame, *order: str | Column, name: str = "rn") -> DataFrame:
+    """1-based position of each row in the order of the whole table.
+
+    Rows are range partitioned and written with their range, each range is numbered on its own and moved by the rows
+    of the ranges before it (one number per range, added up by the driver).  No window spans the table.  Rows equal in
+    all of ``order`` share a range, so let a key stand at its end; their numbers are distinct but arbitrary.
+    """
+    placed = settle(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()}
+    before, offsets = 0, [0]
+    for i in range(max(counts, default=0) + 1):
+        offsets.append(before)
+        before += counts.get(i, 0)
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    moved = within.cast("long") + F.element_at(F.lit(offsets).cast("array<bigint>"), F.col("_range") + 2)
+    return placed.select(*df.columns, moved.alias(name))
+
+
 def asof(left: DataFrame, right: DataFrame, on: str, by: list[str], values: list[str], *,
          forward: bool = False, strict: bool = False, width: int = 3600 * SECOND) -> DataFrame:
     """Left rows with the ``values`` of the nearest right row in time, else NULL.
