@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quotegrid.llm import bpe_tree, cover_dedup, language_spans, multi_index, prefix_join, quality_rules, resync_counts, sentence_spans, squares_packing, warc_dictionary
+from quotegrid.llm import (bpe_tree, clause_grammar, cover_dedup, language_spans, multi_index, prefix_join, quality_rules, resync_counts, sentence_spans,
+                           spelling_blocks, squares_packing, target_resampling, warc_dictionary)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_query,
@@ -15,5 +16,8 @@ QUERIES = {
     "op8_resync_counts": resync_counts.op8_query,
     "op9_cover_dedup": cover_dedup.op9_query,
     "op10_squares_packing": squares_packing.op10_query,
+    "op11_spelling_blocks": spelling_blocks.op11_query,
+    "op12_clause_grammar": clause_grammar.op12_query,
+    "op13_target_resampling": target_resampling.op13_query,
 }
 ORACLES = {"op2_warc_dictionary": warc_dictionary.OP2_SQL}
