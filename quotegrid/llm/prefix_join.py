@@ -9,10 +9,12 @@ of two emits for both.
 
 Counts come from a sketch over all rows, of fixed size; it decides the order only, so it can't change a result.
 Documents with equal sets are one node from the start.  In each signature's bucket every member is verified against
-the bucket's first one (token counts by hash class rule out most pairs before their sets are moved).  Further pairs are
-verified only where these links leave members in different components: members near the first one meet by a prefix of
-their differences from it, so that many variants of one text don't all meet each other, the rest unless the triangle
-inequality of Jaccard distance rules them out.  No bucket is brought into one task.
+the bucket's first one.  Before sets are moved, bitmaps of four to eight bits a token rule out nearly all pairs that
+are not similar: tokens whose bit the other set lacks are not common.  Buckets whose other members then lie in
+different components are compared in blocks of bounded size, by bitmaps and between components only.  A block gives
+back a spanning forest over its possible links, best first, never its pairs; these are verified and contracted.  Blocks
+that held more possible links are compared once more, between the components still apart, and what is left is verified.
+Buckets with the same members are compared once.
 
 Defined results: null text, and text without words, is an empty set: linked with nothing, its own component.  A text
 with fewer words than a shingle has its whole sequence as one.  Rows with equal text are linked, so a repeated row adds
@@ -23,16 +25,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quotegrid.llm import bit_filter
 from quotegrid.llm.arrays import mix, rows_by, shingle_sets
 from quotegrid.llm.graph import components
+from quotegrid.llm.multi_index import forest
 from quotegrid.session import settle
 
 WIDTH = 1 << 20
 #: Sets under this size use single tokens only.
 SMALL_TIER = 3
+#: Members and visitors of one block, about.
+MEMBERS = 1024
+VISITORS = 512
 
 
 class Order:
@@ -122,21 +128,30 @@ def signatures(tokens: np.ndarray, order: Order, percent: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def profile(tokens: np.ndarray) -> bytes | None:
-    """Tokens per hash class, about eight to a class; what two profiles have in common bounds what their
-    sets have.  None (no bound) where a class exceeds its 16-bit count."""
-    classes = 1 << max(4, (len(tokens) >> 3).bit_length())
-    counts = np.bincount((tokens & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
-    return counts.astype(np.uint16).tobytes() if counts.max() < 1 << 16 else None
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Four to eight bits a token, set by the token's low bits."""
+    bits = 1 << max(6, (4 * len(tokens)).bit_length())
+    out = np.zeros(bits, np.uint8)
+    out[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").tobytes()
 
 
-def most_common(p: bytes | None, q: bytes | None, least: int) -> int:
-    """Most tokens two sets can share: classes are low bits, so the finer profile folds into the coarser."""
-    if p is None or q is None:
-        return least
-    x, y = (np.frombuffer(v, np.uint16).astype(np.int64) for v in (p, q))
-    n = min(len(x), len(y))
-    return int(np.minimum(x.reshape(-1, n).sum(axis=0), y.reshape(-1, n).sum(axis=0)).sum())
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of 64-bit words, all folded to the size of the smallest."""
+    words = min(map(len, maps)) // 8
+    out = np.zeros((len(maps), words), np.uint64)
+    for i, m in enumerate(maps):
+        x = np.frombuffer(m, np.uint64)
+        out[i] = x if len(x) == words else np.bitwise_or.reduce(x.reshape(-1, words), axis=0)
+    return out
+
+
+def most_common(x: np.ndarray, m: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Most tokens that sets of m and n tokens can share, row by row: of either, one token at least for each bit that
+    the other lacks is not shared."""
+    both = np.bitwise_count(x & y).sum(axis=-1, dtype=np.int64)
+    alone = lambda z, k: k - np.bitwise_count(z).sum(axis=-1, dtype=np.int64)
+    return both + np.minimum(alone(x, m), alone(y, n))
 
 
 def digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -147,7 +162,7 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def sketch_rows(docs: DataFrame, order: Order, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, profile, signatures) per row."""
+    """(doc_id, n_shingles, d1, d2, bits, signatures) per row."""
     shared = docs.sparkSession.sparkContext.broadcast(order)  # WIDTH counts
 
     def run(batches):
@@ -157,11 +172,11 @@ def sketch_rows(docs: DataFrame, order: Order, shingle: int, percent: int) -> Da
             marks = [digest(s) if len(s) else (0, 0) for s in sets]
             sigs = [signatures(s, order, percent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             cut = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([profile(s) for s in sets], pa.binary()),
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary()),
                                               pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(sigs) if sigs else np.zeros(0, np.int64)))],
-                                             names=["doc_id", "n_shingles", "d1", "d2", "profile", "signatures"])
+                                             names=["doc_id", "n_shingles", "d1", "d2", "bits", "signatures"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, profile binary, signatures array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bits binary, signatures array<long>")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -178,17 +193,20 @@ def node_sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
 
 
 def screen(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, low, open) of each pair: the least distance their profiles allow, and whether the pair can be similar."""
+    """The pairs (a, b) that can be similar by their bitmaps."""
     def run(batches):
         for batch in batches:
             m, n = (batch.column(c).to_numpy() for c in ("m", "n"))
-            common = np.array([most_common(p, q, k) for p, q, k in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist(), np.minimum(m, n).tolist())], np.int64)
-            joint = m + n - common
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(1 - common / joint), pa.array(common * 100 >= joint * percent)], names=["a", "b", "low", "open"])
+            common = np.zeros(batch.num_rows, np.int64)
+            for i, (p, q) in enumerate(zip(batch.column("p").to_pylist(), batch.column("q").to_pylist())):
+                x, y = folded([p, q])
+                common[i] = most_common(x, m[i], y, n[i])
+            able = common * 100 >= (m + n - common) * percent
+            yield batch.select(["a", "b"]).filter(pa.array(able))
 
-    both = (pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("profile").alias("p")), "a")
-            .join(nodes.select(F.col("node").alias("b"), "n", F.col("profile").alias("q")), "b"))
-    return both.select("a", "b", "m", "n", "p", "q").mapInArrow(run, "a long, b long, low double, open boolean")
+    both = (pairs.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("bits").alias("p")), "a")
+            .join(nodes.select(F.col("node").alias("b"), "n", F.col("bits").alias("q")), "b"))
+    return both.select("a", "b", "m", "n", "p", "q").mapInArrow(run, "a long, b long")
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -208,45 +226,106 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common long, joint long")
 
 
-def deltas(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(center, node, distance, most, linked, delta) of each pair (center, node): the delta is their symmetric
-    difference, ``most`` how many tokens a set similar to the node can differ from it in."""
-    def run(batches):
-        for batch in rows_by(batches):
-            rows = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                c, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                delta = np.setxor1d(c, t, assume_unique=True).view(np.int64)
-                joint = (len(c) + len(t) + len(delta)) // 2
-                common = joint - len(delta)
-                rows.append((1 - common / joint, len(t) * (100 - percent) // percent, common * 100 >= joint * percent, delta))
-            kinds = [pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]],
-                                             names=["center", "node", "distance", "most", "linked", "delta"])
-
-    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b"))
-    return both.select("a", "b", "x", "y").mapInArrow(run, "center long, node long, distance double, most long, linked boolean, delta array<long>")
-
+def unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (sig, node, n, part, main, m_parts, q_parts) of the buckets whose members lie in several parts, buckets with
+    the same members once.  Pairs of the bucket's center are known, so it is left out; ``main`` is the largest part."""
+    rows = members.where("node <> center").join(parts, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("part"))
+    mark = lambda salt: F.sum(F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(1 << 40)))
+    each = rows.groupBy("sig", "part").agg(F.count("*").alias("k"), mark("x").alias("x"), mark("y").alias("y"), F.min("node").alias("low"), F.max("node").alias("high"))
+    whole = each.groupBy("sig").agg(F.count("*").alias("apart"), F.sum("k").alias("m"), F.max("k").alias("top"), F.max_by("part", F.struct("k", "part")).alias("main"),
+                                    *[F.sum(c).alias(c) for c in ("x", "y")], F.min("low").alias("low"), F.max("high").alias("high")).where("apart > 1")
+    once = whole.groupBy("m", "x", "y", "low", "high").agg(F.min_by(F.struct("sig", "main", "top"), "sig").alias("one"))
+    parts_of = lambda n, most: F.ceil(n / most).cast("int")
+    sizes = once.select("one.sig", "one.main", parts_of(F.col("m"), MEMBERS).alias("m_parts"), parts_of(F.col("m") - F.col("one.top"), VISITORS).alias("q_parts"))
+    return rows.join(sizes, "sig")
+
+
+def block_rows(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of blocks (sig, m_part, q_part): up to about ``MEMBERS`` members, and ``VISITORS`` of those outside the main
+    part, each visitor meeting each member of its bucket in one block."""
+    at = lambda m, q, member, visitor: F.struct(m.alias("m_part"), q.alias("q_part"), member.alias("member"), visitor.alias("visitor"))
+    one = lambda parts, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(parts)).cast("int")
+    each = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
+    outside, yes, no = F.col("part") != F.col("main"), F.lit(True), F.lit(False)
+    alone = F.array(at(F.lit(0), F.lit(0), yes, outside))
+    member = F.transform(each("q_parts"), lambda q: at(one("m_parts", "m"), q, yes, no))
+    visitor = F.transform(each("m_parts"), lambda m: at(m, one("q_parts", "q"), no, yes))
+    places = F.when((F.col("m_parts") == 1) & (F.col("q_parts") == 1), alone).when(outside, F.concat(member, visitor)).otherwise(member)
+    spread = rows.select("sig", "node", "part", "main", F.explode(places).alias("at")).select("sig", "at.*", "node", "part", "main")
+    return spread.join(nodes.select("node", "n", "bits"), "node")
+
+
+def best_forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Places of the edges (a, b) of a spanning forest over n points, heaviest first: every group takes its best edge
+    to another one until none is left."""
+    label, taken = np.arange(n), np.zeros(len(a), bool)
+    order = np.argsort(-weight, kind="stable")
+    while True:
+        cross = order[label[a[order]] != label[b[order]]]
+        if not len(cross):
+            return np.flatnonzero(taken)
+        _, i = np.unique(np.stack([label[a[cross]], label[b[cross]]], axis=1), return_index=True)
+        taken[cross[i // 2]] = True
+        at = np.flatnonzero(taken)
+        label = forest(n, a[at], b[at])
+
+
+def compare_block(block: pa.RecordBatch, percent: int, whole: bool) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Possible links (a, b) between different parts of a block, or a forest of them, and whether there were more."""
+    node, part, main, n = (block.column(c).to_numpy() for c in ("node", "part", "main", "n"))
+    member, visitor = (block.column(c).to_numpy(zero_copy_only=False) for c in ("member", "visitor"))
+    bits = folded(block.column("bits").to_pylist())
+    own = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    members = np.flatnonzero(member)
+    theirs, alone = bits[members], n[members] - own[members]
+    inside = part[members] == main[members]
+    found = []
+    for v in np.flatnonzero(visitor):
+        common = np.bitwise_count(theirs & bits[v]).sum(axis=1, dtype=np.int64) + np.minimum(alone, n[v] - own[v])
+        joint = n[v] + n[members] - common
+        # two visitors meet in two blocks, or twice in one
+        hit = np.flatnonzero((common * 100 >= joint * percent) & (part[members] != part[v]) & (inside | (node[members] > node[v])))
+        found.append((np.full(len(hit), v), members[hit], common[hit] / joint[hit]))
+    a, b, weight = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+    if whole or not len(a):
+        return node[a], node[b], False
+    names, place = np.unique(part, return_inverse=True)
+    at = best_forest(place[a], place[b], weight, len(names))
+    return node[a[at]], node[b[at]], len(at) < len(a)
+
+
+def possible_links(rows: DataFrame, nodes: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """(sig, a, b, more) of every block: its possible links between parts, all of them or a spanning forest."""
+    keys = ["sig", "m_part", "q_part"]
+
+    def blocks(batches):
+        held = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if held and batch.num_rows else None
+            if table is None:
+                continue
+            edges = np.zeros(table.num_rows, bool)
+            edges[0] = True
+            for k in keys:
+                x = table.column(k).to_numpy()
+                edges[1:] |= x[1:] != x[:-1]
+            cuts = np.flatnonzero(edges).tolist()
+            for a, b in zip(cuts, cuts[1:]):
+                yield table.slice(a, b - a)
+            held = [table.slice(cuts[-1])]  # the last block may go on
+        if held and sum(b.num_rows for b in held):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-def around(zone: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes around one center, in different parts, whose deltas leave them able to be similar.
+    def run(batches):
+        for block in blocks(batches):
+            a, b, more = compare_block(block, percent, whole)
+            if len(a):
+                sig = np.full(len(a), block.column("sig")[0].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), more))], names=["sig", "a", "b", "more"])
 
-    Two nodes differ in what their deltas differ in, so similar ones whose deltas together hold more than ``most`` have
-    tokens in common; the first of them, tokens that are rare around the center first, is among the first most + 1 of
-    the larger delta and the first most / 2 + 1 of the smaller."""
-    zone = zone.withColumn("size", F.size("delta"))
-    tokens = zone.select("center", "node", "part", "size", "most", F.explode("delta").alias("token"))
-    seen = tokens.groupBy("center", "token").agg(F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("center", "node").orderBy("n", "token"))
-    prefix = settle(tokens.join(seen, ["center", "token"]).withColumn("place", place).where(F.col("place") <= F.col("most") + 1), "delta-prefixes")
-    apart = "x.node <> y.node AND x.part <> y.part"
-    few, many = prefix.where(F.col("place") <= F.floor(F.col("most") / 2) + 1).alias("x"), prefix.alias("y")
-    met = few.join(many, F.expr(f"x.center = y.center AND x.token = y.token AND {apart} AND x.size <= y.size"))
-    small = zone.where("size <= most")
-    rest = small.alias("x").join(small.where("NOT linked").alias("y"), F.expr(f"x.center = y.center AND {apart}"))
-    both = [p.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")) for p in (met, rest)]
-    return both[0].unionByName(both[1])
+    dealt = block_rows(rows, nodes).repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "member", "visitor", "node", "part", "main", "n", "bits").mapInArrow(run, "sig long, a long, b long, more boolean")
 
 
 def meeting(rows: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -281,43 +360,31 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
     # signatures of one row only can't meet another; the rest are few, and only they are moved with their rows
     lone = rows.where("doc_id IS NOT NULL").select("doc_id", F.explode("signatures").alias("sig")).groupBy("sig").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     shared = settle(lone.where("low < high").select("sig"), "shared-signatures")
-    first = meeting(rows, bit_filter.build(shared, "sig")).join(nodes, ["d1", "d2", "doc_id"])
+    first = meeting(rows.drop("bits"), bit_filter.build(shared, "sig")).join(nodes, ["d1", "d2", "doc_id"])
     tokens = first.select("node", F.col("n_shingles").alias("n"), F.explode("signatures").alias("sig"))
     buckets = tokens.groupBy("sig").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last").select("sig", "center")
     members = settle(tokens.join(buckets, "sig").select("sig", "node", "n", "center"), "members")
 
-    needed = members.select("node").distinct()
-    profiles = settle(first.join(needed, "node", "left_semi").select("node", F.col("n_shingles").alias("n"), "profile", "doc_id", "d1", "d2").dropDuplicates(["node"]), "profiles")
+    needed = nodes.join(members.select("node").distinct(), "node", "left_semi")
+    bits = settle(rows.select("doc_id", "d1", "d2", F.col("n_shingles").alias("n"), "bits").join(needed, ["d1", "d2", "doc_id"]).dropDuplicates(["node"]), "bitmaps")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        common = verify(pairs, node_sets(docs, ends_of(pairs, bits), shingle))
+        return settle(common.where(F.col("common") * 100 >= F.col("joint") * percent).select("a", "b"), "linked")
+
     pairs = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    stars = settle(screen(pairs, profiles, percent), "stars")
-    able = stars.where("open").select("a", "b")
-    close = F.col("common") * 100 >= F.col("joint") * percent
-    checked = settle(verify(able, node_sets(docs, ends_of(able, profiles), shingle)), "checked")
-    links = checked.where(close).select("a", "b")
-    parts = settle(components(links), "parts")
-
-    # distances to the bucket's first member: exact where verified, else between what the profiles allow and 1
-    exact = 1 - F.col("common") / F.col("joint")
-    known = stars.join(checked, ["a", "b"], "left").select(F.col("a").alias("center"), F.col("b").alias("node"), F.coalesce(exact, "low").alias("near"), F.coalesce(exact, F.lit(1.0)).alias("far"))
-    label = (members.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")).join(known, ["center", "node"], "left")
-             .select("sig", "center", "node", "n", "part", F.coalesce("near", F.lit(0.0)).alias("near"), F.coalesce("far", F.lit(0.0)).alias("far")))
-    label = settle(label, "labelled")
-    split = label.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("sig")
-    left = settle(label.where("node <> center").join(split, "sig"), "unsettled")  # pairs with the center are known
-    reach = 1 - percent / 100 + 1e-9
-    # members that can be near their center are told apart by what they have besides it, others by their distances
-    by = left.where(F.col("near") <= 2.5 * reach).select(F.col("center").alias("a"), F.col("node").alias("b"), "part").distinct()
-    zone = deltas(by.select("a", "b"), node_sets(docs, ends_of(by.select("a", "b"), profiles), shingle), percent)
-    zone = settle(zone.join(by.select(F.col("a").alias("center"), F.col("b").alias("node"), "part"), ["center", "node"]), "deltas")
-    sharp = (left.join(zone.select("center", "node", "distance"), ["center", "node"], "left").withColumn("zoned", F.col("distance").isNotNull())
-             .withColumn("near", F.coalesce("distance", "near")).withColumn("far", F.coalesce("distance", "far")))
-    x, y = sharp.alias("x"), sharp.alias("y")
-    more = (x.join(y, F.expr(f"x.sig = y.sig AND x.node < y.node AND x.part <> y.part AND NOT (x.zoned AND y.zoned) AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {percent} AND x.near - y.far <= {reach} AND y.near - x.far <= {reach}"))
-            .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).unionByName(around(zone)).distinct()
-            .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    able = settle(screen(more, profiles, percent).where("open").select("a", "b"), "further")
-    extra = verify(able, node_sets(docs, ends_of(able, profiles), shingle)).where(close).select("a", "b")
-    joined = components(links.select("a", "b").unionByName(extra))
+    links = linked(settle(screen(pairs, bits, percent), "stars"))
+    rows_apart = settle(unsettled(members, components(links)), "unsettled")
+    possible = settle(possible_links(rows_apart, bits, percent, False), "possible")
+    tried = settle(possible.select("a", "b").distinct(), "tried")
+    links = settle(links.unionByName(linked(tried)), "links")
+    joined = components(links)
+    again = possible.where("more").select("sig").distinct()
+    if not again.isEmpty():
+        joined = settle(joined, "joined")
+        left = rows_apart.join(again, "sig", "left_semi").join(joined, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        rest = settle(possible_links(left, bits, percent, True).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+        joined = components(links.unionByName(linked(rest)))
     named = nodes.select("node", "d1", "d2", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     classes = settle(named.join(least, "component").select("d1", "d2", "component_id"), "classes")

@@ -234,6 +234,59 @@ def test_prefix_join(docs, width, percent):
     assert prefix_join.similar_components(empty(docs), width, percent).count() == 0
 
 
+@pytest.mark.parametrize("members,visitors", [(1024, 512), (7, 3)])
+def test_variants_that_meet_away_from_the_center(spark, monkeypatch, members, visitors):
+    """Many variants of one text, some linked to each other only; blocks of any size find the same classes."""
+    monkeypatch.setattr(prefix_join, "MEMBERS", members)
+    monkeypatch.setattr(prefix_join, "VISITORS", visitors)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for family in range(12):  # each moves away from the base, far from other families, near its own
+        own = list(base)
+        for k in rng.sample(range(0, 400, 4), 22):
+            own[k] = f"f{family}x{k}"
+        for _ in range(4):
+            one = list(own)
+            for k in rng.sample(range(400), 2):
+                one[k] = f"y{rng.random()}"
+            rows.append((len(rows), " ".join(one)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = [{tuple(w[i:i + 3]) for i in range(len(w) - 2)} for w in (t.split() for _, t in rows)]
+    label = list(range(len(rows)))
+    for _ in range(6):
+        for a in label:
+            for b in range(len(rows)):
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert {r["doc_id"]: r["component_id"] for r in prefix_join.similar_components(table, 3, 75).collect()} == dict(enumerate(label))
+    assert 4 < len(set(label)) < 40
+
+
+def test_bitmaps_never_rule_out_what_is_common():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        pool = rng.integers(0, 2**63, 300).astype(np.uint64)
+        x, y = (np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(2))
+        p = prefix_join.folded([prefix_join.bitmap(x), prefix_join.bitmap(y)])
+        assert len(np.intersect1d(x, y)) <= prefix_join.most_common(p[0], len(x), p[1], len(y)) <= min(len(x), len(y))
+
+
+def test_best_forest_spans_with_the_heaviest_edges():
+    rng = np.random.default_rng(4)
+    for n, m in ((2, 1), (6, 9), (30, 200)):
+        a, b = rng.integers(0, n, (2, m))
+        w = rng.permutation(m).astype(float)
+        got = prefix_join.best_forest(a, b, w, n)
+        label, want = list(range(n)), []
+        for e in np.argsort(-w):
+            x, y = label[a[e]], label[b[e]]
+            if x != y:
+                want.append(e)
+                label = [x if v == y else v for v in label]
+        assert sorted(got) == sorted(want)
+
+
 def test_prefix_signatures_never_miss():
     """Similar sets share a signature also when every token is frequent."""
     rng = np.random.default_rng(0)
