@@ -7,9 +7,19 @@ from pyspark.sql import functions as F
 from quotegrid.functions.book import r6
 from quotegrid.plans.registry import query
 from quotegrid.plans.study import A, HORIZONS, I
-from quotegrid.plans.trading import Day, rounded_all
+from quotegrid.operators.calendar import period_of
+from quotegrid.params import DAY
+from quotegrid.plans.trading import LONGEST, PERIOD, U, Day, day_start, rounded_all, u_columns
 from quotegrid.sources.bindings import message_stream
-from quotegrid.streaming import live
+from quotegrid.streaming import live, orders
+
+DELAY = "10 minutes"
+
+
+def end_of(day: Day) -> int:
+    """A time at which every day of the replayed tables is over."""
+    last = day.quotes.agg(F.max("ts_ns")).first()[0]
+    return (last or 0) + 4 * DAY
 
 
 @query("t01_stream_grid", """
@@ -40,25 +50,30 @@ def t03(spark, sf):
     return live.run_to_table(live.grid_stream(shaken, I, A), "late").where("kind = 'late'").select("sequence", "ts_ns")
 
 
-@query("t04_stream_maturity", """
-SELECT strategy, seq, h.horizon_ms, round(q.mid, 6) + 0.0 AS target_mid
-FROM fl CROSS JOIN (VALUES (CAST(300000 AS BIGINT)), (900000), (2700000)) h(horizon_ms) JOIN fq q ON q.file_date = fl.file_date AND q.ts_ns = fl.ts_ns + h.horizon_ms * 1000000""")
+@query("t04_stream_maturity", f"SELECT strategy, seq, status, {U} FROM sc")
 def t04(spark, sf):
     day = Day(spark, sf)
-    fills = live.table_stream(spark, day.fills.select("instrument_id", "file_date", "strategy", "seq", "ts_ns"))
-    quotes = live.table_stream(spark, day.quotes.select("instrument_id", "file_date", "ts_ns", "mid"))
-    rows = live.run_to_table(live.maturing(fills, quotes, HORIZONS, "1 hour"), "maturity").where("target_mid is not null")
-    return rounded_all(rows.select("strategy", "seq", "horizon_ms", "target_mid"))
+    close = (day_start() + DAY).alias("close_ns")
+    until = end_of(day)
+    fills = live.replay_in_time(spark, day.fills.select("instrument_id", "file_date", close, "strategy", "seq", "ts_ns", "side", "mid"), "ts_ns", until)
+    quotes = live.replay_in_time(spark, day.quotes.select("instrument_id", "file_date", close, "ts_ns", "mid"), "ts_ns", until)
+    return u_columns(live.run_to_table(orders.maturing_fills(fills, quotes, HORIZONS, I, DELAY), "maturity"), "strategy", "seq", "status")
 
 
 @query("t05_stream_period_feedback", """
-SELECT strategy, owner, start_ns, orders, matured, CASE WHEN orders = matured THEN round(total / orders, 6) + 0.0 END AS reward
-FROM (SELECT strategy, CAST(owner AS INT) AS owner, ts_ns // 1800000000000 * 1800000000000 AS start_ns, count(*) AS orders, count(*) FILTER (WHERE status = 'matured') AS matured, sum(score) AS total FROM sc GROUP BY ALL)
-WHERE start_ns + 1800000000000 <= (SELECT max(ts_ns) FROM sc) - 2700000000000""")
+SELECT strategy, file_date, version_id, period_index, owner, observed_at_ns, status, orders, matured, round(reward, 6) + 0.0 AS reward FROM fbr""")
 def t05(spark, sf):
-    scored = Day(spark, sf).scored.select("strategy", "owner", "ts_ns", "status", "score")
-    rows = live.run_to_table(live.period_feedback_stream(live.table_stream(spark, scored), ["strategy", "owner"], "1800 seconds", "2700 seconds"), "periods")
-    return rounded_all(rows)
+    day = Day(spark, sf)
+    opened = {"_open": day_start(), "close_ns": day_start() + DAY}
+    end = F.least(F.col("_open") + (F.col("period_index") + 1) * PERIOD, F.col("close_ns"))
+    bucket = ["instrument_id", "file_date", "close_ns", "strategy", "version_id", "period_index", "owner", end.alias("end_ns")]
+    placed = period_of(day.scored.withColumns(opened), "ts_ns", "_open", "close_ns", PERIOD)
+    until = end_of(day)
+    told = live.replay_in_time(spark, placed.select(*bucket, "ts_ns", "status", "score"), "ts_ns", until)
+    chosen = live.replay_in_time(spark, day.selections.withColumns(opened).select(*bucket, "selected_at_ns"), "selected_at_ns", until)
+    quotes = live.replay_in_time(spark, day.quotes.withColumns(opened).select("instrument_id", "file_date", "close_ns", "ts_ns"), "ts_ns", until)
+    rows = live.run_to_table(orders.period_feedback_stream(chosen, told, quotes, LONGEST, DELAY), "periods")
+    return rounded_all(rows.select("strategy", "file_date", "version_id", "period_index", "owner", "observed_at_ns", "status", "orders", "matured", "reward"))
 
 
 @query("t06_stream_sink", "SELECT file_date, event_type, count(*) AS messages FROM book GROUP BY ALL")

@@ -1,4 +1,4 @@
-"""Structured Streaming forms of sampling, maturity and period feedback."""
+"""Structured Streaming forms of sampling, sinks, and replays of stored tables."""
 
 from __future__ import annotations
 
@@ -77,31 +77,6 @@ def tumbling_grid(book: DataFrame, interval: str, delay: str) -> DataFrame:
     return grouped.select("instrument_id", (F.unix_micros("_w.start") * 1000).alias("start_ns"), "bid", "ask", "good", "bad", "open", "unreliable")
 
 
-def maturing(fills: DataFrame, quotes: DataFrame, horizons_ms: tuple, delay: str) -> DataFrame:
-    """Each fill and horizon with the mid exactly then; NULL once the quotes have moved past it.
-
-    A left outer stream-stream join on key and target time: the watermark is what
-    turns a waiting fill into a missing target.
-    """
-    at = lambda c: F.timestamp_micros(F.expr(f"{c} div 1000"))
-    hs = F.explode(F.array(*[F.lit(h).cast("bigint") for h in horizons_ms]))
-    asked = fills.withColumn("horizon_ms", hs).withColumn("target_ns", F.col("ts_ns") + F.col("horizon_ms") * MS)
-    asked = asked.withColumn("_due", at("target_ns")).withWatermark("_due", delay)
-    told = quotes.select(*[F.col(k).alias(f"q_{k}") for k in KEYS], F.col("mid").alias("target_mid"), at("ts_ns").alias("_at")).withWatermark("_at", delay)
-    match = (F.col("_due") == F.col("_at")) & (F.col("instrument_id") == F.col("q_instrument_id")) & (F.col("file_date") == F.col("q_file_date"))
-    return asked.join(told, match, "leftOuter").drop("_due", "_at", "q_instrument_id", "q_file_date")
-
-
-def period_feedback_stream(scored: DataFrame, by: list[str], period: str, longest: str) -> DataFrame:
-    """One row per period after the longest horizon has passed: mean score if every order matured."""
-    rows = scored.withColumn("_at", F.timestamp_micros(F.expr("ts_ns div 1000"))).withWatermark("_at", longest)
-    done = F.count_if(F.col("status") == "matured")
-    grouped = rows.groupBy(*by, F.window("_at", period).alias("_w")).agg(
-        F.count(F.lit(1)).alias("orders"), done.alias("matured"), F.sum("score").alias("_sum"))
-    reward = F.when(F.col("matured") == F.col("orders"), F.col("_sum") / F.col("orders"))
-    return grouped.select(*by, (F.unix_micros("_w.start") * 1000).alias("start_ns"), "orders", "matured", reward.alias("reward"))
-
-
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     """Drain the available input into a file table (exactly once) and read it back."""
     spark = stream.sparkSession
@@ -141,3 +116,19 @@ def table_stream(spark: SparkSession, table: DataFrame, files: int = 1) -> DataF
     path = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
     table.repartition(files).write.parquet(path)
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def replay_in_time(spark: SparkSession, table: DataFrame, at: str, until_ns: int, slices: int = 3) -> DataFrame:
+    """Replay a stored table in the order of its time column, one slice of time per micro-batch.  A last row, marked
+    ``beat``, says that nothing comes before ``until_ns`` any more."""
+    path = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    rows = table.withColumn("beat", F.lit(False))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    width = max(1, -(-((high or 0) + 1 - (low or 0)) // slices))
+    beat = spark.range(1).select(F.lit(-1).cast("bigint").alias("instrument_id"), F.lit("").alias("file_date"), F.lit(until_ns).cast("bigint").alias(at), F.lit(True).alias("beat"))
+    for i in range(slices):
+        start = (low or 0) + i * width
+        part = rows.where((F.col(at) >= start) & (F.col(at) < start + width))
+        part = part.unionByName(beat, allowMissingColumns=True) if i == slices - 1 else part
+        part.select(rows.columns).coalesce(1).write.mode("append").parquet(path)  # file times keep the slices in order
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
