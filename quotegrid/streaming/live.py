@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,46 +24,70 @@ OUTPUT = ("kind string, instrument_id bigint, file_date string, ts_ns bigint, so
 STATE = "clock bigint, fresh boolean, heads array<bigint>, prices array<double>, sizes array<bigint>"
 
 
-def grid_stream(book: DataFrame, interval_ns: int, max_age_ns: int) -> DataFrame:
+def governed_points(kind: np.ndarray, recv: np.ndarray, clock: int | None, interval_ns: int, max_age_ns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int | None]:
+    """(late rows, rows that stay, those that show on a grid point, these points, the clock after them), for messages
+    in sequence; row 0 may be the book held before.
+
+    A trusted row behind the clock is late and changes nothing, so the clock is the running maximum of the trusted
+    rows.  A good book shows on the grid points from its own time to the next row's, if that row is trusted."""
+    trusted = kind != UNRELIABLE
+    low = np.iinfo(np.int64).min
+    before = np.concatenate([[low if clock is None else clock], np.where(trusted, recv, low)])
+    before = np.maximum.accumulate(before)
+    late = trusted & (recv < before[:-1])
+    kept = np.flatnonzero(~late)
+    here, then = kept[:-1], kept[1:]
+    shown = (kind[here] == GOOD) & trusted[then]
+    here, then = here[shown], then[shown]
+    first = recv[here] // interval_ns + 1
+    times = np.maximum(0, np.minimum(recv[then], recv[here] + max_age_ns) // interval_ns - first + 1)
+    rows = np.repeat(here, times)
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
+    return late, kept, rows, (np.repeat(first, times) + place) * interval_ns, None if before[-1] == low else int(before[-1])
+
+
+def grid_stream(book: DataFrame, interval_ns: int, max_age_ns: int, delay: str = "2 days") -> DataFrame:
     """Snapshots and late rows of a message stream, one state per source file.
 
-    State is the trusted clock and the last completed book (or that there is none
-    to show).  A trusted row behind the clock goes to ``kind = late`` instead of
-    failing the stream.  The rows of a key in one micro-batch are handled by one
-    task; bound them with the source's files-per-trigger option.
+    State is the trusted clock and the last completed book (or that there is none to show).  A trusted row behind the
+    clock goes to ``kind = late`` instead of failing the stream.  Event time is the end of a file's day, as a bad clock
+    has none of its own; when the watermark (the latest file's day end less ``delay``) has passed it, the state is
+    deleted and rows that still come for the file are dropped by Spark, which counts them; a file whose name is no
+    date keeps its state.  The rows of a key in one
+    micro-batch are handled by one task in array steps; bound them with the source's files-per-trigger option.
     """
+    names = [part.strip().split(" ")[0] for part in OUTPUT.split(",")]
+    book_columns = [*PRICES, *SIZES]
 
     def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        clock, fresh, held = None, False, None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
+        end_ms = int(rows["_end_ms"].iloc[0])
+        rows = rows[["_class", *CARRIED, *book_columns]]
+        clock, fresh = None, False
         if state.exists:
             clock, fresh, heads, prices, sizes = state.get
-            held = (list(heads), list(prices), list(sizes)) if fresh else None
-        rows = pd.concat(list(frames)).sort_values("seq")
-        out = []
-        columns = rows[["_class", *CARRIED]].itertuples(index=False)
-        books = zip(rows[PRICES].to_numpy().tolist(), rows[SIZES].to_numpy().tolist())
-        for (kind, recv, event, sequence, flags), (prices, sizes) in zip(columns, books):
-            if kind == UNRELIABLE:
-                fresh = False
-                continue
-            if clock is not None and recv < clock:
-                out.append(("late", *key, recv, recv, event, sequence, flags, None, *prices, *sizes))
-                continue
-            if clock is not None and fresh:
-                last = min(recv, held[0][0] + max_age_ns)
-                for at in range((clock // interval_ns + 1) * interval_ns, last + 1, interval_ns):
-                    source = held[0]
-                    out.append(("snapshot", *key, at, *source, (at - source[0]) / MS, *held[1], *held[2]))
-            clock, fresh = recv, kind == GOOD
             if fresh:
-                held = ([recv, event, sequence, flags], prices, sizes)
-        heads, prices, sizes = held if fresh else ([], [], [])
-        state.update((int(clock) if clock is not None else None, bool(fresh), heads, prices, sizes))
-        names = [part.strip().split(" ")[0] for part in OUTPUT.split(",")]
-        yield pd.DataFrame(out, columns=names)
-
-    staged = book.select(*KEYS, "seq", message_class().alias("_class"), *CARRIED, *BOOK_COLUMNS)
-    return staged.groupBy(*KEYS).applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+                rows = pd.concat([pd.DataFrame([[GOOD, *heads, *prices, *sizes]], columns=rows.columns), rows])
+        late, kept, source, points, clock = governed_points(rows["_class"].to_numpy(), rows["recv_ns"].to_numpy(np.int64), clock, interval_ns, max_age_ns)
+        for which, at, name in ((np.flatnonzero(late), None, "late"), (source, points, "snapshot")):
+            if len(which):
+                out = rows.iloc[which].rename(columns={"recv_ns": "source_recv_ns", "event_ns": "source_event_ns", "flags": "source_flags"})
+                at = out["source_recv_ns"].to_numpy() if at is None else at
+                age = (at - out["source_recv_ns"].to_numpy()) / MS if name == "snapshot" else np.nan
+                yield out.assign(kind=name, instrument_id=key[0], file_date=key[1], ts_ns=at, age_ms=age)[names]
+        last = rows.iloc[kept[-1]] if len(kept) else None
+        fresh = last is not None and last["_class"] == GOOD
+        held = [[int(last[c]) for c in CARRIED], [float(last[c]) for c in PRICES], [int(last[c]) for c in SIZES]] if fresh else [[], [], []]
+        state.update((clock, bool(fresh), *held))
+        if end_ms:
+            state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
+
+    end_ms = F.unix_date(F.date_add(F.expr("try_cast(file_date AS date)"), 1)).cast("bigint") * 86_400_000
+    staged = book.select(*KEYS, "seq", message_class().alias("_class"), *CARRIED, *BOOK_COLUMNS, F.coalesce(end_ms, F.lit(0)).alias("_end_ms"), F.timestamp_millis(end_ms).alias("_at"))
+    return staged.withWatermark("_at", delay).groupBy(*KEYS).applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tumbling_grid(book: DataFrame, interval: str, delay: str) -> DataFrame:

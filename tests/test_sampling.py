@@ -1,4 +1,5 @@
 import random
+import uuid
 
 import pytest
 
@@ -75,7 +76,7 @@ def test_stream_equals_batch_over_several_batches(spark):
     rows = random_files(7, files=6)
     book = spark.createDataFrame(rows, BOOK_SCHEMA)
     expected = {(r.file_date, r.ts_ns, r.sequence) for r in sm.grid_snapshots(book, I, A).collect()}
-    source = f"{live.shared_folder(spark)}/stream-test"
+    source = f"{live.shared_folder(spark)}/stream-test-{uuid.uuid4().hex}"
     for part in range(4):
         book.where(f"seq % 1000 >= {part * 10} and seq % 1000 < {part * 10 + 10}").coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(book.schema).option("maxFilesPerTrigger", 1).parquet(source)
@@ -83,8 +84,27 @@ def test_stream_equals_batch_over_several_batches(spark):
     assert {(r.file_date, r.ts_ns, r.sequence) for r in out.collect()} == expected
 
 
+def test_stream_states_of_finished_files_are_deleted(spark):
+    rows = [r for r in random_files(9, files=3)]
+    book = spark.createDataFrame(rows, BOOK_SCHEMA)
+    days = {d: f"2024-02-0{i + 1}" for i, d in enumerate(sorted({r[4] for r in rows}))}
+    dated = book.replace(days, subset=["file_date"])
+    source = f"{live.shared_folder(spark)}/expiry-test-{uuid.uuid4().hex}"
+    for part in range(4):
+        dated.where(f"seq % 1000 >= {part * 10} and seq % 1000 < {part * 10 + 10}").coalesce(1).write.mode("append").parquet(source)
+    dated.limit(1).replace({d: "2024-03-01" for d in days.values()}, subset=["file_date"]).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(book.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    path = f"{live.shared_folder(spark)}/expiry-out-{uuid.uuid4().hex}"
+    run = live.grid_stream(stream, I, A, "5 days").writeStream.format("parquet").option("checkpointLocation", f"{path}-progress").trigger(availableNow=True).start(path)
+    run.awaitTermination()
+    got = spark.read.parquet(path)
+    assert {(r.file_date, r.ts_ns, r.sequence) for r in got.where("kind = 'snapshot'").collect()} == {(r.file_date, r.ts_ns, r.sequence) for r in sm.grid_snapshots(dated, I, A).collect()}
+    assert run.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1  # the last file, whose day is not over
+    assert len(run.recentProgress) >= 5
+
+
 def test_replayed_batch_is_written_once(spark):
-    path = f"{live.shared_folder(spark)}/once"
+    path = f"{live.shared_folder(spark)}/once-{uuid.uuid4().hex}"
     write = live.once_per_batch(path)
     write(spark.range(3), 0)
     write(spark.range(5), 0)
