@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 
 from quotegrid.functions.book import all_finite, has_bit, valid_book
 from quotegrid.operators.calendar import assign_session, inline
+from quotegrid.operators.ordered import row_numbers
 from quotegrid.params import BASE_FEATURES, FLAG_BAD_CLOCK, FLAG_LAST, FLAG_MAYBE_BAD_BOOK, MS
+from quotegrid.session import settle
 
 
 def schema_check(df: DataFrame, expected: T.StructType, clocks: tuple = ()) -> DataFrame:
@@ -153,10 +155,37 @@ def dataset_diff(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     return rows.select(*key, kind.alias("kind"), F.when(kind == "changed", F.array_join(wrong, ",")).alias("columns")).where("kind is not null")
 
 
+def ordered_diff(a: DataFrame, b: DataFrame, order: list[str]) -> DataFrame:
+    """Positions at which two tables, each in its own ``order``, do not hold the same row (NULL equals NULL).
+
+    Every row gets its position in the whole table and meets the row at the same position of the other table, so a row
+    that is missing, added or moved shows at all positions it shifts.  ``order`` should end in a key: rows equal in it
+    have no order between them, and are put in the order of their other columns."""
+    if a.schema.simpleString() != b.schema.simpleString():
+        raise ValueError("datasets differ in schema")
+    rest = [c for c in a.columns if c not in order]
+    placed = [row_numbers(t, *order, *rest, name="_position").select("_position", F.struct(*t.columns).alias(side)) for t, side in ((a, "_a"), (b, "_b"))]
+    rows = placed[0].join(placed[1], "_position", "full")
+    wrong = F.array_compact(F.array(*[F.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), c) for c in a.columns]))
+    kind = F.when(F.col("_a").isNull(), "only_right").when(F.col("_b").isNull(), "only_left").when(F.size(wrong) > 0, "changed")
+    found = rows.select(F.col("_position").alias("position"), kind.alias("kind"), F.when(kind == "changed", F.array_join(wrong, ",")).alias("columns"),
+                        *[F.col(f"_a.{c}").alias(f"left_{c}") for c in order], *[F.col(f"_b.{c}").alias(f"right_{c}") for c in order])
+    return found.where("kind is not null")
+
+
 def first_mismatch(diff: DataFrame, key: list[str]) -> DataFrame:
     return diff.orderBy(*key).limit(1)
 
 
+def diff_report(a: DataFrame, b: DataFrame, order: list[str]) -> DataFrame:
+    """One row: the row counts of both sides, how many positions differ, and the first of them (NULL if equal)."""
+    diff = settle(ordered_diff(a, b, order), "diff")
+    counts = diff.agg(F.count("*").alias("different_positions")).withColumns({"left_rows": F.lit(a.count()), "right_rows": F.lit(b.count())})
+    first = first_mismatch(diff, ["position"]).select(F.lit(True).alias("_one"), F.col("position").alias("first_position"), F.col("kind").alias("first_kind"), F.col("columns").alias("first_columns"))
+    out = counts.withColumn("_one", F.lit(True)).join(first, "_one", "left").drop("_one")
+    return out.select("left_rows", "right_rows", (F.col("left_rows") == F.col("right_rows")).alias("same_count"), "different_positions", "first_position", "first_kind", "first_columns")
+
+
 def diff_except(a: DataFrame, b: DataFrame, key: list[str], drop: list[str]) -> DataFrame:
     return dataset_diff(a.drop(*drop), b.drop(*drop), key)
 

@@ -168,6 +168,34 @@ def v11(spark, sf):
     return ql.dataset_diff(a, b, ["o_orderkey"])
 
 
+cte("altered", """
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 991 <> 3 THEN o_orderstatus END AS o_orderstatus, o_totalprice + CASE WHEN o_orderkey % 997 = 7 THEN 999 ELSE 0 END AS o_totalprice
+FROM orders WHERE o_orderkey % 1013 <> 5
+UNION ALL SELECT -o_orderkey - 1, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 1009 = 11""")
+cte("ordered", """
+SELECT coalesce(a.position, b.position) AS position, CASE WHEN a.position IS NULL THEN 'only_right' WHEN b.position IS NULL THEN 'only_left' ELSE 'changed' END AS kind,
+       CASE WHEN a.position IS NOT NULL AND b.position IS NOT NULL THEN concat_ws(',', CASE WHEN a.o_orderkey IS DISTINCT FROM b.o_orderkey THEN 'o_orderkey' END, CASE WHEN a.o_custkey IS DISTINCT FROM b.o_custkey THEN 'o_custkey' END,
+            CASE WHEN a.o_orderstatus IS DISTINCT FROM b.o_orderstatus THEN 'o_orderstatus' END, CASE WHEN a.o_totalprice IS DISTINCT FROM b.o_totalprice THEN 'o_totalprice' END) END AS columns,
+       a.o_orderkey AS left_o_orderkey, b.o_orderkey AS right_o_orderkey
+FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS position, o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders) a
+FULL JOIN (SELECT row_number() OVER (ORDER BY o_orderkey) AS position, * FROM altered) b ON a.position = b.position
+WHERE a.position IS NULL OR b.position IS NULL OR (a.o_orderkey, a.o_custkey, a.o_orderstatus, a.o_totalprice) IS DISTINCT FROM (b.o_orderkey, b.o_custkey, b.o_orderstatus, b.o_totalprice)""")
+
+
+@query("v11_ordered_diff", "SELECT * FROM ordered")
+def v11_ordered(spark, sf):
+    a, b = altered_orders(spark, sf)
+    return ql.ordered_diff(a, b, ["o_orderkey"])
+
+
+@query("v11_diff_report", """
+SELECT l.n AS left_rows, r.n AS right_rows, l.n = r.n AS same_count, (SELECT count(*) FROM ordered) AS different_positions, f.position AS first_position, f.kind AS first_kind, f.columns AS first_columns
+FROM (SELECT count(*) AS n FROM orders) l CROSS JOIN (SELECT count(*) AS n FROM altered) r CROSS JOIN (SELECT * FROM ordered ORDER BY position LIMIT 1) f""")
+def v11_report(spark, sf):
+    a, b = altered_orders(spark, sf)
+    return ql.diff_report(a, b, ["o_orderkey"])
+
+
 @query("v12_report_diff", "SELECT session_id, 'changed' AS kind, 'feature_valid' AS columns FROM quality WHERE session_id = '2024-01-09'")
 def v12(spark, sf):
     a = settle(quality(spark, sf).withColumn("source_path", F.lit("a")))

@@ -1,6 +1,7 @@
 """Rules that agree on easy inputs and differ on hard ones."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quotegrid.operators import policy, quality, sampling
 
@@ -31,3 +32,19 @@ def test_a_message_without_flags_is_refused(spark):
     assert sampling.flagged(book.where("id = 0")).count() == 1
     with pytest.raises(Exception, match="no flags"):
         sampling.flagged(book).collect()
+
+
+def test_ordered_diff_finds_the_first_position(spark):
+    rows = [(i, i % 3, None if i % 5 == 0 else "x") for i in range(300)]
+    a = spark.createDataFrame(rows, "k long, v int, t string").repartition(4)
+    same = quality.diff_report(a, a.repartition(3), ["k"]).first()
+    assert tuple(same) == (300, 300, True, 0, None, None, None)
+    changed = spark.createDataFrame([(k, 9 if k == 299 else v, t) for k, v, t in rows], a.schema)
+    assert tuple(quality.diff_report(a, changed, ["k"]).first()) == (300, 300, True, 1, 300, "changed", "v")
+    short = quality.diff_report(a, a.where("k <> 100"), ["k"]).first()
+    assert (short["left_rows"], short["right_rows"], short["different_positions"], short["first_position"]) == (300, 299, 200, 101)
+    last = quality.ordered_diff(a, a.where("k < 299"), ["k"]).collect()
+    assert [(r["position"], r["kind"], r["left_k"], r["right_k"]) for r in last] == [(300, "only_left", 299, None)]
+    moved = a.withColumn("k", F.when(F.col("k") == 7, 8).when(F.col("k") == 8, 7).otherwise(F.col("k")))
+    assert [r["position"] for r in quality.ordered_diff(a, moved, ["k"]).orderBy("position").collect()] == [8, 9]
+    assert quality.ordered_diff(a.where("k < 0"), a.where("k < 0"), ["k"]).count() == 0
