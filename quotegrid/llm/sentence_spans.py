@@ -10,9 +10,11 @@ with the least ``doc_id``, at its first place there.  Repeats inside a document
 Characters of scripts without blanks are words of half the weight, characters of words over ``LONG`` bytes words of a
 sixth.  White space is no part of a run; it goes with the piece before it.
 
-Hashes are 128-bit in effect: a 64-bit key joined, over runs of twelve words and more.  Defined results: null text
+Runs of twelve words and more are joined on 64 bits of hash and not compared again: among a billion runs a chance
+match is unlikely, far beyond that some will remove text that is not repeated.  Defined results: null text
 stays null, empty text stays empty.  Rows with null ``doc_id`` stay as they are and take no part.  Rows that repeat a
-``doc_id`` count as one document: each of them keeps what that document may keep.  Extra columns stay.
+``doc_id`` count as one document: each of them keeps what that document may keep.  Extra columns stay; those named n_sentences, n_removed or _drop are
+replaced.  Empty tables give empty results.  Long texts are cut whole.
 """
 
 from __future__ import annotations
@@ -192,6 +194,7 @@ def run_table(docs: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """The rows with ``text`` cut, and n_sentences, n_removed."""
+    docs = docs.drop("n_sentences", "n_removed", "_drop")
     table = settle(run_table(docs), "runs")
     shared = table.groupBy("run").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("run", "first")
     drop = table.join(shared, "run").where(F.col("doc_id") > F.col("first")).select("doc_id", "run").groupBy("doc_id").agg(F.collect_set("run").alias("_drop"))

@@ -215,12 +215,17 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "html", revisit.alias("revisit"), F.when(revisit, F.col("top_page")).alias("response_page"))
 
 
+def archives_of(index: DataFrame) -> DataFrame:
+    """The archives of an index, over as many tasks: adaptive execution would merge their few bytes into one."""
+    archives = index.select("archive").distinct()
+    return archives.repartition(max(1, archives.count()), "archive")
+
+
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Write all pages to archives in the shared folder and read them back."""
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     index = write_archives(mark_revisits(pages), folder)
-    archives = index.select("archive").distinct()
-    return read_archives(archives, payloads=False)
+    return read_archives(archives_of(index), payloads=False)
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:

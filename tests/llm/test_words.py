@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -12,7 +13,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quotegrid.llm import clause_grammar as cg, spelling_blocks, target_resampling
+import corpus_pipeline
+from quotegrid.llm import clause_grammar as cg, sentence_spans, spelling_blocks, target_resampling, warc_dictionary
 from quotegrid.llm.checksums import crc32_ranges
 from quotegrid.operators.ordered import row_numbers
 
@@ -135,6 +137,26 @@ def test_row_numbers_span_the_table(spark):
     assert row_numbers(rows.where("id < 0"), "id").count() == 0
 
 
+def test_cut_passages_beside_clashing_columns(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, "First here. " + passage + ". End of one.", 5), (2, "Second there. " + passage + ". End of two.", 6), (3, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumns({"lang": F.lit("a"), "source": F.lit("s"), "n_removed": F.lit(9), "n_sentences": F.lit("x"), "_drop": F.lit(1), "row": F.lit(2)})
+    assert {r["doc_id"]: r["n_removed"] > 0 for r in sentence_spans.drop_repeats(docs).collect()} == {1: False, 2: True, 3: False}
+    got = corpus_pipeline.substring_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    out = {r["doc_id"]: r for r in got.collect()}
+    assert out[1]["text"] == rows[0][1] and out[1]["n_chars"] == 5 and "word30" not in out[2]["text"] and out[2]["n_chars"] == len(out[2]["text"])
+    assert all(r["n_removed"] == 9 and r["row"] == 2 and r["_drop"] == 1 for r in out.values())
+
+
+def test_every_archive_can_be_read_by_a_task_of_its_own(spark):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(64)], "page_id long, url string, html string").repartition(8)
+    index = warc_dictionary.write_archives(warc_dictionary.mark_revisits(pages).repartition(8), f"{warc_dictionary.shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+    archives = warc_dictionary.archives_of(index)
+    assert archives.rdd.getNumPartitions() == archives.count() > 1
+    assert warc_dictionary.read_archives(archives).count() == 64
+
+
 def found_in(text, learned=None):
     times, words = cg.patterns_in(text, cg.Lexicon(learned or {}))
     return {cg.PATTERNS[i]: int(n) for i, n in enumerate(times) if n}, words
