@@ -218,7 +218,7 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
 def archives_of(index: DataFrame) -> DataFrame:
     """The archives of an index, over as many tasks: adaptive execution would merge their few bytes into one."""
     archives = index.select("archive").distinct()
-    return archives.repartition(max(1, archives.count()), "archive")
+    return archives.repartition(max(1, archives.count()))  # by the key it would be left out where distinct() has as many partitions
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -152,7 +152,9 @@ def test_cut_passages_beside_clashing_columns(spark):
 def test_every_archive_can_be_read_by_a_task_of_its_own(spark):
     pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(64)], "page_id long, url string, html string").repartition(8)
     index = warc_dictionary.write_archives(warc_dictionary.mark_revisits(pages).repartition(8), f"{warc_dictionary.shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+    spark.conf.set("spark.sql.shuffle.partitions", str(index.select("archive").distinct().count()))  # as many as archives
     archives = warc_dictionary.archives_of(index)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert archives.rdd.getNumPartitions() == archives.count() > 1
     assert warc_dictionary.read_archives(archives).count() == 64
 
