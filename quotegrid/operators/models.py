@@ -1,8 +1,8 @@
 """Model fits from distributed sufficient statistics, and versioned prediction.
 
-Moments are additive, so training rows are reduced once per session with map-side
-combine.  A version trained on the last k sessions adds up k small rows; training
-rows are never copied per version.
+Centred moments of disjoint rows can be merged, so training rows are reduced once per
+session inside the tasks that hold them.  A version trained on the last k sessions
+merges k small rows; training rows are never copied per version.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quotegrid.operators.calendar import asof_version
 from quotegrid.operators.features import bounded_sample
-from quotegrid.params import FEATURE_GROUPS
+from quotegrid.params import FEATURE_GROUPS, LIBRARY_FEATURES
 from quotegrid.session import settle
 
 MODEL_KEYS = ["update_session", "history_count", "feature_group"]
@@ -26,90 +26,132 @@ def by_feature_group(samples: DataFrame, keep: list[str]) -> DataFrame:
     return samples.select(*keep, F.inline(groups))
 
 
-# Second index of a moment row: the sum of x, the product with y, else x_i * x_j.
-SUM, LABEL = -2, -1
+VARIABLES = [*LIBRARY_FEATURES, "y"]
+Y = len(LIBRARY_FEATURES)
+# Groups a task holds before it emits their partial moments.
+HELD = 1024
+
+
+def combine(a: tuple, b: tuple) -> tuple:
+    """Count, mean and co-moments of two disjoint row sets taken together."""
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
 
 
 def session_moments(samples: DataFrame, by: list[str]) -> DataFrame:
-    """Long moments (feature_group, i, j, value) with n and sum of y, per session.
+    """Count, mean and centred co-moments of the features and ``y`` per group.
 
-    One pass over the plain feature columns; only the few resulting rows are
-    turned into the long layout.
+    Each task reduces its rows batch by batch with matrix products and emits a row per
+    group it saw; those are merged pairwise.  Nothing is a difference of large sums, so
+    features far from zero keep their digits and a constant one has a co-moment of
+    exactly zero.  Rows with a NULL or NaN variable count nowhere; no rows give no groups.
     """
-    groups = list(FEATURE_GROUPS.items())
-    names = [f for _, c in groups for f in c]
-    pairs = sorted({(a, b) for _, c in groups for i, a in enumerate(c) for b in c[i:]})
-    sums = samples.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"),
-        *[F.sum(f).alias(f"s|{f}") for f in names], *[F.sum(F.col(f) * F.col("y")).alias(f"r|{f}") for f in names],
-        *[F.sum(F.col(a) * F.col(b)).alias(f"q|{a}|{b}") for a, b in pairs])
-    entry = lambda g, i, j, column: F.struct(
-        F.lit(g).alias("feature_group"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(column).alias("value"))
-    entries = [entry(g, i, SUM, f"s|{a}") for g, c in groups for i, a in enumerate(c)]
-    entries += [entry(g, i, LABEL, f"r|{a}") for g, c in groups for i, a in enumerate(c)]
-    entries += [entry(g, i, j, f"q|{a}|{c[j]}") for g, c in groups for i, a in enumerate(c) for j in range(i, len(c))]
-    return sums.select(*by, "n", "sy", F.inline(F.array(*entries)))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in samples.select(*by).schema.fields)
+
+    def reduce(batches):
+        held = {}
+
+        def emit():
+            rows = [(*key, n, mean, list(co)) for key, (n, mean, co) in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=[*by, "n", "mean", "co"])
+
+        for batch in batches:
+            for key, rows in batch.groupby(by, sort=False, dropna=False):
+                values = rows[VARIABLES].to_numpy(float)
+                shifted = values - values[0]
+                mean = shifted.mean(axis=0)
+                shifted -= mean
+                part = len(values), values[0] + mean, shifted.T @ shifted
+                held[key] = combine(held[key], part) if key in held else part
+            if len(held) >= HELD:
+                yield emit()
+        if held:
+            yield emit()
+
+    known = samples.select(*by, *VARIABLES).dropna(subset=VARIABLES)
+    parts = known.mapInPandas(reduce, f"{kinds}, n bigint, mean array<double>, co array<array<double>>")
+    return merge_moments(parts, by)
+
+
+def merge_moments(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Moments per key from those of disjoint parts: one row per task or session and key."""
+
+    def both(a, b):
+        n = a["n"] + b["n"]
+        apart = F.zip_with(a["mean"], b["mean"], lambda x, y: y - x)
+        mean = F.zip_with(a["mean"], apart, lambda m, d: m + d * (b["n"] / n))
+        weight = a["n"] * b["n"] / n
+        co = F.transform(a["co"], lambda row, i: F.transform(row, lambda v, j: v + F.get(F.get(b["co"], i), j) + F.get(apart, i) * F.get(apart, j) * weight))
+        return F.struct(n.alias("n"), mean.alias("mean"), co.alias("co"))
+
+    # sorted, so that the order of merging doesn't depend on the shuffle
+    rows = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "mean", "co"))).alias("_parts"))
+    rest = F.slice("_parts", F.lit(2), F.size("_parts"))
+    return rows.withColumn("_all", F.aggregate(rest, F.get("_parts", F.lit(0)), both)).select(*keys, "_all.*")
 
 
 def version_moments(per_session: DataFrame, days: DataFrame) -> DataFrame:
-    """Moments of each (update, k): the sum over its training sessions."""
+    """Moments of each (update, k) over its training sessions."""
     tagged = days.select("update_session", "history_count", "session_id").join(per_session, "session_id")
-    return tagged.groupBy(*MODEL_KEYS, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sy", "value")])
+    return merge_moments(tagged, ["update_session", "history_count"])
+
+
+def normal_equations(moments: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key and feature group: n, mean, population deviation ``scale`` (1 for a
+    constant feature), the standardized matrix ``zz`` = z'z and ``zy`` = z'y, and ``y_mean``."""
+    at = lambda column, i: F.get(column, i)
 
+    def group(name, columns):
+        where = F.array(*[F.lit(LIBRARY_FEATURES.index(c)) for c in columns])
+        return F.struct(
+            F.lit(name).alias("feature_group"), F.transform(where, lambda i: at(F.col("mean"), i)).alias("mean"),
+            F.transform(where, lambda i: F.transform(where, lambda j: at(at(F.col("co"), i), j))).alias("zz"),
+            F.transform(where, lambda i: at(at(F.col("co"), i), F.lit(Y))).alias("zy"))
 
-def folded_moments(moments: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per model with mean and population deviation arrays next to its entries."""
-    rows = moments.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.max("sy").alias("sy"), F.array_sort(F.collect_list(F.struct("i", "j", "value"))).alias("entries"))
-    value = lambda e: e["value"]
-    rows = rows.withColumn("mean", F.transform(F.filter("entries", lambda e: e["j"] == SUM), lambda e: value(e) / F.col("n")))
-    square = F.transform(F.filter("entries", lambda e: e["j"] == e["i"]), lambda e: value(e) / F.col("n"))
-    # A deviation at rounding level is a constant feature and scales by one.
-    deviation = lambda q, m: F.when(q - m * m <= F.lit(1e-14) * q, 1.0).otherwise(F.sqrt(q - m * m))
-    return rows.withColumn("scale", F.zip_with(square, "mean", deviation))
+    rows = moments.select(*[k for k in keys if k != "feature_group"], "n", at(F.col("mean"), F.lit(Y)).alias("y_mean"),
+                          F.inline(F.array(*[group(g, c) for g, c in FEATURE_GROUPS.items()])))
+    deviation = lambda row, i: F.when(at(row, i) == 0, 1.0).otherwise(F.sqrt(at(row, i) / F.col("n")))
+    rows = rows.withColumn("scale", F.transform("zz", deviation))
+    scale = lambda i: at(F.col("scale"), i)
+    return rows.withColumns({
+        "zz": F.transform("zz", lambda row, i: F.transform(row, lambda v, j: v / (scale(i) * scale(j)))),
+        "zy": F.zip_with("zy", "scale", lambda v, s: v / s)})
 
 
 def scaler_stats(moments: DataFrame, keys: list[str]) -> DataFrame:
     """Mean and population deviation per feature position; zero deviation counts as one."""
-    pairs = folded_moments(moments, keys).select(*keys, "n", F.posexplode(F.arrays_zip("mean", "scale")).alias("i", "_s"))
+    pairs = normal_equations(moments, keys).select(*keys, "n", F.posexplode(F.arrays_zip("mean", "scale")).alias("i", "_s"))
     return pairs.select(*keys, "n", "i", "_s.mean", "_s.scale")
 
 
 def gram(moments: DataFrame, keys: list[str]) -> DataFrame:
-    """Standardized normal-equation entries in long form.
-
-    j >= i is z'z, j = -1 is z'y; sums of z itself vanish by construction.
-    """
-    rows = folded_moments(moments, keys).select(*keys, "n", "sy", "mean", "scale", F.inline("entries")).where(F.col("j") != SUM)
-    m, s = lambda at: F.get("mean", F.col(at)), lambda at: F.get("scale", F.col(at))
-    label = (F.col("value") - m("i") * F.col("sy")) / s("i")
-    cross = (F.col("value") - F.col("n") * m("i") * m("j")) / (s("i") * s("j"))
-    return rows.select(*keys, "n", "sy", "i", "j", F.when(F.col("j") == LABEL, label).otherwise(cross).alias("value"))
+    """Standardized normal-equation entries in long form: j >= i is z'z, j = -1 is z'y."""
+    rows = normal_equations(moments, keys)
+    rows = rows.select(*keys, "n", F.posexplode(F.zip_with("zz", "zy", lambda row, v: F.concat(F.array(v), row))).alias("i", "_row"))
+    rows = rows.select(*keys, "n", "i", F.posexplode("_row").alias("j", "value")).withColumn("j", F.col("j") - 1)
+    return rows.where((F.col("j") >= F.col("i")) | (F.col("j") == -1))
 
 
-RIDGE_SCHEMA = "coef array<double>, intercept double"
+def solve(matrix: Column, right: Column) -> Column:
+    """x of matrix x = right by elimination; stable without pivoting as the matrix is symmetric and positive definite."""
+    rows = F.zip_with(matrix, right, lambda row, v: F.concat(row, F.array(v)))
 
+    def step(state, k):
+        row = F.get(state, k)
+        pivot = F.transform(row, lambda v: v / F.get(row, k))
+        return F.transform(state, lambda other, i: F.when(i == k, pivot).otherwise(
+            F.zip_with(other, pivot, lambda v, q: v - F.get(other, k) * q)))
 
-def ridge(entries: DataFrame, keys: list[str], alpha: float) -> DataFrame:
-    """Solve (z'z + alpha I) b = z'y per group; a group is its few moment rows.
+    done = F.aggregate(F.sequence(F.lit(0), F.size(matrix) - 1), rows, step)
+    return F.transform(done, lambda row: F.element_at(row, -1))
 
-    Centered z has zero sums, so the intercept is the label mean.
-    """
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in entries.select(*keys).schema.fields)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        width = int(pdf.i.max()) + 1
-        a, b = np.zeros((width, width)), np.zeros(width)
-        for i, j, value in zip(pdf.i, pdf.j, pdf.value):
-            if j < 0:
-                b[i] = value
-            else:
-                a[i, j] = a[j, i] = value
-        coef = np.linalg.solve(a + alpha * np.eye(width), b)
-        head = pdf.iloc[0]
-        return pd.DataFrame([{**{k: head[k] for k in keys}, "coef": coef, "intercept": head.sy / head.n}])
 
-    return entries.groupBy(*keys).applyInPandas(solve, f"{kinds}, {RIDGE_SCHEMA}")
+def ridge(moments: DataFrame, keys: list[str], alpha: float) -> DataFrame:
+    """(z'z + alpha I) b = z'y per key; centred z has zero sums, so the intercept is the label mean."""
+    rows = normal_equations(moments, keys)
+    matrix = F.transform("zz", lambda row, i: F.transform(row, lambda v, j: v + F.when(i == j, float(alpha)).otherwise(0.0)))
+    return rows.select(*keys, solve(matrix, F.col("zy")).alias("coef"), F.col("y_mean").alias("intercept"))
 
 
 TREE_SCHEMA = ("left array<int>, right array<int>, feature array<int>, threshold array<double>, "
@@ -184,8 +226,8 @@ def build_library(samples: DataFrame, days: DataFrame, *, alpha: float, depth: i
     # A few rows that five branches below read again.
     moments = settle(version_moments(session_moments(samples, ["session_id"]), days))
     enough = moments.where("n >= 2")
-    stats = folded_moments(moments, MODEL_KEYS).select(*MODEL_KEYS, F.col("n").alias("training_rows"), "mean", "scale")
-    linear = ridge(gram(enough, MODEL_KEYS), MODEL_KEYS, alpha).withColumn("family", F.lit("ridge"))
+    stats = normal_equations(moments, MODEL_KEYS).select(*MODEL_KEYS, F.col("n").alias("training_rows"), "mean", "scale")
+    linear = ridge(enough, MODEL_KEYS, alpha).withColumn("family", F.lit("ridge"))
     tagged = days.select("update_session", "history_count", "session_id").join(samples, "session_id")
     drawn = bounded_sample(tagged, sample, seed, [c for c in ("instrument_id", "session_id", "ts_ns") if c in tagged.columns], ["update_session", "history_count"])
     drawn = by_feature_group(drawn, ["update_session", "history_count", "ts_ns", "y"])

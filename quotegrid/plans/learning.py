@@ -225,10 +225,28 @@ def m02(spark, sf):
     return entries.select(*md.MODEL_KEYS, "n", "i", "j", (F.round("value", 4) + 0.0).alias("value"))
 
 
-@query("m03_ridge")
+def _ridge_sql():
+    """The normal equations as lists, solved by elimination one pivot a recursion."""
+    sd = lambda c: f"coalesce(nullif(stddev_pop({c}), 0), 1)"
+    entry = lambda a, b: f"count(*) * covar_pop({a}, {b}) / ({sd(a)} * {sd(b)})" + (f" + {STUDY.ridge_alpha}" if a == b else "")
+    row = lambda a, cs: "[" + ", ".join([*[entry(a, b) for b in cs], f"count(*) * covar_pop({a}, y) / {sd(a)}"]) + "]"
+    parts = ", ".join(f"{{'g': '{g}', 'p': {len(cs)}, 'm': [{', '.join(row(a, cs) for a in cs)}]}}" for g, cs in FEATURE_GROUPS.items())
+    return f"""
+SELECT update_session, history_count, feature_group, CAST(u.i - 1 AS INTEGER) AS i, round(m[u.i][p + 1] * 1e6, 4) + 0.0 AS coef, round(y_mean * 1e6, 4) + 0.0 AS intercept FROM (
+  WITH RECURSIVE solved AS (
+    SELECT update_session, history_count, y_mean, e.g AS feature_group, e.p AS p, e.m AS m, 0 AS k
+    FROM (SELECT update_session, history_count, avg(y) AS y_mean, unnest([{parts}]) AS e FROM vtrain GROUP BY 1, 2)
+    UNION ALL
+    SELECT update_session, history_count, y_mean, feature_group, p,
+           list_transform(m, lambda r, i: list_transform(r, lambda v, j: CASE WHEN i = k + 1 THEN v / r[k + 1] ELSE v - r[k + 1] * m[k + 1][j] / m[k + 1][k + 1] END)), k + 1
+    FROM solved WHERE k < p)
+  SELECT * FROM solved WHERE k = p) s, LATERAL (SELECT unnest(range(1, p + 1)) AS i) u"""
+
+
+@query("m03_ridge", _ridge_sql())
 def m03(spark, sf):
-    fits = md.ridge(md.gram(moments(spark, sf), md.MODEL_KEYS), md.MODEL_KEYS, STUDY.ridge_alpha)
-    return fits.select(*md.MODEL_KEYS, F.posexplode("coef").alias("i", "coef"), "intercept")
+    fits = md.ridge(moments(spark, sf), md.MODEL_KEYS, STUDY.ridge_alpha).select(*md.MODEL_KEYS, F.posexplode("coef").alias("i", "coef"), "intercept")
+    return fits.select(*md.MODEL_KEYS, "i", *[(F.round(F.col(c) * 1e6, 4) + 0.0).alias(c) for c in ("coef", "intercept")])
 
 
 def _library(spark, sf, min_leaf=20):

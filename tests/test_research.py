@@ -119,6 +119,24 @@ def test_library_fits_match_numpy(spark):
     assert out.groupby("p").y.mean().reset_index().apply(lambda r: abs(r.p - r.y) < 1e-9, axis=1).all()
 
 
+def test_moments_keep_their_digits_far_from_zero(spark):
+    samples, _, x, y = training(spark)
+    name, still = LIBRARY_FEATURES[0], LIBRARY_FEATURES[1]
+    far = samples.withColumn(name, F.col(name) + 1e6).withColumn(still, F.lit(0.1)).repartition(7)
+    unknown = far.limit(1).withColumn("y", F.lit(None).cast("double"))
+    rows = md.session_moments(far.unionByName(unknown), ["session_id"])
+    whole = md.normal_equations(md.merge_moments(rows.withColumn("all", F.lit(1)), ["all"]), ["all", "feature_group"])
+    got = whole.where("feature_group = 'price'").first()
+    assert got.n == len(y) and got["scale"][1] == 1.0 and got.zz[1] == [0.0] * 8 and got.zy[1] == 0.0
+    assert got["scale"][0] == pytest.approx(x[:, 0].std(), rel=1e-9)
+    keep = [0, 2, 3, 4, 5, 6, 7]
+    z = (x[:, keep] - x[:, keep].mean(axis=0)) / x[:, keep].std(axis=0)
+    assert np.allclose(np.array(got.zz)[np.ix_(keep, keep)], z.T @ z, rtol=1e-7, atol=1e-6)
+    fit = md.ridge(md.merge_moments(rows.withColumn("all", F.lit(1)), ["all"]), ["all", "feature_group"], 1.0).where("feature_group = 'price'").first()
+    assert np.allclose(np.array(fit.coef)[keep], np.linalg.solve(z.T @ z + np.eye(7), z.T @ (y - y.mean())), rtol=1e-7) and fit.coef[1] == 0.0
+    assert md.session_moments(samples.where("false"), ["session_id"]).collect() == []
+
+
 @pytest.mark.parametrize("digits", [1, 5])
 def test_grouped_sample_is_the_smallest_priorities(spark, digits):
     df = spark.range(500).select((F.col("id") % 3 == 0).cast("string").alias("g"), F.col("id").alias("key"))
