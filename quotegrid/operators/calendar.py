@@ -220,8 +220,11 @@ def asof_version(df: DataFrame, versions: DataFrame, until_ns: int) -> DataFrame
     """Latest model version available at each row; NULL before the first one.
 
     Versions are few, so their validity intervals join by day instead of sending
-    all rows through a shuffle.  ``until_ns`` closes the last interval.
+    all rows through a shuffle.  ``until_ns`` closes the last interval; a row at or
+    after it ends the job, for it would get no version.
     """
+    late = F.raise_error(F.lit("a row lies past the end of the versions")).cast("bigint")
+    df = df.withColumn("ts_ns", F.when(F.col("ts_ns") >= until_ns, late).otherwise(F.col("ts_ns")))
     nxt = F.lead("available_at_ns").over(Window.partitionBy(F.lit(1)).orderBy("available_at_ns"))
     spans = versions.select("version_id", "available_at_ns").distinct().select(
         "version_id", "available_at_ns", F.coalesce(nxt, F.lit(until_ns)).alias("_until"))

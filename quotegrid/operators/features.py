@@ -152,7 +152,7 @@ def learning_ready(long: DataFrame) -> DataFrame:
 
 def label_quality(long: DataFrame) -> DataFrame:
     reasons = ["missing_target", "gap", "split_boundary", "scheduled_break", "session_boundary"]
-    return long.groupBy("session_id", "horizon_ms").agg(
+    return long.groupBy(*SESSION, "horizon_ms").agg(
         F.count_if("label_valid").alias("valid"),
         F.count_if(F.col("label_valid") & F.col("feature_valid")).alias("feature_and_label_valid"),
         *[F.count_if(F.col("label_reason") == r).alias(r) for r in reasons])

@@ -119,7 +119,10 @@ def attribute(fills: DataFrame, by: list[str], contract: Contract) -> DataFrame:
 
 
 def pair_trades(fills: DataFrame, by: list[str]) -> DataFrame:
-    """Closed trades from attributed fills: gross on mid prices, friction of both sides."""
+    """Closed trades from attributed fills: gross on mid prices, friction of both sides.
+
+    Trades still open are not listed; one with two openings or closings ends the job.
+    """
     opened = lambda c: F.max(F.when(F.col("opening"), F.col(c)))
     closed = lambda c: F.max(F.when(~F.col("opening"), F.col(c)))
     trades = fills.groupBy(*by, "trade_number").agg(
@@ -127,7 +130,10 @@ def pair_trades(fills: DataFrame, by: list[str]) -> DataFrame:
         opened("ts_ns").alias("entry_ns"), closed("ts_ns").alias("exit_ns"),
         opened("price").alias("entry_price"), closed("price").alias("exit_price"),
         closed("realised_usd").alias("gross_pnl_usd"), F.sum("cost_usd").alias("friction_usd"),
-        F.count_if(~F.col("opening")).alias("_closings")).where("_closings = 1").drop("_closings")
+        F.count_if(~F.col("opening")).alias("_closings"), F.count_if("opening").alias("_openings"))
+    doubled = F.raise_error(F.lit("a trade opens or closes twice")).cast("bigint")
+    trades = trades.withColumn("exit_ns", F.when((F.col("_closings") > 1) | (F.col("_openings") > 1), doubled).otherwise(F.col("exit_ns")))
+    trades = trades.where("_closings > 0").drop("_closings", "_openings")
     return trades.withColumns({
         "net_pnl_usd": F.col("gross_pnl_usd") - F.col("friction_usd"),
         "holding_ms": (F.col("exit_ns") - F.col("entry_ns")) / MS})

@@ -95,8 +95,15 @@ def audit_blocks(df: DataFrame, interval_ns: int) -> DataFrame:
 
 
 def audit_quotes(df: DataFrame, interval_ns: int) -> DataFrame:
-    """Count per replay rule: causal receive time, sane quotes, on-grid times."""
+    """Count per replay rule: causal receive time, sane quotes, on-grid times that increase strictly.
+
+    The order is that of the messages behind the quotes (``sequence``, then time) within a source
+    file; NULL input breaks a rule.
+    """
+    order = Window.partitionBy("instrument_id", "file_date").orderBy("sequence", "ts_ns")
+    df = df.withColumn("_before", F.lag("ts_ns").over(order))
     return rule_counts(df, {
+        "not_increasing": F.when(F.col("_before").isNull(), False).otherwise(F.col("ts_ns") <= F.col("_before")),
         "received_late": F.col("source_recv_ns") >= F.col("ts_ns"), "off_grid": F.col("ts_ns") % interval_ns != 0,
         "bad_bid": ~(F.col("bid_px_00") > 0), "crossed": F.col("ask_px_00") < F.col("bid_px_00"),
         "mid_mismatch": F.abs(F.col("mid_price") - (F.col("bid_px_00") + F.col("ask_px_00")) / 2) > 1e-9})
@@ -108,16 +115,17 @@ def expected_points(segments: DataFrame, interval_ns: int) -> DataFrame:
 
 
 def session_quality(df: DataFrame, segments: DataFrame, interval_ns: int, ready: DataFrame) -> DataFrame:
-    """Coverage and usability of each observed session; ``ready`` has learning_ready per row."""
+    """Coverage and usability of each instrument's observed sessions; ``ready`` has learning_ready per row."""
     w = Window.partitionBy("instrument_id", "session_id", "segment_id").orderBy("ts_ns")
     gap = F.expr(f"(ts_ns - _before) div {interval_ns}L - 1")
     rows = df.withColumn("_before", F.lag("ts_ns").over(w)).withColumn("_gap", F.coalesce(gap, F.lit(0)))
-    seen = rows.groupBy("session_id").agg(
+    key = ["instrument_id", "session_id"]
+    seen = rows.groupBy(*key).agg(
         F.count(F.lit(1)).alias("observed_snapshots"), F.sum("_gap").alias("internal_missing"),
         F.max("continuous_block").alias("continuous_blocks"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"),
         F.count_if("feature_valid").alias("feature_valid"))
-    done = ready.groupBy("session_id").agg(F.count_if("learning_ready").alias("learning_ready"))
-    out = seen.join(expected_points(segments, interval_ns), "session_id").join(done, "session_id", "left")
+    done = ready.groupBy(*key).agg(F.count_if("learning_ready").alias("learning_ready"))
+    out = seen.join(expected_points(segments, interval_ns), "session_id").join(done, key, "left")
     return out.withColumns({
         "missing_grid_points": F.col("expected_grid_points") - F.col("observed_snapshots"),
         "coverage_complete": F.col("expected_grid_points") == F.col("observed_snapshots")})

@@ -20,7 +20,9 @@ from quotegrid.params import BOOK_COLUMNS, FLAG_BAD_CLOCK, FLAG_LAST, MS
 
 SOURCE = ["instrument_id", "file_date"]
 SEQ_CHUNK = 1 << 18
-CARRIED = ["recv_ns", "event_ns", "flags", "sequence", *BOOK_COLUMNS]
+HEAD = ["recv_ns", "event_ns", "flags", "sequence"]
+# Up to so many carried columns fit generated hash aggregation as buffers of their own.
+NARROW = 8
 
 STALE = "stale_completed_book"
 UNRELIABLE_STATE = "unreliable_receive_state"
@@ -45,28 +47,35 @@ def flagged(book: DataFrame) -> DataFrame:
     return book.withColumn("flags", F.coalesce("flags", missing))
 
 
-def cells(book: DataFrame, interval_ns: int) -> DataFrame:
-    """Last trusted message of every occupied cell plus the last completed one."""
+def cells(book: DataFrame, interval_ns: int, carried: list[str]) -> DataFrame:
+    """Last trusted message of every occupied cell, with its ``carried`` columns, plus the last completed one."""
     book = flagged(book)
     trusted = book.where(~_bad_clock()).withColumns({"_class": message_class(), "cell": chunk_of("recv_ns", interval_ns)})
     completed = F.when(F.col("_class") != OPEN, F.col("seq"))
-    # One struct per max_by keeps the aggregate to a handful of buffers; some thirty
-    # single-column ones exceed what generated code can hold and run interpreted.
-    return trusted.groupBy(*SOURCE, "symbol", "cell").agg(
-        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"),
-        F.max_by(F.struct("_class", *CARRIED), "seq").alias("last"),
-        F.max_by(F.struct("seq", "_class", "recv_ns"), completed).alias("done"),
+    # Fixed-width buffers aggregate by hash without a sort.  A whole book as single buffers
+    # exceeds what generated code can hold and runs interpreted, so it travels as a struct.
+    fields = ["_class", *carried]
+    narrow = len(carried) <= NARROW
+    latest = [F.max_by(c, "seq").alias(f"_last_{c}") for c in fields] if narrow else [F.max_by(F.struct(*fields), "seq").alias("last")]
+    rows = trusted.groupBy(*SOURCE, "symbol", "cell").agg(
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), *latest,
+        F.max(completed).alias("_done_seq"), F.max_by("_class", completed).alias("_done_class"), F.max_by("recv_ns", completed).alias("_done_recv"),
         F.count(F.lit(1)).alias("records"),
         F.count_if(F.col("_class").isin(FLAGGED, INVALID)).alias("bad_books"))
+    last = F.struct(*[F.col(f"_last_{c}").alias(c) for c in fields]) if narrow else F.col("last")
+    done = F.struct(F.col("_done_seq").alias("seq"), F.col("_done_class").alias("_class"), F.col("_done_recv").alias("recv_ns"))
+    return rows.select(*SOURCE, "symbol", "cell", "first_seq", "last_seq", last.alias("last"),
+                       F.when(F.col("_done_seq").isNotNull(), done).alias("done"), "records", "bad_books")
 
 
-def governed(book: DataFrame, interval_ns: int, max_age_ns: int, seq_chunk: int = SEQ_CHUNK) -> DataFrame:
+def governed(book: DataFrame, interval_ns: int, max_age_ns: int, seq_chunk: int = SEQ_CHUNK, carried: tuple = ("recv_ns",)) -> DataFrame:
     """Per occupied cell: the grid points it governs, how many emit, why the rest do not.
 
     ``lo``/``hi`` bound the governed points, ``emit_hi`` the last emitted one
-    (NULL if none), ``skip_reason`` explains the points after it.
+    (NULL if none), ``skip_reason`` explains the points after it.  A file is one
+    instrument's: trusted messages of a second symbol in it end the job.
     """
-    occupied = cells(book, interval_ns)
+    occupied = cells(book, interval_ns, list(carried))
     book = flagged(book)
     # A cell becomes two marks on the sequence axis; only the later one carries the book.
     payload = ["last", "done", "records", "bad_books"]
@@ -92,7 +101,9 @@ def governed(book: DataFrame, interval_ns: int, max_age_ns: int, seq_chunk: int
     by_seq = Window.partitionBy(*SOURCE).orderBy("at")
     last = last.withColumns({
         "_done": F.last("done", True).over(by_seq.rowsBetween(Window.unboundedPreceding, 0)),
-        "_next_cell": F.lead("cell").over(by_seq)})
+        "_next_cell": F.lead("cell").over(by_seq), "_symbol_before": F.lag("symbol").over(by_seq)})
+    foreign = F.raise_error(F.lit("a source file holds messages of two symbols")).cast("bigint")
+    last = last.withColumn("cell", F.when(F.col("_symbol_before") != F.col("symbol"), foreign).otherwise(F.col("cell")))
     last = last.select(*SOURCE, "symbol", "cell", "records", "bad_books", "last.*", "_done", "_next_cell", "_bad_seq", "_then")
 
     lost = F.coalesce(F.col("_bad_seq") > F.coalesce(F.col("_done.seq"), F.lit(-1)), F.lit(False))
@@ -118,14 +129,14 @@ def governed(book: DataFrame, interval_ns: int, max_age_ns: int, seq_chunk: int
     return out.drop("_class", "_bad_seq", "_then", "_done", "_next_cell")
 
 
-def grid_snapshots(book: DataFrame, interval_ns: int, max_age_ns: int, seq_chunk: int = SEQ_CHUNK) -> DataFrame:
-    """One snapshot per grid point whose governing message is a fresh good book."""
-    rows = governed(book, interval_ns, max_age_ns, seq_chunk).where("emit_hi is not null")
+def grid_snapshots(book: DataFrame, interval_ns: int, max_age_ns: int, seq_chunk: int = SEQ_CHUNK, columns: tuple = tuple(BOOK_COLUMNS)) -> DataFrame:
+    """One snapshot per grid point whose governing message is a fresh good book, with the given book columns."""
+    rows = governed(book, interval_ns, max_age_ns, seq_chunk, (*HEAD, *columns)).where("emit_hi is not null")
     rows = rows.withColumn("ts_ns", F.explode(F.expr(f"sequence(lo, emit_hi, {interval_ns}L)")))
     return rows.select(
         *SOURCE, "symbol", "ts_ns", F.col("event_ns").alias("source_event_ns"), F.col("recv_ns").alias("source_recv_ns"),
         "sequence", F.col("flags").alias("source_flags"), ((F.col("ts_ns") - F.col("recv_ns")) / MS).alias("age_ms"),
-        *BOOK_COLUMNS)
+        *columns)
 
 
 def grid_ranges(book: DataFrame, interval_ns: int, max_age_ns: int, seq_chunk: int = SEQ_CHUNK) -> DataFrame:

@@ -62,7 +62,7 @@ UNION ALL SELECT 'files_overlap', file_date
 FROM (SELECT file_date, lo, max(hi) OVER (ORDER BY file_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
       FROM (SELECT file_date, min(ts_ns) AS lo, max(ts_ns) AS hi FROM doubled GROUP BY 1)) WHERE lo <= before""")
 def v03(spark, sf):
-    rows = settle(study.snapshots(spark, sf).select("instrument_id", "file_date", "ts_ns", "sequence"))
+    rows = settle(study.snapshots(spark, sf, ()).select("instrument_id", "file_date", "ts_ns", "sequence"))
     again = rows.where("sequence % 97 = 0").withColumn("file_date", F.date_add(F.to_date("file_date"), 1).cast("string"))
     return ql.audit_order(rows.unionByName(again))
 
@@ -139,13 +139,20 @@ def v09(spark, sf):
 
 
 @query("v10_quote_sanity", f"""
-SELECT unnest(['received_late', 'off_grid', 'bad_bid', 'crossed', 'mid_mismatch']) AS rule, unnest(v) AS violations
-FROM (SELECT [count(*) FILTER (WHERE source_recv_ns >= ts_ns), count(*) FILTER (WHERE ts_ns % {I} <> 0), count(*) FILTER (WHERE NOT bid_px_00 > 0), count(*) FILTER (WHERE ask_px_00 < bid_px_00),
-              count(*) FILTER (WHERE abs((ask_px_00 + bid_px_00) / 2 - m) > 1e-9)] AS v FROM (SELECT *, (ask_px_00 + bid_px_00) / 2 AS m FROM bad_snap WHERE sequence % 67 <> 0))""")
+SELECT unnest(['not_increasing', 'received_late', 'off_grid', 'bad_bid', 'crossed', 'mid_mismatch']) AS rule, unnest(v) AS violations
+FROM (SELECT [count(*) FILTER (WHERE ts_ns <= before), count(*) FILTER (WHERE recv >= ts_ns), count(*) FILTER (WHERE ts_ns % {I} <> 0),
+              count(*) FILTER (WHERE bid IS NULL OR NOT bid > 0), count(*) FILTER (WHERE bid IS NULL OR ask < bid), count(*) FILTER (WHERE bid IS NULL OR abs(mid - (bid + ask) / 2) > 1e-9)] AS v
+      FROM (SELECT *, lag(ts_ns) OVER (PARTITION BY file_date ORDER BY sequence, ts_ns) AS before
+            FROM (SELECT file_date, sequence, ts_ns + CASE WHEN sequence % 50 = 0 THEN 1 WHEN sequence % 71 = 0 THEN {-3 * I} ELSE 0 END AS ts_ns,
+                         source_recv_ns + CASE WHEN sequence % 53 = 0 THEN {10 * A} ELSE 0 END AS recv,
+                         CASE WHEN sequence % 61 = 0 THEN NULL WHEN sequence % 67 = 0 THEN 0.0 WHEN sequence % 73 = 0 THEN ask_px_00 + 1 ELSE bid_px_00 END AS bid, ask_px_00 AS ask,
+                         (ask_px_00 + bid_px_00) / 2 + CASE WHEN sequence % 79 = 0 THEN 0.01 ELSE 0 END AS mid FROM snapshot)))""")
 def v10(spark, sf):
     n = lambda d: F.col("sequence") % d == 0
-    bad = fx.with_mid_spread(study.snapshots(spark, sf)).where("sequence % 67 <> 0").withColumns({
-        "ts_ns": F.col("ts_ns") + F.when(n(50), 1).otherwise(0), "source_recv_ns": F.col("source_recv_ns") + F.when(n(53), F.lit(10 * A)).otherwise(0)})
+    bid = F.when(n(61), F.lit(None).cast("double")).when(n(67), 0.0).when(n(73), F.col("ask_px_00") + 1).otherwise(F.col("bid_px_00"))
+    bad = fx.with_mid_spread(study.snapshots(spark, sf, study.TOUCH)).withColumns({
+        "ts_ns": F.col("ts_ns") + F.when(n(50), 1).when(n(71), -3 * I).otherwise(0), "source_recv_ns": F.col("source_recv_ns") + F.when(n(53), F.lit(10 * A)).otherwise(0),
+        "bid_px_00": bid, "mid_price": F.col("mid_price") + F.when(n(79), 0.01).otherwise(0.0)})
     return ql.audit_quotes(bad, I)
 
 

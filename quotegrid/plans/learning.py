@@ -125,7 +125,7 @@ REASONS = ["missing_target", "gap", "split_boundary", "scheduled_break", "sessio
 SELECT session_id, horizon_ms, count(*) FILTER (WHERE label_valid) AS valid, count(*) FILTER (WHERE label_valid AND feature_valid) AS feature_and_label_valid,
        {', '.join(f"count(*) FILTER (WHERE label_reason = '{r}') AS {r}" for r in REASONS)} FROM lbl GROUP BY 1, 2""")
 def l04(spark, sf):
-    return ft.label_quality(study.long_labels(spark, sf))
+    return ft.label_quality(study.long_labels(spark, sf)).drop("instrument_id")
 
 
 @query("l05_horizon_audit", f"""
@@ -351,7 +351,7 @@ FROM signal_rows CROSS JOIN (VALUES (0), (1), (2), (3)) models(m)""")
 
 def predictions(spark, sf):
     """Four made-up forecasts for every snapshot."""
-    rows = fx.with_mid_spread(study.snapshots(spark, sf))
+    rows = fx.with_mid_spread(study.snapshots(spark, sf, study.TOUCH))
     rows = rows.withColumn("model_id", F.explode(F.array(*[F.lit(m) for m in range(4)])))
     raw = ((F.col("sequence") * (7 + F.col("model_id"))) % 201 - 100) / F.lit(1e5)
     yhat = F.when((F.col("sequence") + F.col("model_id")) % 17 != 0, raw)

@@ -31,7 +31,7 @@ SELECT file_date, count(*) AS snapshots, round(avg((ask_px_00 + bid_px_00) / 2),
        round(avg(ask_px_00 - bid_px_00), 6) + 0.0 AS mean_spread
 FROM snapshot GROUP BY file_date""")
 def flagship(spark, sf):
-    rows = with_mid_spread(study.snapshots(spark, sf))
+    rows = with_mid_spread(study.snapshots(spark, sf, study.TOUCH))
     return rows.groupBy("file_date").agg(
         F.count(F.lit(1)).alias("snapshots"), r6(F.avg("mid_price")).alias("mean_mid"), r6(F.avg("spread")).alias("mean_spread"))
 
@@ -167,7 +167,7 @@ def c03(spark, sf):
 
 @query("c04_out_of_coverage", "SELECT ts_ns, file_date FROM snapshot WHERE ts_ns < (SELECT min(start_ns) FROM seg) OR ts_ns > (SELECT max(end_ns) FROM seg)")
 def c04(spark, sf):
-    return cal.out_of_coverage(study.snapshots(spark, sf), study.segments(spark)).select("ts_ns", "file_date")
+    return cal.out_of_coverage(study.snapshots(spark, sf, ()), study.segments(spark)).select("ts_ns", "file_date")
 
 
 cte("seen_sess", "SELECT * FROM sess WHERE session_id IN (SELECT session_id FROM asg)")
@@ -278,7 +278,7 @@ def _purchases(spark, sf):
 
 
 def _quotes(spark, sf):
-    return settle(with_mid_spread(study.snapshots(spark, sf)).select("instrument_id", "file_date", "ts_ns", "mid_price"), "quotes")
+    return settle(with_mid_spread(study.snapshots(spark, sf, study.TOUCH)).select("instrument_id", "file_date", "ts_ns", "mid_price"), "quotes")
 
 
 @query("c13_asof_backward", """
@@ -368,4 +368,4 @@ def g06(spark, sf):
 @query("g07_age_ladder", """
 SELECT a.age AS max_age_ms, ts_ns, sequence FROM snapshot JOIN (VALUES (60000), (300000), (1200000)) a(age) ON age_ms <= age""")
 def g07(spark, sf):
-    return sm.age_ladder(study.snapshots(spark, sf), AGES).select("max_age_ms", "ts_ns", "sequence")
+    return sm.age_ladder(study.snapshots(spark, sf, ()), AGES).select("max_age_ms", "ts_ns", "sequence")

@@ -10,7 +10,7 @@ from quotegrid.functions import book as fx
 from quotegrid.operators import calendar as cal
 from quotegrid.operators import features as ft
 from quotegrid.operators import sampling as sm
-from quotegrid.params import ASK_PX, ASK_SZ, BID_PX, BID_SZ, LEVELS
+from quotegrid.params import ASK_PX, ASK_SZ, BID_PX, BID_SZ, BOOK_COLUMNS, LEVELS
 from quotegrid.plans.registry import cte
 from quotegrid.sources.bindings import STUDY, messages
 
@@ -27,8 +27,11 @@ RULES = cal.CalendarRules(
     closed=("2024-01-15",), overrides={"2024-01-16": _HOLIDAY})
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sm.grid_snapshots(messages(spark, sf_dir), I, A)
+TOUCH = (BID_PX[0], ASK_PX[0])
+
+
+def snapshots(spark: SparkSession, sf_dir: str, columns: tuple = tuple(BOOK_COLUMNS)) -> DataFrame:
+    return sm.grid_snapshots(messages(spark, sf_dir), I, A, columns=columns)
 
 
 def segments(spark: SparkSession) -> DataFrame:
@@ -36,7 +39,8 @@ def segments(spark: SparkSession) -> DataFrame:
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cal.classify(snapshots(spark, sf_dir), segments(spark))
+    """Snapshots without their books, each with its class."""
+    return cal.classify(snapshots(spark, sf_dir, ()), segments(spark))
 
 
 def in_session(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ class Day:
     @cached_property
     def quotes(self):
         """Quotes of each source day with exact targets; gaps alone split the blocks."""
-        rows = study.snapshots(self.spark, self.sf).select(
+        rows = study.snapshots(self.spark, self.sf, study.TOUCH).select(
             "instrument_id", "file_date", "ts_ns", F.col("bid_px_00").alias("bid"), F.col("ask_px_00").alias("ask"),
             ((F.col("bid_px_00") + F.col("ask_px_00")) / 2).alias("mid"))
         return settle(rw.quotes_with_targets(rows, HORIZONS, I), "quotes")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quotegrid.operators import policy, quality, sampling
+from quotegrid.operators import calendar, features, ledger, policy, quality, sampling
 
 
 @pytest.mark.parametrize("values,status", [((0.0, 0.9e-8, -0.9e-8), "blocked_uninformative_expectations"), ((0.0, 2e-8, 0.0), "qualified")])
@@ -34,6 +34,39 @@ def test_a_message_without_flags_is_refused(spark):
         sampling.flagged(book).collect()
 
 
+def test_quotes_must_increase_in_the_order_of_their_messages(spark):
+    quote = "instrument_id bigint, file_date string, sequence bigint, ts_ns bigint, source_recv_ns bigint, bid_px_00 double, ask_px_00 double, mid_price double"
+    rows = [(1, "d", 1, 10, 9, 1.0, 1.5, 1.25), (1, "d", 2, 30, 19, 1.0, 1.5, 1.25), (1, "d", 3, 20, 19, 1.0, 1.5, 1.25), (1, "d", 3, 20, 19, 1.0, 0.5, 0.75),
+            (2, "d", 1, 10, 9, -1.0, 1.5, 0.25), (1, "e", 4, 10, None, None, 1.5, 1.25)]
+    got = {r["rule"]: r["violations"] for r in quality.audit_quotes(spark.createDataFrame(rows, quote), 10).collect()}
+    assert got == {"not_increasing": 2, "received_late": 1, "off_grid": 0, "bad_bid": 2, "crossed": 2, "mid_mismatch": 1}
+
+
+def test_session_counts_are_per_instrument(spark):
+    rows = [(i, "s", "s:0", t, 0, True) for i, times in ((1, (10, 20, 40)), (2, (10, 20, 30, 40))) for t in times]
+    df = spark.createDataFrame(rows, "instrument_id bigint, session_id string, segment_id string, ts_ns bigint, continuous_block int, feature_valid boolean")
+    segments = spark.createDataFrame([("s", 0, 40)], "session_id string, start_ns bigint, end_ns bigint")
+    ready = df.select("instrument_id", "session_id", "ts_ns", (F.col("ts_ns") > 10).alias("learning_ready"))
+    got = {r["instrument_id"]: (r["missing_grid_points"], r["coverage_complete"], r["internal_missing"], r["learning_ready"]) for r in quality.session_quality(df, segments, 10, ready).collect()}
+    assert got == {1: (1, False, 1, 2), 2: (0, True, 0, 3)}
+    labels = df.select("instrument_id", "session_id", "feature_valid", F.lit(1).alias("horizon_ms"), F.lit(True).alias("label_valid"), F.lit("valid").alias("label_reason"))
+    assert {r["instrument_id"]: r["valid"] for r in features.label_quality(labels).collect()} == {1: 3, 2: 4}
+
+
+def test_rows_past_the_last_version_are_refused(spark):
+    versions = spark.createDataFrame([("a", 5)], "version_id string, available_at_ns bigint")
+    with pytest.raises(Exception, match="past the end"):
+        calendar.asof_version(spark.createDataFrame([(100,)], "ts_ns bigint"), versions, 100).collect()
+
+
+def test_a_trade_that_closes_twice_is_refused(spark):
+    fill = "strategy string, trade_number int, owner int, direction int, opening boolean, ts_ns bigint, price double, realised_usd double, cost_usd double"
+    rows = [("S", 1, 0, 1, True, 1, 9.0, None, 1.0), ("S", 1, 0, 1, False, 2, 9.0, 3.0, 1.0), ("S", 2, 0, 1, True, 3, 9.0, None, 1.0)]
+    assert [(r["trade_number"], r["net_pnl_usd"]) for r in ledger.pair_trades(spark.createDataFrame(rows, fill), ["strategy"]).collect()] == [(1, 1.0)]
+    with pytest.raises(Exception, match="closes twice"):
+        ledger.pair_trades(spark.createDataFrame([*rows, ("S", 1, 0, 1, False, 4, 9.0, 3.0, 1.0)], fill), ["strategy"]).collect()
+
+
 def test_ordered_diff_finds_the_first_position(spark):
     rows = [(i, i % 3, None if i % 5 == 0 else "x") for i in range(300)]
     a = spark.createDataFrame(rows, "k long, v int, t string").repartition(4)

@@ -2,6 +2,7 @@ import random
 import uuid
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import BOOK_SCHEMA, message, sample
 from quotegrid.operators import sampling as sm
@@ -56,6 +57,25 @@ def test_boundary_rows(spark, rows, expected):
     assert [(r.ts_ns, r.sequence) for r in sm.grid_snapshots(book, I, A).orderBy("ts_ns").collect()] == expected
 
 
+def test_few_columns_give_the_same_grid(spark):
+    book = spark.createDataFrame(random_files(7), BOOK_SCHEMA)
+    wide = sm.grid_snapshots(book, I, A)
+    narrow = sm.grid_snapshots(book, I, A, columns=("ask_px_00", "bid_sz_01"))
+    columns = ["file_date", "ts_ns", "sequence", "source_flags", "age_ms", "ask_px_00", "bid_sz_01"]
+    assert sorted(map(tuple, wide.select(*columns).collect())) == sorted(map(tuple, narrow.select(*columns).collect()))
+    plan = sm.sampling_stats(book, I, A)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_a_second_symbol_in_a_file_is_refused(spark):
+    book = spark.createDataFrame([message(0, 5), message(1, 31), message(2, 55)], BOOK_SCHEMA)
+    mixed = book.withColumn("symbol", F.when(F.col("sequence") == 1, "ALT").otherwise(F.col("symbol")))
+    for build in (sm.grid_snapshots, sm.grid_ranges, sm.sampling_stats):
+        assert build(book, I, A).count() > 0
+        with pytest.raises(Exception, match="two symbols"):
+            build(mixed, I, A).collect()
+
+
 def test_age_ladder_equals_resampling(spark):
     book = spark.createDataFrame(random_files(5), BOOK_SCHEMA)
     # Test ages are below a millisecond, so the ladder works on the recomputed age.
