@@ -18,6 +18,7 @@ from quotegrid.plans.study import A, HORIZONS, I, RULES, SPLITS
 from quotegrid.session import settle, shared_folder
 from quotegrid.sources import tables as src
 from quotegrid.sources.bindings import STUDY, messages, table
+from quotegrid.sources.runs import read_run
 
 AGES = STUDY.ages_ms
 
@@ -92,24 +93,28 @@ def s04(spark, sf):
     return sm.prefix(messages(spark, sf), 25).select("file_date", "seq", F.col("record").cast("bigint").alias("record"), "partial_prefix")
 
 
+SOURCE_NAME = {"source_name": "events.parquet"}
+
+
 @query("s05_snapshot_sink", """
-SELECT a.age AS max_age_ms, file_date, count(*) AS snapshots, min(ts_ns) AS first_ns
+SELECT a.age AS max_age_ms, file_date, 'events.parquet' AS source_name, 'grid' AS run, false AS partial, count(*) AS snapshots, min(ts_ns) AS first_ns
 FROM snapshot JOIN (VALUES (60000), (300000), (1200000)) a(age) ON age_ms <= age GROUP BY ALL""")
 def s05(spark, sf):
-    path = fresh_path(spark, "snapshots")
-    src.write_snapshots(sm.age_ladder(study.snapshots(spark, sf), AGES), path)
-    back = spark.read.parquet(path)
-    return back.groupBy(F.col("max_age_ms").cast("bigint").alias("max_age_ms"), F.col("file_date").cast("string").alias("file_date")).agg(
+    root = fresh_path(spark, "snapshots")
+    src.write_snapshots(sm.age_ladder(study.snapshots(spark, sf), AGES), root, "grid", SOURCE_NAME)
+    back = read_run(spark, root, "grid")
+    return back.groupBy(F.col("max_age_ms").cast("bigint").alias("max_age_ms"), "file_date", "source_name", "run", "partial").agg(
         F.count(F.lit(1)).alias("snapshots"), F.min("ts_ns").alias("first_ns"))
 
 
 @query("s06_prepared_sink", """
-SELECT session_id, count(*) AS rows, max(continuous_block) AS blocks, round(avg(mid_price), 6) + 0.0 AS mean_mid FROM feat GROUP BY 1""")
+SELECT session_id, 'events.parquet' AS source_name, 'features' AS run, false AS partial, count(*) AS rows, max(continuous_block) AS blocks,
+       round(avg(mid_price), 6) + 0.0 AS mean_mid FROM feat GROUP BY 1""")
 def s06(spark, sf):
-    path = fresh_path(spark, "prepared")
-    src.write_prepared(study.prepared(spark, sf), path)
-    back = spark.read.parquet(path)
-    return back.groupBy(F.col("session_id").cast("string").alias("session_id")).agg(
+    root = fresh_path(spark, "prepared")
+    src.write_prepared(study.prepared(spark, sf), root, "features", SOURCE_NAME)
+    back = read_run(spark, root, "features")
+    return back.groupBy("session_id", "source_name", "run", "partial").agg(
         F.count(F.lit(1)).alias("rows"), F.max("continuous_block").alias("blocks"), r6(F.avg("mid_price")).alias("mean_mid"))
 
 
@@ -118,9 +123,11 @@ LO, HI = 1_704_880_800_000_000_000, 1_704_906_000_000_000_000  # 2024-01-10 10:0
 
 @query("s07_window_scan", f"SELECT session_id, ts_ns, round(mid_price, 6) + 0.0 AS mid_price FROM blk WHERE ts_ns >= {LO} AND ts_ns < {HI}")
 def s07(spark, sf):
-    path = fresh_path(spark, "prepared")
-    src.write_prepared(study.blocked(spark, sf), path)
-    return src.read_window(spark, path, LO, HI).select("session_id", "ts_ns", r6(F.col("mid_price")).alias("mid_price"))
+    root = fresh_path(spark, "prepared")
+    src.write_prepared(study.blocked(spark, sf), root, "blocks", SOURCE_NAME)
+    sessions = study.cal.sessions(study.segments(spark)).where((F.col("open_ns") < HI) & (F.col("close_ns") >= LO))
+    names = [r["session_id"] for r in sessions.select("session_id").collect()]  # calendar rows of seven hours
+    return src.read_window(spark, root, "blocks", LO, HI, names).select("session_id", "ts_ns", r6(F.col("mid_price")).alias("mid_price"))
 
 
 @query("s08_decision_view", "SELECT ts_ns, session_id, continuous_block, round(mid_price, 6) + 0.0 AS mid_price, feature_valid FROM feat")

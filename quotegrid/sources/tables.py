@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quotegrid.functions.book import finite
 from quotegrid.operators.features import SESSION
 from quotegrid.params import BASE_FEATURES, BOOK_COLUMNS, CLOCKS, MESSAGE_COLUMNS, MS, SECOND
+from quotegrid.sources.runs import publish, read_run
 
 # Catalog conditions a source may carry.
 KNOWN_CONDITIONS = ("available", "degraded")
@@ -86,24 +87,23 @@ def reconcile_catalog(book: DataFrame, catalog: DataFrame) -> DataFrame:
     return stored.join(listed, "file_date", "full").where(~F.col("stored_rows").eqNullSafe(F.col("catalog_rows")))
 
 
-def write_snapshots(df: DataFrame, path: str) -> None:
-    """Compressed parquet per age and source date; never overwrites, never empty."""
-    if not df.take(1):
-        raise ValueError("no valid snapshots to write")
-    writer = df.repartition("max_age_ms", "file_date", F.expr(f"ts_ns div {3600 * SECOND}L")).sortWithinPartitions("ts_ns").write
-    writer.option("compression", "zstd").partitionBy("max_age_ms", "file_date").mode("errorifexists").parquet(path)
+def write_snapshots(df: DataFrame, root: str, run: str, provenance: dict[str, str], partial: bool = False) -> dict:
+    """Publish snapshots per age and source date; never overwrites, never empty, every quote causal and within its age."""
+    spread = df.repartition("max_age_ms", "file_date", F.expr(f"ts_ns div {3600 * SECOND}L")).sortWithinPartitions("ts_ns")
+    rules = {"not_causal": F.col("source_recv_ns") >= F.col("ts_ns"), "too_old": F.col("age_ms") > F.col("max_age_ms")}
+    return publish(spread, root, run, ["max_age_ms", "file_date"], rules=rules, provenance=provenance, partial=partial)
 
 
-def write_prepared(df: DataFrame, path: str) -> None:
-    """One folder per session, clustered by time inside so window scans skip row groups."""
-    spread = df.repartition(*SESSION, F.expr(f"ts_ns div {3600 * SECOND}L"))
-    spread.sortWithinPartitions("session_id", "ts_ns").write.option("compression", "zstd").partitionBy("session_id").mode(
-        "errorifexists").parquet(path)
+def write_prepared(df: DataFrame, root: str, run: str, provenance: dict[str, str], partial: bool = False) -> dict:
+    """Publish one folder per session, clustered by time inside so window scans skip row groups."""
+    spread = df.repartition(*SESSION, F.expr(f"ts_ns div {3600 * SECOND}L")).sortWithinPartitions("session_id", "ts_ns")
+    rules = {"outside_session": (F.col("ts_ns") <= F.col("open_ns")) | (F.col("ts_ns") > F.col("close_ns"))}
+    return publish(spread, root, run, ["session_id"], rules=rules, provenance=provenance, partial=partial)
 
 
-def read_window(spark: SparkSession, path: str, lo_ns: int, hi_ns: int, sessions: list[str] | None = None) -> DataFrame:
-    """Rows with lo <= ts < hi: session folders prune, row groups skip by time."""
-    rows = spark.read.parquet(path).withColumn("session_id", F.col("session_id").cast("string"))
+def read_window(spark: SparkSession, root: str, run: str, lo_ns: int, hi_ns: int, sessions: list[str] | None = None) -> DataFrame:
+    """Rows of a published run with lo <= ts < hi: session folders prune, row groups skip by time."""
+    rows = read_run(spark, root, run)
     if sessions:
         rows = rows.where(F.col("session_id").isin(*sessions))
     return rows.where((F.col("ts_ns") >= lo_ns) & (F.col("ts_ns") < hi_ns))

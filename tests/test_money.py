@@ -123,9 +123,9 @@ def test_sinks_refuse_overwrite_and_nan(spark, tmp_path):
         src.write_results(rows, f"{tmp_path}/ok")
     with pytest.raises(ValueError):
         src.write_results(rows.withColumn("x", F.lit(float("nan"))), f"{tmp_path}/bad")
-    empty = spark.createDataFrame([], "max_age_ms bigint, file_date string, ts_ns bigint")
+    empty = spark.createDataFrame([], "max_age_ms bigint, file_date string, ts_ns bigint, source_recv_ns bigint, age_ms double")
     with pytest.raises(ValueError):
-        src.write_snapshots(empty, f"{tmp_path}/none")
+        src.write_snapshots(empty, f"{tmp_path}", "none", {})
 
 
 def test_book_scan(spark, tmp_path):
