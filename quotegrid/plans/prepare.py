@@ -16,6 +16,7 @@ from quotegrid.plans import study
 from quotegrid.plans.registry import cte, query
 from quotegrid.plans.study import A, HORIZONS, I, RULES, SPLITS
 from quotegrid.session import settle, shared_folder
+from quotegrid.sources import catalog as listings
 from quotegrid.sources import tables as src
 from quotegrid.sources.bindings import STUDY, messages, table
 from quotegrid.sources.runs import read_run
@@ -86,6 +87,30 @@ def s03(spark, sf):
     return src.reconcile_catalog(messages(spark, sf), _catalog(spark, sf))
 
 
+@query("s03_reconcile_files", """
+SELECT file_date, unnest(list_filter([CASE WHEN d % 9 = 4 THEN 'bad_rows' END, CASE WHEN d % 8 = 6 THEN 'not_parquet' END, CASE WHEN d = 3 THEN 'unlisted_file' END,
+       CASE WHEN d <> 3 AND (d % 5 = 1 OR d % 9 = 4) THEN 'rows_differ' END, CASE WHEN d <> 3 AND d % 6 = 2 THEN 'bytes_differ' END], lambda rule: rule IS NOT NULL)) AS rule
+FROM (SELECT DISTINCT file_date, CAST(substr(file_date, 9, 2) AS INT) AS d FROM book)
+UNION ALL SELECT '2023-12-31', 'missing_file'""")
+def s03_files(spark, sf):
+    """Message files by date and a JSON catalog of them, with faults planted in the catalog."""
+    root, listing = fresh_path(spark, "messages"), fresh_path(spark, "catalog")
+    messages(spark, sf).repartition("file_date").write.partitionBy("file_date").parquet(root)
+    d, path = F.substring("date", 9, 2).cast("int"), F.col("_metadata.file_path")
+    files = spark.read.parquet(root).select(path.alias("parquet"), F.col("_metadata.file_size").alias("parquet_bytes")).groupBy("parquet", "parquet_bytes").agg(F.count(F.lit(1)).alias("rows"))
+    files = files.groupBy(F.regexp_extract("parquet", r"(\d{4}-\d{2}-\d{2})", 1).alias("date")).agg(F.min("parquet").alias("parquet"), F.sum("rows").alias("rows"), F.sum("parquet_bytes").alias("parquet_bytes"))
+    faulty = files.where(d != 3).select(
+        "date", F.lit("available").alias("condition"), F.when(d % 9 == 4, -1).when(d % 5 == 1, F.col("rows") + 1).otherwise(F.col("rows")).alias("rows"),
+        F.when(d % 8 == 6, "day.csv").otherwise(F.col("parquet")).alias("parquet"), (F.col("parquet_bytes") + F.when(d % 6 == 2, 1).otherwise(0)).alias("parquet_bytes"))
+    absent = files.agg(F.lit("2023-12-31").alias("date"), F.lit("available").alias("condition"), F.lit(1).cast("bigint").alias("rows"), F.lit("gone.parquet").alias("parquet"), F.lit(1).cast("bigint").alias("parquet_bytes"))
+    identity = {"dataset": "EVENTS", "schema": "book-10", "symbol": "EVT", "stype_in": "raw_symbol"}
+    # an entry a day
+    document = faulty.unionByName(absent).agg(F.collect_list(F.struct("date", "condition", "rows", "parquet", "parquet_bytes")).alias("files"))
+    document.select(*[F.lit(v).alias(k) for k, v in identity.items()], "files").write.json(listing)
+    catalog = settle(listings.read_catalog(spark, listing), "catalog")
+    return listings.audit_catalog(catalog, identity).unionByName(listings.reconcile_files(spark, root, catalog))
+
+
 @query("s04_prefix_scan", """
 SELECT file_date, seq, record, true AS partial_prefix
 FROM (SELECT *, row_number() OVER (PARTITION BY file_date ORDER BY seq) AS record FROM book) WHERE record <= 25""")
