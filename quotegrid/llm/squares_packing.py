@@ -3,10 +3,12 @@
 Each task packs its documents as they come.  Full windows of a document are sequences of their own; the rest goes
 whole to the fill level, among those of the open sequences and an empty one, that minimises the sum over levels of the
 squared number of open sequences.  Levels are kept in one array of counts.  When a task ends, or when ``MOST_OPEN``
-sequences are open, what the open ones hold is cut so that all but one of the sequences are full; so a task pads one
-sequence at most.
+sequences are open (a bound of memory, 8 kB each), open sequences are put into one another by the same rule; only the
+gaps that are left then are filled by cutting the emptiest.  A task pads one sequence at most.
 
-Defined results: null and empty texts are the end id alone.  Repeated rows and null ids are packed like any other.
+Defined results: null and empty texts are the end id alone.  Repeated rows and null ids are packed like any other;
+other columns are ignored.  A very long text is held by one task with its ids; all but its last window are full.  An
+empty table gives no rows.
 ``sequence_id`` is the partition number times 2^40 plus a running number: unique within one run, but not the same for
 another partitioning of the input.
 """
@@ -36,55 +38,77 @@ def bytes_of_units(path: str) -> Cache:
 
 
 class Packer:
-    """Pieces are (doc_id, start, ids as bytes, doc_tokens); full sequences are handed to ``emit``."""
+    """Pieces are (doc_id, start, ids as bytes, doc_tokens); full sequences are handed to ``emit``.
+
+    ``placed`` and ``cut`` count the ids placed and those that closing moved by cutting."""
 
     def __init__(self, size: int, emit):
         self.size, self.emit = size, emit
         self.count = np.zeros(size + 1, np.int64)
         self.open: list[list[list[tuple]]] = [[] for _ in range(size + 1)]
+        self.placed = self.cut = 0
 
-    def place(self, piece: tuple, length: int) -> None:
-        if length == self.size:
-            self.emit([piece])
-            return
+    def level_for(self, length: int, join: bool = False) -> int:
+        """The level whose choice leaves the least sum of squares, of equal ones the fullest; 0 is an empty sequence,
+        which ``join`` takes only where nothing else has room."""
         c = self.count
-        # change of the sum of squares for each level taken from, level 0 being an empty sequence
-        cost = np.concatenate([2 * c[length:] + 1, np.zeros(0, np.int64)])
+        cost = 2 * c[length:] + 1
         cost[-1] = 0  # a sequence filled up counts no more
         cost[1:] -= 2 * c[1:self.size - length + 1] - 1
         usable = c[:self.size - length + 1] > 0
-        usable[0] = True
-        level = int(len(cost) - 1 - np.argmin(np.where(usable, cost, np.iinfo(np.int64).max)[::-1]))  # ties: the fullest
+        usable[0] = not (join and usable[1:].any())
+        return int(len(cost) - 1 - np.argmin(np.where(usable, cost, np.iinfo(np.int64).max)[::-1]))
+
+    def place(self, pieces: list[tuple], length: int, join: bool = False) -> None:
+        level = self.level_for(length, join) if length < self.size else 0
         held = self.open[level].pop() if level else []
-        c[level] -= level > 0
-        held.append(piece)
+        self.count[level] -= level > 0
+        held += pieces
         if level + length == self.size:
             self.emit(held)
         else:
-            c[level + length] += 1
+            self.count[level + length] += 1
             self.open[level + length].append(held)
-            if c.sum() > MOST_OPEN:
-                self.flush(last=False)
 
-    def flush(self, last: bool = True) -> None:
-        """Cut what is open into full sequences; the rest stays open, or ends if ``last``."""
-        pieces = [p for level in reversed(self.open) for held in level for p in held]
+    def add(self, piece: tuple, length: int) -> None:
+        self.placed += length
+        self.place([piece], length)
+        if self.count.sum() > MOST_OPEN:
+            self.close(last=False)
+
+    def close(self, last: bool = True) -> None:
+        """Open sequences, the fullest first, go whole into others by the same rule; what has room nowhere is
+        filled up by cutting the emptiest.  One sequence stays open, or ends padded if ``last``."""
+        for level in range(self.size - 1, 0, -1):
+            for _ in range(len(self.open[level])):
+                self.count[level] -= 1
+                self.place(self.open[level].pop(0), level, join=True)
+        left = [(level, held) for level in range(self.size - 1, 0, -1) for held in self.open[level]]
         self.open = [[] for _ in range(self.size + 1)]
         self.count[:] = 0
-        held, room = [], self.size
-        for doc_id, start, ids, total in pieces:
-            while ids:
+        while len(left) > 1:
+            room, full = self.size - left[0][0], left[0][1]
+            spare, given = left.pop()
+            while room and given:
+                doc_id, start, ids, total = given.pop()
                 take = min(room, len(ids) // 4)
-                held.append((doc_id, start, ids[:4 * take], total))
-                ids, start, room = ids[4 * take:], start + take, room - take
-                if not room:
-                    self.emit(held)
-                    held, room = [], self.size
-        if held and last:
-            self.emit(held)
-        elif held:
-            self.count[self.size - room] += 1
-            self.open[self.size - room].append(held)
+                full.append((doc_id, start, ids[:4 * take], total))
+                if len(ids) > 4 * take:
+                    given.append((doc_id, start + take, ids[4 * take:], total))
+                room, spare, self.cut = room - take, spare - take, self.cut + take
+            if given:
+                left.append((spare, given))
+            if room:
+                left[0] = (self.size - room, full)
+            else:
+                self.emit(full)
+                left.pop(0)
+        for level, held in left:
+            if last:
+                self.emit(held)
+            else:
+                self.count[level] += 1
+                self.open[level].append(held)
 
 
 def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, path: str | None = None) -> DataFrame:
@@ -123,10 +147,10 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, path: str | None =
                 total = len(ids) // 4
                 for start in range(0, total, size):
                     part = ids[4 * start:4 * (start + size)]
-                    packer.place((doc_id, start, part, total), len(part) // 4)
+                    packer.add((doc_id, start, part, total), len(part) // 4)
             if out:
                 yield rows()
-        packer.flush()
+        packer.close()
         if out:
             yield rows()
 

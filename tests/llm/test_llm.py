@@ -140,6 +140,30 @@ def test_resync_counts(docs, chunk, overlap):
     assert resync_counts.count_tokens(empty(docs), chunk=chunk, overlap=overlap).count() == 0
 
 
+@pytest.mark.parametrize("chunk, overlap", [(48, 24), (200, 64)])
+def test_splices_of_hard_texts(spark, chunk, overlap):
+    """What the stability argument rests on: contractions, marks, digits, blanks, added tokens and composing characters on every border."""
+    rng = random.Random(chunk)
+    parts = ["'", "'ll", "'re", "l", "e", "It", "don't", " ", "  ", "\n", "\t\n ", "7", "42", "<|endoftext|>", "<|", "endoftext", "|>", "...", "?!", "\u0301", "e\u0301\u0327",
+             "\u1100", "\u1161", "\u11a8", "İ", "Σ", "ς", "日本語", "\u00a0", "\u2028", "🙂", "wörter", "internationalisation"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(20, 400))) for _ in range(120)] + [" " * 500, "x" * 500, "<|endoftext|>" * 60, "e\u0301" * 300]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["n_tokens"] for r in resync_counts.count_tokens(table, chunk=chunk, overlap=overlap).collect()}
+    tokenizer = tokens.library(tokens.vocabulary("word_bpe_49k.json"))
+    assert got == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_most_overlaps_splice_at_once(spark):
+    """A prose text needs no second round: every border has a stable run that both sides saw."""
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcdefghi") for _ in range(rng.randint(1, 9))) for _ in range(4000))
+    rows = spark.createDataFrame([(0, text)], "row long, text string")
+    encoded_chunks = resync_counts.encode_chunks(resync_counts.cut_chunks(rows, 1000, 128), 128, tokens.vocabulary("word_bpe_49k.json"))
+    assert encoded_chunks.count() > 15
+    tokenizer = tokens.library(tokens.vocabulary("word_bpe_49k.json"))
+    assert resync_counts.splice(encoded_chunks).first()["n_tokens"] == len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 def test_sentence_spans(docs):
     got = sentence_spans.drop_repeats(docs)
     assert got.columns == [*docs.columns, "n_sentences", "n_removed"]
@@ -407,6 +431,37 @@ def test_packing(docs):
     assert squares_packing.pack(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("most", [8, 4096])
+def test_levels_of_least_squares(monkeypatch, most):
+    """Each choice against all choices tried out; closing loses no id, pads one sequence and cuts little."""
+    monkeypatch.setattr(squares_packing, "MOST_OPEN", most)
+    rng, size, full = random.Random(most), 60, []
+    packer = squares_packing.Packer(size, full.append)
+    sent = collections.defaultdict(bytes)
+    for i in range(400):
+        length = rng.randint(1, size - 1)
+        ids = np.arange(length, dtype="<u4").tobytes()
+        sent[i] = ids
+        counts, best = packer.count.copy(), []
+        for level in range(size - length + 1):
+            if level == 0 or counts[level]:
+                after = counts.copy()
+                after[level] -= level > 0
+                after[level + length] += 1
+                best.append((int((after[:size] ** 2).sum()), -level))
+        assert packer.level_for(length) == -min(best)[1]
+        packer.add((i, 0, ids, length), length)
+        assert packer.count.sum() <= most and [len(x) for x in packer.open] == packer.count.tolist()
+    packer.close()
+    assert sum(sum(len(p[2]) for p in held) < 4 * size for held in full) <= 1 and all(sum(len(p[2]) for p in held) <= 4 * size for held in full)
+    back = collections.defaultdict(list)
+    for held in full:
+        for doc, start, ids, _ in held:
+            back[doc].append((start, ids))
+    assert {d: b"".join(x for _, x in sorted(p)) for d, p in back.items()} == sent
+    assert most < 100 or packer.cut < packer.placed // 20
+
+
 def test_pipeline_stages(spark, docs):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     folder = f"{corpus_pipeline.shared_folder(spark)}/stages"
