@@ -46,34 +46,39 @@ class Packer:
         self.size, self.emit = size, emit
         self.count = np.zeros(size + 1, np.int64)
         self.open: list[list[list[tuple]]] = [[] for _ in range(size + 1)]
-        self.placed = self.cut = 0
+        self.held = self.placed = self.cut = 0
 
     def level_for(self, length: int, join: bool = False) -> int:
         """The level whose choice leaves the least sum of squares, of equal ones the fullest; 0 is an empty sequence,
         which ``join`` takes only where nothing else has room."""
-        c = self.count
-        cost = 2 * c[length:] + 1
-        cost[-1] = 0  # a sequence filled up counts no more
-        cost[1:] -= 2 * c[1:self.size - length + 1] - 1
-        usable = c[:self.size - length + 1] > 0
-        usable[0] = not (join and usable[1:].any())
-        return int(len(cost) - 1 - np.argmin(np.where(usable, cost, np.iinfo(np.int64).max)[::-1]))
+        c, least = self.count, self.size - length
+        levels = np.flatnonzero(c[:least + 1])  # level 0 has no count
+        if not len(levels):
+            return 0
+        cost = 2 * (c[levels + length] - c[levels]) + 2
+        if levels[-1] == least:
+            cost[-1] = 1 - 2 * c[least]  # a sequence filled up counts no more
+        at = len(levels) - 1 - int(np.argmin(cost[::-1]))
+        return int(levels[at]) if join or cost[at] <= 2 * c[length] + 1 else 0
 
     def place(self, pieces: list[tuple], length: int, join: bool = False) -> None:
         level = self.level_for(length, join) if length < self.size else 0
         held = self.open[level].pop() if level else []
-        self.count[level] -= level > 0
+        if level:
+            self.count[level] -= 1
+            self.held -= 1
         held += pieces
         if level + length == self.size:
             self.emit(held)
         else:
             self.count[level + length] += 1
+            self.held += 1
             self.open[level + length].append(held)
 
     def add(self, piece: tuple, length: int) -> None:
         self.placed += length
         self.place([piece], length)
-        if self.count.sum() > MOST_OPEN:
+        if self.held > MOST_OPEN:
             self.close(last=False)
 
     def close(self, last: bool = True) -> None:
@@ -82,10 +87,11 @@ class Packer:
         for level in range(self.size - 1, 0, -1):
             for _ in range(len(self.open[level])):
                 self.count[level] -= 1
+                self.held -= 1
                 self.place(self.open[level].pop(0), level, join=True)
         left = [(level, held) for level in range(self.size - 1, 0, -1) for held in self.open[level]]
         self.open = [[] for _ in range(self.size + 1)]
-        self.count[:] = 0
+        self.count[:] = self.held = 0
         while len(left) > 1:
             room, full = self.size - left[0][0], left[0][1]
             spare, given = left.pop()
@@ -108,6 +114,7 @@ class Packer:
                 self.emit(held)
             else:
                 self.count[level] += 1
+                self.held += 1
                 self.open[level].append(held)
 
 
@@ -138,12 +145,12 @@ def pack(docs: DataFrame, size: int = 2048, end_id: int = 1, path: str | None =
         for batch in rows_by(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             units = list(map(spaced_units, texts))
-            cache.load([u for x in units if x for u in x])
+            cache.load(set().union(*(x for x in units if x)))
             for doc_id, text, x in zip(batch.column("doc_id").to_pylist(), texts, units):
                 if x is None:
                     ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() + end
                 else:
-                    ids = b"".join(map(cache.__getitem__, x)) + end
+                    ids = b"".join(cache.of(x)) + end
                 total = len(ids) // 4
                 for start in range(0, total, size):
                     part = ids[4 * start:4 * (start + size)]

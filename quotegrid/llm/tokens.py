@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import json
+import operator
 import os
 import re
 import unicodedata
@@ -108,12 +109,17 @@ class Cache(dict):
         super().__init__()
         self.encode = encode
 
+    def of(self, units: list[str]):
+        """Values of loaded units, one after the other."""
+        return operator.itemgetter(*units)(self) if len(units) > 1 else [self[u] for u in units]
+
     def load(self, units) -> None:
-        wanted = set(units)
-        fresh = list(wanted - self.keys())
+        wanted = units if isinstance(units, set) else set(units)
+        fresh = [u for u in wanted if u not in self]  # a difference with the keys would walk the whole cache
         if len(self) + len(fresh) > CACHE:
+            kept = {u: self[u] for u in wanted if u in self}
             self.clear()
-            fresh = list(wanted)
+            self.update(kept)
         for a in range(0, len(fresh), 4096):
             part = fresh[a:a + 4096]
             self.update(zip(part, self.encode(part)))
