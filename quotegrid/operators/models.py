@@ -280,11 +280,11 @@ def fold_versions(models: DataFrame) -> DataFrame:
 
 
 def predict_library(df: DataFrame, models: DataFrame, until_ns: int, vectors: dict[str, Column], valid: Column,
-                    depth: int, keep: list[str]) -> DataFrame:
-    """Long predictions of the version visible at each row: (keys, version, model, yhat).
+                    depth: int, keep: list[str], max_age_ns: int | None = None) -> DataFrame:
+    """Long predictions of the version visible at each row: (keys, version, model, yhat, reason).
 
-    NULL where no version exists yet, the features are not valid or the model was
-    not fitted.  A row meets its version once; models expand from the array.
+    ``yhat`` is NULL and ``reason`` says why where no version exists yet, the version is older than ``max_age_ns``, the
+    features are not valid or the model was not fitted.  A row meets its version once; models expand from the array.
     """
     spans = asof_version(df, models.select("version_id", "available_at_ns"), until_ns)
     folded = fold_versions(models).drop("available_at_ns")
@@ -295,7 +295,35 @@ def predict_library(df: DataFrame, models: DataFrame, until_ns: int, vectors: di
         x = F.when(m["feature_group"] == group, vector).otherwise(x)
     rows = rows.withColumn("_x", x)
     raw = F.when(m["family"] == "tree", predict_tree(F.col("_x"), m, depth)).otherwise(predict_linear(F.col("_x"), m))
-    return rows.select(*keep, "version_id", m["model_id"].alias("model_id"), F.when(valid, raw).alias("yhat"))
+    stale = F.lit(False) if max_age_ns is None else F.col("ts_ns") - F.col("available_at_ns") > max_age_ns
+    reason = (F.when(F.col("version_id").isNull(), "no_version").when(stale, "stale_version")
+              .when(~F.coalesce(valid, F.lit(False)), "invalid_features").when(raw.isNull(), "not_fitted"))
+    return rows.select(*keep, "version_id", m["model_id"].alias("model_id"), F.when(reason.isNull(), raw).alias("yhat"), reason.alias("reason"))
+
+
+def audit_library(models: DataFrame) -> DataFrame:
+    """Violations of a fitted library before it is used: (version_id, model_id, rule).
+
+    Versions must come in order with the same model ids; each id stands once in a version; a fitted model has as many
+    parameters as its group has features, all finite, scales above zero, and a tree's children lie behind their parent.
+    """
+    width = F.lit(None).cast("int")
+    for group, columns in FEATURE_GROUPS.items():
+        width = F.when(F.col("feature_group") == group, len(columns)).otherwise(width)
+    bad = lambda c: F.exists(c, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    nodes = F.arrays_zip("left", "right", "feature")
+    backwards = F.exists(F.transform(nodes, lambda n, i: (n["left"] != -1) & ((n["left"] <= i) | (n["right"] <= i) | (n["feature"] < 0))), lambda v: v)
+    linear, fitted = F.col("family") == "ridge", F.col("status") == "fitted"
+    numbers = F.when(linear, bad("coef") | F.col("intercept").isNull() | F.isnan("intercept")).otherwise(bad("value") | bad("threshold"))
+    shape = (F.size("mean") != width) | (F.size("scale") != width) | (linear & (F.size("coef") != width))
+    rule = (F.when(F.coalesce(fitted & (F.col("mean").isNull() | F.col("scale").isNull() | F.when(linear, F.col("coef").isNull()).otherwise(F.col("value").isNull())), F.lit(False)), "fit_missing")
+            .when(fitted & shape, "wrong_width")
+            .when(fitted & (numbers | bad("mean") | bad("scale") | F.exists("scale", lambda v: v <= 0)), "bad_number")
+            .when(fitted & ~linear & backwards, "tree_not_ordered"))
+    single = models.select("version_id", "model_id", rule.alias("rule")).where("rule is not null")
+    twice = models.groupBy("version_id", "model_id").count().where("count > 1").select("version_id", "model_id", F.lit("model_twice").alias("rule"))
+    order = audit_versions(models).select("version_id", F.lit(None).cast("string").alias("model_id"), "rule")
+    return single.unionByName(twice).unionByName(order)
 
 
 def audit_versions(models: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from quotegrid.functions.book import r6
 from quotegrid.operators import features as ft
 from quotegrid.operators import models as md
 from quotegrid.operators.calendar import inline
-from quotegrid.params import BASE_FEATURES, FEATURE_GROUPS, LIBRARY_FEATURES
+from quotegrid.params import BASE_FEATURES, DAY, FEATURE_GROUPS, LIBRARY_FEATURES
 from quotegrid.plans import study
 from quotegrid.plans.prepare import UNTIL, schedule
 from quotegrid.plans.registry import cte, query
@@ -18,6 +18,7 @@ from quotegrid.plans.study import HORIZONS, I, SPLITS
 from quotegrid.operators.calendar import training_days
 from quotegrid.session import settle
 from quotegrid.sources.bindings import STUDY
+from quotegrid.sources.tables import require_empty
 
 H1, PURGE = HORIZONS[0], STUDY.purge_ms
 
@@ -177,9 +178,13 @@ def l09(spark, sf):
 TRAINING_COLUMNS = ["instrument_id", "session_id", "ts_ns", "open_ns", "close_ns", "mid_price", "continuous_block", "feature_valid", *LIBRARY_FEATURES]
 
 
-def training_inputs(spark, sf):
+def prepared_rows(spark, sf):
+    return settle(study.library(spark, sf).select(*TRAINING_COLUMNS, "library_valid"), "prepared")
+
+
+def training_inputs(spark, sf, rows=None):
     """Training rows and schedule of a prepared dataset that is written once and read by both."""
-    rows = settle(study.library(spark, sf).select(*TRAINING_COLUMNS), "prepared")
+    rows = prepared_rows(spark, sf) if rows is None else rows
     seen = settle(rows.select("session_id", "open_ns", "close_ns").distinct(), "sessions")
     days = training_days(schedule(spark, sf, seen), seen, STUDY.history_counts, "2024-01-02")
     return ft.training_samples(rows, H1, PURGE, ["instrument_id", "session_id", "ts_ns", *LIBRARY_FEATURES]), days
@@ -232,7 +237,7 @@ def _ridge_sql():
     row = lambda a, cs: "[" + ", ".join([*[entry(a, b) for b in cs], f"count(*) * covar_pop({a}, y) / {sd(a)}"]) + "]"
     parts = ", ".join(f"{{'g': '{g}', 'p': {len(cs)}, 'm': [{', '.join(row(a, cs) for a in cs)}]}}" for g, cs in FEATURE_GROUPS.items())
     return f"""
-SELECT update_session, history_count, feature_group, CAST(u.i - 1 AS INTEGER) AS i, round(m[u.i][p + 1] * 1e6, 4) + 0.0 AS coef, round(y_mean * 1e6, 4) + 0.0 AS intercept FROM (
+SELECT update_session, history_count, feature_group, CAST(u.i - 1 AS INTEGER) AS i, m[u.i][p + 1] AS coef, y_mean AS intercept FROM (
   WITH RECURSIVE solved AS (
     SELECT update_session, history_count, y_mean, e.g AS feature_group, e.p AS p, e.m AS m, 0 AS k
     FROM (SELECT update_session, history_count, avg(y) AS y_mean, unnest([{parts}]) AS e FROM vtrain GROUP BY 1, 2)
@@ -243,14 +248,18 @@ SELECT update_session, history_count, feature_group, CAST(u.i - 1 AS INTEGER) AS
   SELECT * FROM solved WHERE k = p) s, LATERAL (SELECT unnest(range(1, p + 1)) AS i) u"""
 
 
-@query("m03_ridge", _ridge_sql())
+cte("ridgefit", _ridge_sql())
+
+
+@query("m03_ridge", """
+SELECT update_session, history_count, feature_group, i, round(coef * 1e6, 4) + 0.0 AS coef, round(intercept * 1e6, 4) + 0.0 AS intercept FROM ridgefit""")
 def m03(spark, sf):
     fits = md.ridge(moments(spark, sf), md.MODEL_KEYS, STUDY.ridge_alpha).select(*md.MODEL_KEYS, F.posexplode("coef").alias("i", "coef"), "intercept")
     return fits.select(*md.MODEL_KEYS, "i", *[(F.round(F.col(c) * 1e6, 4) + 0.0).alias(c) for c in ("coef", "intercept")])
 
 
-def _library(spark, sf, min_leaf=20):
-    rows, days = training_inputs(spark, sf)
+def _library(spark, sf, min_leaf=20, rows=None):
+    rows, days = training_inputs(spark, sf, rows)
     return md.build_library(settle(rows, "samples"), days, alpha=STUDY.ridge_alpha, depth=STUDY.tree_depth, min_leaf=min_leaf,
                             sample=STUDY.tree_sample, seed=STUDY.seed)
 
@@ -341,6 +350,59 @@ def m08(spark, sf):
     return out.select("ts_ns", "version_id", "model_id", r6(F.col("yhat")).alias("yhat"))
 
 
+# The joined-up run: prepared rows train the library, which is audited and then forecasts the same rows.
+MODEL_AGE = 5 * DAY
+cte("scalers", f"""
+SELECT update_session, history_count, feature_group, i, count(*) AS n, avg(x) AS mean, coalesce(nullif(stddev_pop(x), 0), 1) AS scale
+FROM ({_unpivot}) GROUP BY ALL""")
+cte("visible", """
+SELECT ts_ns, library_valid, version_id, available_at_ns
+FROM feat f ASOF LEFT JOIN (SELECT DISTINCT update_session AS version_id, available_at_ns FROM tdays) v ON v.available_at_ns <= f.ts_ns""")
+cte("libx", "SELECT ts_ns, e.feature_group, e.i, e.x FROM (SELECT ts_ns, unnest([" + ", ".join(
+    f"{{'feature_group': '{g}', 'i': {i}, 'x': {c}}}" for g, cs in FEATURE_GROUPS.items() for i, c in enumerate(cs)) + "]) AS e FROM feat WHERE library_valid)")
+cte("fitraw", """
+SELECT v.ts_ns, history_count, feature_group, sum(coef * (x - mean) / scale) + any_value(intercept) AS y
+FROM visible v JOIN ridgefit r ON r.update_session = v.version_id JOIN scalers s USING (update_session, history_count, feature_group, i)
+JOIN libx x USING (ts_ns, feature_group, i) WHERE s.n >= 2 GROUP BY ALL""")
+cte("fitpred", f"""
+SELECT *, CASE WHEN reason IS NULL THEN y END AS yhat FROM (
+  SELECT v.ts_ns, v.version_id, CASE WHEN v.version_id IS NOT NULL THEN 'ridge-' || feature_group || '-h' || history_count END AS model_id, y,
+         CASE WHEN v.version_id IS NULL THEN 'no_version' WHEN v.ts_ns - available_at_ns > {MODEL_AGE} THEN 'stale_version'
+              WHEN NOT library_valid THEN 'invalid_features' WHEN y IS NULL THEN 'not_fitted' END AS reason
+  FROM visible v LEFT JOIN (SELECT DISTINCT update_session, history_count, feature_group
+                            FROM tdays CROSS JOIN (VALUES ('price'), ('displayed_volume'), ('price_volume')) g(feature_group)) w ON w.update_session = v.version_id
+  LEFT JOIN fitraw USING (ts_ns, history_count, feature_group))""")
+
+
+def fitted_signals(spark, sf):
+    """Forecasts of the fitted linear models for every prepared row, from the version visible there."""
+    rows = prepared_rows(spark, sf)
+    models = settle(_library(spark, sf, rows=rows).where("family = 'ridge'"), "library")
+    require_empty(md.audit_library(models), "fitted library")
+    vectors = {g: F.array(*cs) for g, cs in FEATURE_GROUPS.items()}
+    return md.predict_library(rows, models, UNTIL, vectors, F.col("library_valid"), STUDY.tree_depth, ["instrument_id", "ts_ns"], MODEL_AGE)
+
+
+@query("m08_fitted_library", "SELECT ts_ns, version_id, model_id, round(yhat * 1e6, 4) + 0.0 AS yhat, reason FROM fitpred")
+def m08_fitted(spark, sf):
+    return fitted_signals(spark, sf).select("ts_ns", "version_id", "model_id", (F.round(F.col("yhat") * 1e6, 4) + 0.0).alias("yhat"), "reason")
+
+
+@query("m09_fitted_available", "SELECT ts_ns, bool_and(yhat IS NOT NULL) AS decidable FROM fitpred GROUP BY 1")
+def m09_fitted(spark, sf):
+    return md.all_available(fitted_signals(spark, sf), ["ts_ns"])
+
+
+@query("m10_fitted_ensemble", "SELECT ts_ns, CASE WHEN count(yhat) = count(*) THEN round(avg(yhat) * 1e6, 4) + 0.0 END AS yhat FROM fitpred GROUP BY 1")
+def m10_fitted(spark, sf):
+    return md.ensemble(fitted_signals(spark, sf), ["ts_ns"]).select("ts_ns", (F.round(F.col("yhat") * 1e6, 4) + 0.0).alias("yhat"))
+
+
+@query("m11_fitted_direction", "SELECT ts_ns, model_id, CASE WHEN yhat > 1.5e-5 THEN 1 WHEN yhat < -1.5e-5 THEN -1 WHEN yhat IS NOT NULL THEN 0 END AS direction FROM fitpred")
+def m11_fitted(spark, sf):
+    return fitted_signals(spark, sf).select("ts_ns", "model_id", md.direction(F.col("yhat"), STUDY.threshold).alias("direction"))
+
+
 cte("signal_rows", """
 SELECT file_date, ts_ns, sequence, (bid_px_00 + ask_px_00) / 2 AS mid_price
 FROM snapshot""")
