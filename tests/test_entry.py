@@ -19,7 +19,7 @@ def test_registry_is_complete():
         assert {n[1:3] for n in names if n[0] == letter and n[1:3].isdigit()} == {f"{i:02d}" for i in range(1, count + 1)}
 
 
-@pytest.mark.parametrize("name", ["flagship_daily_spread", "g04_grid_ranges", "c03_session_assignment", "l01_labels", "m01_scaler_stats", "m02_gram", "m03_ridge", "m08_predict_library",
+@pytest.mark.parametrize("name", ["flagship_daily_spread", "g04_grid_ranges", "c03_session_assignment", "l01_labels", "m01_scaler_stats", "m02_gram", "m03_ridge", "m08_predict_library", "m08_fitted_library", "m10_fitted_ensemble",
                                   "k04_intent_fate", "r10_period_feedback", "p02_cross_day_summary", "v07_session_quality", "t01_stream_grid"])
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()

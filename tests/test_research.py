@@ -155,6 +155,47 @@ def test_version_boundary_is_inclusive(spark):
     assert sorted(r["rule"] for r in md.audit_versions(bad).collect()) == ["model_ids_changed", "not_increasing"]
 
 
+LIBRARY_SCHEMA = ("version_id string, available_at_ns bigint, model_id string, family string, feature_group string, status string, mean array<double>, scale array<double>, "
+                  "coef array<double>, intercept double, left array<int>, right array<int>, feature array<int>, threshold array<double>, value array<double>")
+
+
+def library_rows():
+    def linear(version, at, coef, intercept=0.5, status="fitted", scale=(2.0,) * 4):
+        return [version, at, "lin", "ridge", "price_volume", status, [1.0] * 4, list(scale), coef, intercept, None, None, None, None, None]
+
+    def tree(version, at, left=(1, -1, -1), right=(2, -1, -1)):
+        return [version, at, "tree", "tree", "price_volume", "fitted", [0.0] * 4, [1.0] * 4, None, None, list(left), list(right), [3, -2, -2], [0.5, -2.0, -2.0], [0.0, -7.0, 7.0]]
+
+    return linear, tree
+
+
+def test_library_is_audited(spark):
+    linear, tree = library_rows()
+    good = [linear("a", 5, [1.0] * 4), tree("a", 5), linear("b", 9, None, None, "insufficient_samples"), tree("b", 9)]
+    audit = lambda rows: {(r["version_id"], r["model_id"], r["rule"]) for r in md.audit_library(spark.createDataFrame([tuple(r) for r in rows], LIBRARY_SCHEMA)).collect()}
+    assert audit(good) == set() == audit([])
+    faults = [("lin", "fit_missing", linear("c", 12, None)), ("lin", "wrong_width", linear("c", 12, [1.0] * 3)), ("lin", "bad_number", linear("c", 12, [1.0, float("nan"), 0.0, 0.0])),
+              ("lin", "bad_number", linear("c", 12, [1.0] * 4, None)), ("lin", "bad_number", linear("c", 12, [1.0] * 4, scale=(1.0, 0.0, 1.0, 1.0)))]
+    for model, rule, row in faults:
+        assert audit([*good, row, tree("c", 12)]) == {("c", model, rule)}
+    assert audit([*good, linear("c", 12, [1.0] * 4), tree("c", 12, left=(0, -1, -1))]) == {("c", "tree", "tree_not_ordered")}
+    assert audit([*good, good[1]]) == {("a", "tree", "model_twice")}
+    assert audit([*good, linear("c", 9, [1.0] * 4)]) & {("b", None, "not_increasing"), ("c", None, "not_increasing"), ("c", None, "model_ids_changed")}
+
+
+def test_predictions_say_why_they_are_missing(spark):
+    linear, tree = library_rows()
+    models = spark.createDataFrame([tuple(r) for r in (linear("a", 5, [1.0, 2.0, 0.0, 0.0]), tree("a", 5), linear("b", 9, None, None, "insufficient_samples"), tree("b", 9))], LIBRARY_SCHEMA)
+    x = [3.0, 5.0, 0.0, 0.25]
+    rows = spark.createDataFrame([(4, x, True), (5, x, True), (6, x, False), (7, x, None), (8, x, True), (9, x, True), (13, x, True)], "ts_ns bigint, x array<double>, ok boolean")
+    out = md.predict_library(rows, models, 100, {"price_volume": F.col("x")}, F.col("ok"), 4, ["ts_ns"], max_age_ns=2)
+    got = {(r["ts_ns"], r["model_id"]): (r["version_id"], r["yhat"], r["reason"]) for r in out.collect()}
+    y = 1.0 * (3 - 1) / 2 + 2.0 * (5 - 1) / 2 + 0.5
+    assert got == {(4, None): (None, None, "no_version"), (5, "lin"): ("a", y, None), (5, "tree"): ("a", -7.0, None),
+                   **{(t, m): ("a", None, "invalid_features") for t in (6, 7) for m in ("lin", "tree")}, **{(8, m): ("a", None, "stale_version") for m in ("lin", "tree")},
+                   (9, "lin"): ("b", None, "not_fitted"), (9, "tree"): ("b", -7.0, None), **{(13, m): ("b", None, "stale_version") for m in ("lin", "tree")}}
+
+
 def test_direction_is_strict(spark):
     rows = spark.createDataFrame([(0.5,), (0.51,), (-0.5,), (-0.6,), (None,)], "y double")
     assert [r[0] for r in rows.select(md.direction(F.col("y"), 0.5)).collect()] == [0, 1, 0, -1, None]
