@@ -410,6 +410,16 @@ def test_unit_ids_are_those_of_the_tokenizers_library():
     assert tokens.rank_encoder(tokens.vocabulary("word_bpe_49k.json")) is None
 
 
+def test_cache_holds_what_a_batch_wants(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 5)
+    asked = []
+    cache = tokens.Cache(lambda units: asked.extend(units) or [len(u) for u in units])
+    cache.load(["a", "bb", "ccc", "a"])
+    cache.load({"bb", "dddd", "e", "ff"})
+    assert cache == {"bb": 2, "dddd": 4, "e": 1, "ff": 2} and sorted(asked) == ["a", "bb", "ccc", "dddd", "e", "ff"]
+    assert list(cache.of(["bb", "e", "bb"])) == [2, 1, 2] and list(cache.of(["e"])) == [1] and list(cache.of([])) == []
+
+
 def test_packing(docs):
     _, want = encoded(docs, "byte_bpe_50k.json")
     ids = collections.defaultdict(list)
