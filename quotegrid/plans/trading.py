@@ -384,14 +384,22 @@ WHERE NOT (strategy = 'S1' AND h.horizon_ms = 900000)""")
 SELECT strategy, CASE WHEN count(*) <> 3 THEN 'wrong_length' ELSE 'sum_not_one' END AS rule, round(sum(weight), 6) + 0.0 AS total
 FROM wts GROUP BY 1 HAVING count(*) <> 3 OR abs(sum(weight) - 1) > 1e-8""")
 def r06(spark, sf):
-    # Weights from each strategy's absolute markouts; one set loses a horizon, one is scaled.
-    size = Day(spark, sf).marked.groupBy("strategy").agg(
+    return weight_audit(Day(spark, sf).marked)
+
+
+def weight_audit(marked):
+    """Weights from each strategy's absolute markouts, audited; one set loses a horizon, one is scaled."""
+    size = marked.groupBy("strategy").agg(
         *[F.sum(F.abs(F.get("u", F.lit(i)))).alias(f"a{i}") for i in range(3)])
     whole = F.col("a0") + F.col("a1") + F.col("a2")
-    sets = F.array(*[F.struct(F.lit(h).cast("bigint").alias("horizon_ms"), (F.col(f"a{i}") / whole).alias("weight")) for i, h in enumerate(HORIZONS)])
+    # markouts that are all zero leave 0 / 0, which is NaN in SQL and an error in Spark
+    share = lambda i: F.when(whole == 0, F.lit(float("nan"))).otherwise(F.col(f"a{i}") / whole)
+    sets = F.array(*[F.struct(F.lit(h).cast("bigint").alias("horizon_ms"), share(i).alias("weight")) for i, h in enumerate(HORIZONS)])
     long = size.select("strategy", F.inline(sets)).where("not (strategy = 'S1' and horizon_ms = 900000)")
     long = long.withColumn("weight", F.col("weight") * F.when(F.col("strategy") == "S2", 1.1).otherwise(1.0))
-    return rounded_all(rw.audit_weights(long, ["strategy"], len(HORIZONS)))
+    rows = rw.audit_weights(long, ["strategy"], len(HORIZONS))
+    # the SQL has one rule for a total that is not one and one that is no number
+    return rounded_all(rows.withColumn("rule", F.when(F.col("rule") == "not_finite", "sum_not_one").otherwise(F.col("rule"))))
 
 
 cte("expect", """

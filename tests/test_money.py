@@ -148,3 +148,28 @@ def test_orders_without_a_quote_are_counted(spark):
     rows = spark.createDataFrame([("S", 1, 10), ("S", 2, None), ("T", 3, None)], "strategy string, seq long, ts_ns long").withColumn("order_status", lg.order_status())
     got = {r["strategy"]: (r["orders"], r["executed"], r["unexecuted_at_end"]) for r in lg.order_outcomes(rows, ["strategy"]).collect()}
     assert got == {"S": (2, 1, 1), "T": (1, 0, 1)}
+
+
+def test_weight_audit_equals_its_sql_without_markouts(spark):
+    import duckdb
+
+    from quotegrid.plans import trading
+    from quotegrid.plans.registry import CTES, ORACLES
+
+    body = ORACLES["r06_weight_audit"].rsplit(")\n", 1)[1]
+    one, none, zero = [1.0, -2.0, 3.0], None, [0.0, 0.0, 0.0]
+    for kinds in ([none] * 4, [one] * 4, [one, none, none, zero], [none, one, one, none], [zero, zero, zero, none]):
+        rows = [(f"S{i}", kind) for i, kind in enumerate(kinds)] + [("S3", None)]
+        got = trading.weight_audit(spark.createDataFrame(rows, "strategy string, u array<double>")).select("strategy", "rule", "total").collect()
+        con = duckdb.connect()
+        con.execute("CREATE TABLE sc (strategy VARCHAR, u1 DOUBLE, u2 DOUBLE, u3 DOUBLE)")
+        con.executemany("INSERT INTO sc VALUES (?, ?, ?, ?)", [(s, *(u or [None] * 3)) for s, u in rows])
+        want = con.execute(f"WITH wts AS ({CTES['wts']}) {body}").fetchall()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_weight_sets_that_were_never_fitted_are_judged_by_length(spark):
+    sets = {"whole": [0.5, 0.3, 0.2], "unfitted": [None] * 3, "unfitted_short": [None] * 2, "partly": [0.5, None, 0.5], "nan": [float("nan"), 0.5, 0.5]}
+    rows = spark.createDataFrame([(k, i, w) for k, ws in sets.items() for i, w in enumerate(ws)], "name string, horizon_ms long, weight double")
+    got = {r["name"]: r["rule"] for r in rw.audit_weights(rows, ["name"], 3).collect()}
+    assert got == {"unfitted_short": "wrong_length", "partly": "not_finite", "nan": "not_finite"}
