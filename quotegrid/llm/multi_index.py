@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quotegrid.llm.arrays import one_array
-from quotegrid.llm.graph import components
+from quotegrid.llm.graph import components, forest
 from quotegrid.session import settle
 
 SAMPLE, QUERIES, MOST_QUERIES = 20000, 256, 1 << 15
@@ -179,20 +179,6 @@ def visits_needed(nodes: DataFrame, total: int, grid: Grid, threshold: float, ta
     return ranks[int(np.argmax(enough))] + 1
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least reachable index of each of n points, by repeated minimum over links."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        fresh = label.copy()
-        np.minimum.at(fresh, a, low)
-        np.minimum.at(fresh, b, low)
-        fresh = fresh[fresh]
-        if (fresh == label).all():
-            return label
-        label = fresh
-
-
 def compare_block(table: pa.Table, threshold: float) -> pa.Table:
     """Links between a cell's members and visitors: (node, links, root) of every node that has any.
 

@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quotegrid.llm import bit_filter
 from quotegrid.llm.arrays import mix, rows_by, shingle_sets
-from quotegrid.llm.graph import components
-from quotegrid.llm.multi_index import forest
+from quotegrid.llm.graph import components, forest
 from quotegrid.session import settle
 
 WIDTH = 1 << 20
@@ -350,6 +349,11 @@ def ends_of(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "doc_id", "d1", "d2")
 
 
+def stars(parts: DataFrame) -> DataFrame:
+    """Links (a, b) that give back known parts."""
+    return parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: the least doc_id reachable over pairs with
     100 * common >= percent * joint."""
@@ -374,17 +378,17 @@ def similar_components(docs: DataFrame, shingle: int = 5, percent: int = 80) ->
 
     pairs = members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     links = linked(settle(screen(pairs, bits, percent), "stars"))
-    rows_apart = settle(unsettled(members, components(links)), "unsettled")
+    parts = components(links)
+    rows_apart = settle(unsettled(members, parts), "unsettled")
     possible = settle(possible_links(rows_apart, bits, percent, False), "possible")
     tried = settle(possible.select("a", "b").distinct(), "tried")
-    links = settle(links.unionByName(linked(tried)), "links")
-    joined = components(links)
+    joined = components(stars(parts).unionByName(linked(tried)))
     again = possible.where("more").select("sig").distinct()
     if not again.isEmpty():
         joined = settle(joined, "joined")
         left = rows_apart.join(again, "sig", "left_semi").join(joined, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
         rest = settle(possible_links(left, bits, percent, True).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-        joined = components(links.unionByName(linked(rest)))
+        joined = components(stars(joined).unionByName(linked(rest)))
     named = nodes.select("node", "d1", "d2", "doc_id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     classes = settle(named.join(least, "component").select("d1", "d2", "component_id"), "classes")
