@@ -25,7 +25,7 @@ def end_of(day: Day) -> int:
 @query("t01_stream_grid", """
 SELECT file_date, ts_ns, source_recv_ns, sequence, round(age_ms, 6) + 0.0 AS age_ms, round(bid_px_00, 6) + 0.0 AS bid_px_00, round(ask_px_04, 6) + 0.0 AS ask_px_04, bid_sz_03 FROM snapshot""")
 def t01(spark, sf):
-    rows = live.run_to_table(live.grid_stream(message_stream(spark, sf), I, A), "grid").where("kind = 'snapshot'")
+    rows = live.run_to_table(live.grid_stream(message_stream(spark, sf), I, A, columns=("bid_px_00", "ask_px_04", "bid_sz_03")), "grid").where("kind = 'snapshot'")
     return rows.select("file_date", "ts_ns", "source_recv_ns", "sequence", r6(F.col("age_ms")).alias("age_ms"), r6(F.col("bid_px_00")).alias("bid_px_00"),
                        r6(F.col("ask_px_04")).alias("ask_px_04"), "bid_sz_03")
 
@@ -47,7 +47,7 @@ FROM (SELECT seq, recv_ns, max(recv_ns) OVER (PARTITION BY file_date ORDER BY se
 def t03(spark, sf):
     late = F.when(F.col("k") % 10 == 9, 300_000_000_000).otherwise(0)
     shaken = message_stream(spark, sf).withColumn("recv_ns", F.col("recv_ns") - late)
-    return live.run_to_table(live.grid_stream(shaken, I, A), "late").where("kind = 'late'").select("sequence", "ts_ns")
+    return live.run_to_table(live.grid_stream(shaken, I, A, columns=()), "late").where("kind = 'late'").select("sequence", "ts_ns")
 
 
 @query("t04_stream_maturity", f"SELECT strategy, seq, status, {U} FROM sc")

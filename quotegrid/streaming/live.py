@@ -17,11 +17,11 @@ from quotegrid.session import shared_folder
 
 KEYS = ["instrument_id", "file_date"]
 CARRIED = ["recv_ns", "event_ns", "sequence", "flags"]
-PRICES = [c for c in BOOK_COLUMNS if "_px_" in c]
-SIZES = [c for c in BOOK_COLUMNS if "_sz_" in c]
-OUTPUT = ("kind string, instrument_id bigint, file_date string, ts_ns bigint, source_recv_ns bigint, source_event_ns bigint, sequence bigint, "
-          "source_flags bigint, age_ms double, " + ", ".join([f"{c} double" for c in PRICES] + [f"{c} bigint" for c in SIZES]))
+HEAD = ("kind string, instrument_id bigint, file_date string, ts_ns bigint, source_recv_ns bigint, source_event_ns bigint, sequence bigint, "
+        "source_flags bigint, age_ms double")
 STATE = "clock bigint, fresh boolean, heads array<bigint>, prices array<double>, sizes array<bigint>"
+#: Rows of one frame that goes out.
+OUT_ROWS = 50_000
 
 
 def governed_points(kind: np.ndarray, recv: np.ndarray, clock: int | None, interval_ns: int, max_age_ns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int | None]:
@@ -46,48 +46,67 @@ def governed_points(kind: np.ndarray, recv: np.ndarray, clock: int | None, inter
     return late, kept, rows, (np.repeat(first, times) + place) * interval_ns, None if before[-1] == low else int(before[-1])
 
 
-def grid_stream(book: DataFrame, interval_ns: int, max_age_ns: int, delay: str = "2 days") -> DataFrame:
-    """Snapshots and late rows of a message stream, one state per source file.
+def columns_of(frames: Iterator[pd.DataFrame], names: list[str], first: list | None) -> dict[str, np.ndarray]:
+    """The named columns of all frames as one array each, after the values of ``first``; no frame is kept whole."""
+    parts = {c: [] if first is None else [np.array([v])] for c, v in zip(names, first or names)}
+    for frame in frames:
+        for c in names:
+            parts[c].append(frame[c].to_numpy(copy=True))
+    return {c: np.concatenate(parts.pop(c)) for c in names}
+
+
+def rows_out(data: dict[str, np.ndarray], kind: str, key: tuple, place: np.ndarray, at: np.ndarray | None, book_columns: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows at ``place``, shown at ``at`` or at their own time, in frames of bounded size."""
+    for start in range(0, len(place), OUT_ROWS):
+        here = place[start:start + OUT_ROWS]
+        recv = data["recv_ns"][here]
+        ts = recv if at is None else at[start:start + OUT_ROWS]
+        yield pd.DataFrame({
+            "kind": kind, "instrument_id": key[0], "file_date": key[1], "ts_ns": ts, "source_recv_ns": recv, "source_event_ns": data["event_ns"][here],
+            "sequence": data["sequence"][here], "source_flags": data["flags"][here], "age_ms": np.nan if at is None else (ts - recv) / MS,
+            **{c: data[c][here] for c in book_columns}})
+
+
+def grid_stream(book: DataFrame, interval_ns: int, max_age_ns: int, delay: str = "2 days", columns: tuple = tuple(BOOK_COLUMNS)) -> DataFrame:
+    """Snapshots and late rows of a message stream, one state per source file, with the book ``columns`` asked for.
 
     State is the trusted clock and the last completed book (or that there is none to show).  A trusted row behind the
     clock goes to ``kind = late`` instead of failing the stream.  Event time is the end of a file's day, as a bad clock
     has none of its own; when the watermark (the latest file's day end less ``delay``) has passed it, the state is
     deleted and rows that still come for the file are dropped by Spark, which counts them; a file whose name is no
     date keeps its state.  The rows of a key in one
-    micro-batch are handled by one task in array steps; bound them with the source's files-per-trigger option.
+    micro-batch are handled by one task in array steps, eight bytes a row and column that travels; bound them with the
+    source's files-per-trigger option.
     """
-    names = [part.strip().split(" ")[0] for part in OUTPUT.split(",")]
-    book_columns = [*PRICES, *SIZES]
+    prices, sizes = ([c for c in columns if part in c] for part in ("_px_", "_sz_"))
+    book_columns = [*prices, *sizes]
+    output = ", ".join([HEAD, *[f"{c} double" for c in prices], *[f"{c} bigint" for c in sizes]])
+    needed = ["seq", "_class", *CARRIED, *book_columns]
 
     def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        end_ms = int(rows["_end_ms"].iloc[0])
-        rows = rows[["_class", *CARRIED, *book_columns]]
-        clock, fresh = None, False
+        clock, first = None, None
         if state.exists:
-            clock, fresh, heads, prices, sizes = state.get
-            if fresh:
-                rows = pd.concat([pd.DataFrame([[GOOD, *heads, *prices, *sizes]], columns=rows.columns), rows])
-        late, kept, source, points, clock = governed_points(rows["_class"].to_numpy(), rows["recv_ns"].to_numpy(np.int64), clock, interval_ns, max_age_ns)
-        for which, at, name in ((np.flatnonzero(late), None, "late"), (source, points, "snapshot")):
-            if len(which):
-                out = rows.iloc[which].rename(columns={"recv_ns": "source_recv_ns", "event_ns": "source_event_ns", "flags": "source_flags"})
-                at = out["source_recv_ns"].to_numpy() if at is None else at
-                age = (at - out["source_recv_ns"].to_numpy()) / MS if name == "snapshot" else np.nan
-                yield out.assign(kind=name, instrument_id=key[0], file_date=key[1], ts_ns=at, age_ms=age)[names]
-        last = rows.iloc[kept[-1]] if len(kept) else None
-        fresh = last is not None and last["_class"] == GOOD
-        held = [[int(last[c]) for c in CARRIED], [float(last[c]) for c in PRICES], [int(last[c]) for c in SIZES]] if fresh else [[], [], []]
+            clock, fresh, *held = state.get
+            first = [np.iinfo(np.int64).min, GOOD, *[v for values in held for v in values]] if fresh else None
+        data = columns_of(frames, ["_end_ms", *needed], first and [np.int64(0), *first])
+        end_ms = int(data.pop("_end_ms")[-1])
+        order = np.argsort(data.pop("seq"), kind="stable")
+        late, kept, source, points, clock = governed_points(data["_class"][order], data["recv_ns"][order].astype(np.int64, copy=False), clock, interval_ns, max_age_ns)
+        yield from rows_out(data, "late", key, order[late], None, book_columns)
+        yield from rows_out(data, "snapshot", key, order[source], points, book_columns)
+        last = order[kept[-1]] if len(kept) else None
+        fresh = last is not None and data["_class"][last] == GOOD
+        held = [[kind(data[c][last]) for c in names] for kind, names in ((int, CARRIED), (float, prices), (int, sizes))] if fresh else [[], [], []]
         state.update((clock, bool(fresh), *held))
         if end_ms:
             state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
 
     end_ms = F.unix_date(F.date_add(F.expr("try_cast(file_date AS date)"), 1)).cast("bigint") * 86_400_000
-    staged = book.select(*KEYS, "seq", message_class().alias("_class"), *CARRIED, *BOOK_COLUMNS, F.coalesce(end_ms, F.lit(0)).alias("_end_ms"), F.timestamp_millis(end_ms).alias("_at"))
-    return staged.withWatermark("_at", delay).groupBy(*KEYS).applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    staged = book.select(*KEYS, "seq", message_class().alias("_class"), *CARRIED, *book_columns, F.coalesce(end_ms, F.lit(0)).alias("_end_ms"), F.timestamp_millis(end_ms).alias("_at"))
+    return staged.withWatermark("_at", delay).groupBy(*KEYS).applyInPandasWithState(advance, output, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def tumbling_grid(book: DataFrame, interval: str, delay: str) -> DataFrame:

@@ -1,11 +1,15 @@
 import random
+import tracemalloc
 import uuid
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import BOOK_SCHEMA, message, sample
 from quotegrid.operators import sampling as sm
+from quotegrid.params import BOOK_COLUMNS
 from quotegrid.streaming import live
 
 I, A = 10, 25
@@ -104,6 +108,36 @@ def test_stream_equals_batch_over_several_batches(spark):
     assert {(r.file_date, r.ts_ns, r.sequence) for r in out.collect()} == expected
 
 
+def test_stream_carries_only_the_columns_asked_for(spark):
+    book = spark.createDataFrame(random_files(8, files=4), BOOK_SCHEMA)
+    source = f"{live.shared_folder(spark)}/columns-test-{uuid.uuid4().hex}"
+    for part in range(4):
+        shaken = book.withColumn("recv_ns", F.col("recv_ns") - F.when(F.col("seq") % 7 == 3, 40).otherwise(0))
+        shaken.where(f"seq % 1000 >= {part * 10} and seq % 1000 < {part * 10 + 10}").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(book.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    full = live.run_to_table(live.grid_stream(stream, I, A), "stream-full")
+    for columns in ((), ("ask_px_04", "bid_sz_03")):
+        thin = live.grid_stream(stream, I, A, columns=columns)
+        assert [c for c in thin.columns if c in BOOK_COLUMNS] == list(columns)
+        got = sorted(map(repr, live.run_to_table(thin, "stream-thin").collect()))
+        assert got == sorted(map(repr, full.select(thin.columns).collect()))
+    assert {r["kind"] for r in full.select("kind").distinct().collect()} == {"late", "snapshot"}
+
+
+def test_stream_holds_each_row_once(monkeypatch):
+    """Peak of one micro-batch of a file: its columns, one more column while they are joined, and bounded frames."""
+    rows, width, parts = 4_000, 44, 30
+    names = ["recv_ns", "event_ns", "sequence", "flags", *[f"c{i}" for i in range(width)]]
+    frames = (pd.DataFrame({c: np.arange(rows) + k * rows for c in names}) for k in range(parts))
+    monkeypatch.setattr(live, "OUT_ROWS", 1_000)
+    tracemalloc.start()
+    data = live.columns_of(frames, names, None)
+    out = sum(len(x) for x in live.rows_out(data, "late", (1, "d"), np.arange(rows * parts), None, names[4:]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out == rows * parts and peak < 1.2 * rows * parts * len(names) * 8
+
+
 def test_stream_states_of_finished_files_are_deleted(spark):
     rows = [r for r in random_files(9, files=3)]
     book = spark.createDataFrame(rows, BOOK_SCHEMA)
